@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import sentencepiece_bpe
+from textloom.llm import quality_fm, quality_rules, sentencepiece_bpe, simhash, toxicity
+from textloom.llm.labelled import remainder
 from textloom.session import table
 
 
@@ -16,12 +18,44 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
+    out = docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), score.alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return _scored(docs, toxicity.score_column(model, F.col("text")), toxicity.THRESHOLD)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality_fm.train(docs, table(spark, sf_dir, "labels"))
+    return _scored(docs, quality_fm.score_column(machine, F.col("text")), quality_fm.THRESHOLD)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_simhash": op4_simhash,
     "op5_sentencepiece": op5_sentencepiece,
+    "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality_rules.oracle_sql(),
+}
