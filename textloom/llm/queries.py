@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import quality_fm, quality_rules, sentencepiece_bpe, simhash, toxicity
+from textloom.llm import additive_quantisation, ctw, quality_fm, quality_rules, sentencepiece_bpe, simhash, toxicity, warc_archive
 from textloom.llm.labelled import remainder
-from textloom.session import table
+from textloom.session import scratch_path, table
 
 
 def _tokenizer(name: str) -> str:
@@ -23,6 +23,10 @@ def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_quantisation.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -42,6 +46,16 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc_archive.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc_archive.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = quality_fm.train(docs, table(spark, sf_dir, "labels"))
@@ -49,13 +63,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": op1_nearest,
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_warc": op6_warc,
+    "op8_ctw": op8_ctw,
     "op10_quality": op10_quality,
 }
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+k AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS d FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM k)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc": OP6_SQL,
     "op3_quality_rules": quality_rules.oracle_sql(),
 }
