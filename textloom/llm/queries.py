@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import additive_quantisation, ctw, quality_fm, quality_rules, sentencepiece_bpe, simhash, toxicity, warc_archive
+from textloom.llm import (
+    additive_quantisation,
+    ctw,
+    html_layout,
+    quality_fm,
+    quality_rules,
+    sentencepiece_bpe,
+    simhash,
+    soft_mixing,
+    toxicity,
+    warc_archive,
+)
 from textloom.llm.labelled import remainder
 from textloom.session import scratch_path, table
 
@@ -52,10 +63,28 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains are languages, learned from the documents that the labels table lists."""
+    docs = table(spark, sf_dir, "documents")
+    return soft_mixing.rate_documents(docs, labelled_languages(docs, table(spark, sf_dir, "labels")))
+
+
+def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of labelled documents: the labelled table of the mixing stage."""
+    listed = labels.select("doc_id").distinct()
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(listed, "doc_id", "left_semi")
+
+
 def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_layout.extract(table(spark, sf_dir, "pages"))
+    lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
+    return out.select("page_id", F.length("text").cast("long").alias("n_chars"), lines.cast("long").alias("n_lines"), "text")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = quality_fm.train(docs, table(spark, sf_dir, "labels"))
@@ -69,7 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_warc": op6_warc,
+    "op7_mixing": op7_mixing,
     "op8_ctw": op8_ctw,
+    "op9_html": op9_html,
     "op10_quality": op10_quality,
 }
 
