@@ -1,14 +1,59 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: five stages over documents.
+
+Each stage takes all that its predecessor kept, written as Parquet and read
+again, and returns the columns of documents; the last returns token counts and
+digests. Classifiers learn from the labelled rows among a stage's documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from textloom.llm import quality_fm, sentencepiece_bpe, simhash, soft_mixing, toxicity
+from textloom.llm.queries import _tokenizer, labelled_languages
+from textloom.session import materialise, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality_fm.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier doesn't reject."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_first(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix asks for: languages at smoothed shares, every document at least once."""
+    return soft_mixing.mix(docs, labelled_languages(docs, table(spark, sf_dir, "labels")), min_rate=1.0)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the decoded text."""
+    return sentencepiece_bpe.encode_documents(docs, _tokenizer("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("toxicity", toxic),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("encoding", encoding),
+]
 
 #: Trained classifiers and iterative fits are not SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages, one after another, from the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
