@@ -58,8 +58,8 @@ RULES = (
 )
 
 
-def _pairs(a: Column, gap: int) -> Column:
-    """Hashes of elements ``gap`` apart: a[i], a[i + gap]."""
+def _pairs(a: str, gap: int) -> Column:
+    """Hashes of elements ``gap`` apart, a[i] and a[i + gap], of column ``a``."""
     n = F.greatest(F.size(a) - F.lit(gap), F.lit(0))
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(1 + gap), n), lambda x, y: F.xxhash64(x, y))
 
@@ -87,23 +87,27 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         text,
         F.array_remove(F.split(text, SPACES), "").alias("w"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        # what one pass over the text leaves to count in: all but lower-case letters and spaces
+        F.regexp_replace(text, r"[\p{Ll}\x20\x09-\x0D]+", "").alias("rest"),
     )
     words = F.col("w")
     out = out.select(
         id_col,
-        text,
         "w",
         "lines",
+        "rest",
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-        _pairs(_pairs(_pairs(F.transform(words, lambda x: F.xxhash64(x)), 1), 2), 4).alias("h"),
+        F.transform(words, lambda x: F.xxhash64(x)).alias("h"),
     )
+    for gap in (1, 2, 4):  # a column each, as an expression used thrice would be evaluated thrice
+        out = out.withColumn("h", _pairs("h", gap))
     # only texts with equal windows sort them
     equal = F.size(F.array_distinct("h")) < F.size("h")
     pairs = F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     out = out.withColumn("at", F.when(equal, F.sort_array(pairs)))
     out = out.withColumn("starts", F.when(F.col("at").isNotNull(), _starts("at")))
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
+    count = lambda pattern: F.regexp_count("rest", F.lit(pattern)).cast("long")
     lines, n_lines = F.col("lines"), F.size("lines")
     matching = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern)))
     out = out.select(
