@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.windows import numbered
 
 PROMPT_USER, PROMPT_REPLY = 80, 120
 MAX_SAMPLE, MIN_SAMPLE, CONTEXT = 4096, 2, 64
@@ -35,7 +36,7 @@ def full_history(messages: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", "rendered", (end - F.length("text")).alias("target_start"), end.alias("target_end"))
 
 
-def last_exchange(sampled: DataFrame, messages: DataFrame) -> DataFrame:
+def last_exchange(messages: DataFrame) -> DataFrame:
     """The rendering that is used when answering: the last exchange alone, cut, then the question."""
     w = by_turn()
     out = messages.withColumns({f"{c}{k}": F.lag(c, k).over(w) for k in (1, 2, 3) for c in ("role", "text")}).where("role = 'assistant' AND role1 = 'user'")
@@ -152,6 +153,6 @@ def floor_rank_percentiles(df: DataFrame, value: str, percents: tuple[int, ...]
 
 def batches(df: DataFrame, order: list[str], length: str, size: int) -> DataFrame:
     """(batch, padded length, padding) of batches of ``size`` rows in order."""
-    number = F.row_number().over(Window.orderBy(*order)) - 1
-    out = df.select(F.floor(number / size).alias("batch"), F.col(length).alias("n"))
+    rows = numbered(df, order, "__number")
+    out = rows.select(F.floor((F.col("__number") - 1) / size).alias("batch"), F.col(length).alias("n"))
     return out.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.max("n").cast("long").alias("padded_to"), (F.max("n") * F.count(F.lit(1)) - F.sum("n")).cast("long").alias("padding"))

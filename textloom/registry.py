@@ -1,10 +1,5 @@
 """Named queries and the DuckDB SQL that gives the same rows."""
 
-from __future__ import annotations
+from textloom.plans.queries import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
