@@ -43,6 +43,8 @@ END = b"\n"
 SEED = 0
 #: Bytes of input files in one block at most.
 BLOCK_BYTES = 16 << 20
+#: Characters that are worked on at a time.
+PIECE_CHARS = 1 << 20
 LOG2 = float(np.log(2.0))
 
 
@@ -166,6 +168,28 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, held_out: int, fold: in
     return rows.withColumn("block", F.spark_partition_id().cast("long") * parts + F.pmod(F.xxhash64("id", "t"), F.lit(parts)))
 
 
+def _pieces(texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(place of the first, tokens of each) of runs of texts of about ``PIECE_CHARS`` together; one text may be longer."""
+    first, held, size = 0, [], 0
+    for k, t in enumerate(texts):
+        t = t.as_py()
+        held.append(tokens(t))
+        size += len(t or "")
+        if size >= PIECE_CHARS:
+            yield first, held
+            first, held, size = k + 1, [], 0
+    if held:
+        yield first, held
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray] | None, u: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted tables of keys and counts as one."""
+    if a is None:
+        return u, n
+    u, place = np.unique(np.concatenate([a[0], u]), return_inverse=True)
+    return u, np.bincount(place, np.concatenate([a[1], n]), len(u)).astype(np.int64)
+
+
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, word, key, n): the different keys of each block and their training counts."""
     words: dict[int, tuple[Counter, set]] = {}
@@ -173,25 +197,22 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         block = batch.column(2).to_numpy()
         train = ~np.array(batch.column(1).to_pylist(), bool)
-        texts = batch.column(0)
-        for b in np.unique(block):
-            counted, asked = words.setdefault(int(b), (Counter(), set()))
-            streams, of = [], []
-            for i in np.flatnonzero(block == b):
-                t = tokens(texts[int(i)].as_py())
-                streams.append(b" ".join(t) + END)
-                of.append(train[i])
-                if train[i]:
-                    counted.update(t)
-                    counted[END] += 1
-                else:
-                    asked.update(t)
-            code = stream_codes(streams)
-            marked = code * 2 + np.repeat(of, [len(s) for s in streams])
-            u, n = np.unique(marked, return_counts=True)
-            u, n = np.concatenate([grams[int(b)][0], u]) if int(b) in grams else u, np.concatenate([grams[int(b)][1], n]) if int(b) in grams else n
-            u, place = np.unique(u, return_inverse=True)
-            grams[int(b)] = u, np.bincount(place, n, len(u)).astype(np.int64)
+        for first, lists in _pieces(batch.column(0)):
+            here, trains = block[first : first + len(lists)], train[first : first + len(lists)]
+            for b in np.unique(here).tolist():
+                counted, asked = words.setdefault(b, (Counter(), set()))
+                streams, of = [], []
+                for i in np.flatnonzero(here == b):
+                    t = lists[i]
+                    streams.append(b" ".join(t) + END)
+                    of.append(trains[i])
+                    if trains[i]:
+                        counted.update(t)
+                        counted[END] += 1
+                    else:
+                        asked.update(t)
+                marked = stream_codes(streams) * 2 + np.repeat(of, [len(s) for s in streams])
+                grams[b] = _merged(grams.get(b), *np.unique(marked, return_counts=True))
     for b, (counted, asked) in words.items():
         rest = [w for w in (*asked, END) if w not in counted]
         keys = word_keys([*counted, *rest])
@@ -217,9 +238,7 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
     order = np.argsort(key[~word], kind="stable")
     grams, logs = key[~word][order], value[~word][order]
     out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "score")}
-    texts = docs["t"]
-    for at in range(0, len(texts), 500):
-        lists = [tokens(t) for t in texts.slice(at, 500).to_pylist()]
+    for _, lists in _pieces(docs["t"]):
         different = list({END, *(w for t in lists for w in t)})
         keys = word_keys(different)
         place = np.minimum(np.searchsorted(words, keys), len(words) - 1)
