@@ -174,7 +174,7 @@ def fit_rates(members: DataFrame, n_domains: int, shares: list[float] | None = N
         totals = [summed[f"e{k}"] or 0.0 for k in ks]
         miss = [t - a for t, a in zip(totals, targets, strict=True)]
         loss = sum(w * m * m for w, m in zip(weight, miss, strict=True))
-        if not radius or all(abs(m) <= tolerance * max(1.0, a) for m, a in zip(miss, targets, strict=True)) or before - loss <= 1e-12 * max(1e-12, before):
+        if not radius or all(abs(m) <= tolerance * max(1.0, a) for m, a in zip(miss, targets, strict=True)) or loss >= before * (1 - 1e-9):
             break
         before = loss
         step = [w * m / radius for w, m in zip(weight, miss, strict=True)]
