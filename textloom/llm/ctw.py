@@ -55,7 +55,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     product = np.ones_like(x)
     for k in range(8):
         product *= x + k
-    s = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    s = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + s - np.log(product)
 
 
