@@ -90,10 +90,11 @@ def requested_sentences(c: Column) -> Column:
     named = "|".join(NUMERALS)
     token = F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])([0-9]+|{named})\s*mondat", 1))
     word = F.coalesce(*[F.when(token == w, F.lit(n)) for w, n in NUMERALS.items()])
+    digits = F.regexp_replace(token, "^0+(?=[0-9])", "")
     # a number of three digits or more is over the limit anyway
-    digits = F.when(token.rlike("^[0-9]+$"), F.when(F.length(F.ltrim(F.lit("0"), token)) > 2, 10).otherwise(F.expr("0")))
-    number = F.when(F.length(token) <= 2, F.when(token.rlike("^[0-9]+$"), token).try_cast("int")).otherwise(digits)
-    return F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce(word, number)))
+    number = F.when(digits.rlike("^[0-9]+$"), F.when(F.length(digits) > 2, 10).otherwise(digits.try_cast("int")))
+    asked = F.coalesce(word, number)
+    return F.when(asked.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(10), asked)))
 
 
 def intent(c: Column) -> Column:
