@@ -35,10 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.labelled import training_sample
+from textloom.session import materialise
 
 MAX_ROWS = 8_000
 MAX_INPUTS = 768
 MIN_ROWS = 4
+#: Chi-squared that an input must exceed (one degree of freedom, 5 %).
+LEAST_CHI = 3.84
 BEGINNINGS = (4, 6)
 LEVELS = (1, 2, 4, 8)
 THRESHOLD = 0.3
@@ -124,22 +127,32 @@ def swaps(present: set[int], groups: list[list[int]]) -> list[list[tuple[int, in
     return [[(t, f[(f.index(t) + k) % len(f)]) for f, t in hit] for k in range(1, longest)]
 
 
-def fit(rows: list[tuple[list[int], int]], groups: list[list[int]], max_inputs: int = MAX_INPUTS, swap_weight: float = SWAP_WEIGHT, decay: float = 5e-4, rounds: int = 250, step: float = 0.05) -> Model:
-    """Fit by full-batch Adam on logistic loss, weight decay and swap penalty."""
-    rows = sorted({(tuple(i), y) for i, y in rows})
+def chi_squared(n, n1, rows, ones):  # noqa: ANN001, ANN201  numbers, arrays or columns
+    """How far an input's share of label 1 is from that of all rows."""
+    mean = ones / rows
+    return (n1 - n * mean) ** 2 / (n * mean * (1 - mean) * (1.0 - n / rows + 1e-9))
+
+
+def fit(rows: list[tuple[list[int], int]], groups: list[list[int]], best: list[int] | None = None, max_inputs: int = MAX_INPUTS, swap_weight: float = SWAP_WEIGHT, decay: float = 5e-4, rounds: int = 250, step: float = 0.05) -> Model:
+    """Fit by full-batch Adam on logistic loss, weight decay and swap penalty.
+
+    ``best`` are the chosen inputs; without them they are chosen from the rows.
+    """
+    if best is None:
+        rows = sorted({(tuple(i), y) for i, y in rows})
     y = np.array([r[1] for r in rows], np.float32)
     share = (y.sum() + 1) / (len(rows) + 2)
     bias = float(np.log(share / (1 - share)))
     if len(rows) < 2 or y.min() == y.max():
         return Model(bias)
     flat, owner = np.fromiter((h for i, _ in rows for h in i), np.int64), np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
-    known, place = np.unique(flat, return_inverse=True)
-    n, n1 = np.bincount(place, minlength=len(known)), np.bincount(place, y[owner], len(known))
-    mean = y.mean()
-    chi = (n1 - n * mean) ** 2 / (n * mean * (1 - mean) * np.maximum(1e-9, 1 - n / len(rows)) + 1e-9)
-    chi[n < MIN_ROWS] = -1
-    best = known[np.lexsort((known, -chi))[: min(max_inputs, int((chi > 3.84).sum()))]]
-    inputs = np.unique(np.concatenate([best, [t for g in groups for t in g]]).astype(np.int64))
+    if best is None:
+        known, place = np.unique(flat, return_inverse=True)
+        n = np.bincount(place, minlength=len(known))
+        chi = chi_squared(n, np.bincount(place, y[owner], len(known)), len(rows), y.sum())
+        chi[n < MIN_ROWS] = -1
+        best = known[np.lexsort((known, -chi))[: min(max_inputs, int((chi > LEAST_CHI).sum()))]]
+    inputs = np.unique(np.concatenate([np.asarray(best, np.int64), [t for g in groups for t in g]]).astype(np.int64))
     column = np.searchsorted(inputs, flat)
     used = (column < len(inputs)) & (inputs[np.minimum(column, len(inputs) - 1)] == flat)
     x = np.zeros((len(rows), len(inputs)), np.float32)
@@ -166,16 +179,29 @@ def fit(rows: list[tuple[list[int], int]], groups: list[list[int]], max_inputs:
     return Model(float(p[0]), {int(h): float(w) for h, w in zip(inputs, p[1], strict=True) if w})
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model fitted to ``labels.toxic``; the inputs of at most ``max_rows`` rows reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT, max_rows: int = MAX_ROWS, max_inputs: int = MAX_INPUTS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model fitted to ``labels.toxic``.
+
+    Inputs are counted and chosen in Spark; of at most ``max_rows`` rows only
+    the chosen inputs reach the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([inputs_of(t.as_py()) for t in batch.column(0)], pa.list_(pa.int64())), batch.column(1)], names=["i", "y"])
 
-    sample = training_sample(docs, labels, "toxic", max_rows, held_out, id_col, text_col)
-    rows = sample.mapInArrow(run, "i array<bigint>, y int").toArrow()
-    return fit([(np.array(i.values).tolist(), y.as_py()) for i, y in zip(rows["i"], rows["y"], strict=True)], families())
+    sample = training_sample(docs, labels, "toxic", max_rows, held_out, id_col, text_col).dropDuplicates(["t", "y"])
+    rows = materialise(sample.select("t", "y").mapInArrow(run, "i array<bigint>, y int"), "inputs")
+    total, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    best: list[int] = []
+    if 0 < ones < total:
+        counts = rows.select(F.explode("i").alias("u"), "y").groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1")).where(F.col("n") >= MIN_ROWS)
+        chi = F.round(chi_squared(F.col("n"), F.col("n1"), F.lit(float(total)), F.lit(float(ones))), 9)
+        best = [r["u"] for r in counts.select("u", chi.alias("chi")).where(F.col("chi") > LEAST_CHI).orderBy(F.desc("chi"), "u").limit(max_inputs).collect()]
+    groups = families()
+    chosen = F.array(*[F.lit(u) for u in sorted({*best, *(t for g in groups for t in g)})])
+    got = rows.select(F.array_sort(F.array_intersect("i", chosen)).alias("i"), "y").toArrow()
+    return fit(sorted((i.as_py(), y.as_py()) for i, y in zip(got["i"], got["y"], strict=True)), groups, best)
 
 
 def score_column(model: Model, text: Column) -> Column:
