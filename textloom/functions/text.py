@@ -80,11 +80,10 @@ def content_words(normalised: Column) -> Column:
     return F.array_distinct(F.concat(stems, F.filter(w, lambda x: x.rlike(r"^\p{Nd}+$"))))
 
 
-def letter_counts(c: Column, prefix: str) -> list[Column]:
-    """One count for each counted symbol, and one for the rest."""
-    counts = [(F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))) for x in COUNTED]
-    rest = F.length(c) - reduce(lambda a, b: a + b, counts)
-    return [x.alias(f"{prefix}{k}") for k, x in enumerate([*counts, rest])]
+def letter_counts(c: Column) -> Column:
+    """Array of one count for each counted symbol, and one for the rest."""
+    counts = F.transform(F.array(*map(F.lit, COUNTED)), lambda x: F.length(c) - F.length(F.replace(c, x, F.lit(""))))
+    return F.concat(counts, F.array(F.length(F.translate(c, COUNTED, ""))))
 
 
 def shared_letters(a: str, b: str) -> Column:

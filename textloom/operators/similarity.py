@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.session import materialise
 
 MAX_CHARS = 1500
 
@@ -46,10 +47,13 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float, block: list[
     bucket = F.floor(F.log(F.col("n").cast("double")) / F.lit(width))
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        base = df.where(F.length("text") > 0).select("id", "text", *block, F.length("text").alias("n"))
-        return base.select(F.col("id").alias(f"{p}_id"), F.col("text").alias(f"{p}_text"), *[F.col(c).alias(f"{p}__{c}") for c in block], F.col("n").alias(f"{p}_n"), bucket.alias(f"{p}_bucket"), *T.letter_counts(F.lower("text"), f"{p}_c"))
+        base = df.where(F.length("text") > 0).select("id", "text", *block, F.length("text").alias("n"), T.letter_counts(F.lower("text")).alias("c"))
+        counts = [F.col("c")[k].alias(f"{p}_c{k}") for k in range(len(T.COUNTED) + 1)]
+        return base.select(F.col("id").alias(f"{p}_id"), F.col("text").alias(f"{p}_text"), *[F.col(c).alias(f"{p}__{c}") for c in block], F.col("n").alias(f"{p}_n"), bucket.alias(f"{p}_bucket"), *counts)
 
-    a, b = side(left, "a"), side(right, "b")
+    # counted once, not once for every bucket that a text meets
+    a = materialise(side(left, "a"), "letters")
+    b = a.toDF(*["b" + c[1:] for c in a.columns]) if same else materialise(side(right, "b"), "letters")
     b = b.withColumn("near", F.explode(F.array(F.col("b_bucket") - 1, F.col("b_bucket"), F.col("b_bucket") + 1)))
     on = (F.col("a_bucket") == F.col("near")) & (F.col("a_id") < F.col("b_id") if same else F.lit(True))
     for c in block:
@@ -57,9 +61,10 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float, block: list[
     both = F.col("a_n") + F.col("b_n")
     on &= 2.0 * F.least("a_n", "b_n") >= threshold * both
     on &= 2.0 * F.least(F.least("a_n", "b_n"), T.shared_letters("a_c", "b_c")) >= threshold * both
-    pairs = a.join(b, on).select("a_id", "b_id", "a_text", "b_text", "a_n", "b_n")
+    # the dearest test comes last in the one condition: a filter behind the join would be put before the others
     limit = F.floor((1 - threshold) * both + F.lit(1e-9)).cast("int")
-    return pairs.where(F.call_function("levenshtein", "a_text", "b_text", limit) >= 0).drop("a_n", "b_n")
+    on &= F.call_function("levenshtein", "a_text", "b_text", limit) >= 0
+    return a.join(b, on).select("a_id", "b_id", "a_text", "b_text")
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.9, later_first: bool = True, block: list[str] | None = None) -> DataFrame:
