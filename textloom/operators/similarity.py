@@ -153,3 +153,60 @@ def positional_score(messages: DataFrame, pairs: DataFrame) -> DataFrame:
     got = met.select("a", "b", matched).groupBy("a", "b").agg(F.sum("m").alias("m"))
     na, nb = total.select(F.col("conv_id").alias("a"), F.col("n").alias("na")), total.select(F.col("conv_id").alias("b"), F.col("n").alias("nb"))
     return got.join(na, "a").join(nb, "b").select("a", "b", (2 * F.col("m") / (F.col("na") + F.col("nb"))).alias("score"))
+
+
+def sample_findings(samples: DataFrame, inclusive: bool = False) -> DataFrame:
+    """(a, b, type, status, score) of training samples that repeat each other.
+
+    ``samples`` has id, owner (its conversation), question, answer and context.
+    Question, answer and context are compared in normal form, the earlier
+    sample first. Equal samples are folded into classes, whose members are
+    linked to the first (sample_exact, rejected whatever their length); pairs
+    of classes need a question ratio of 0.90. The score is the least of the
+    three ratios; texts below 60 characters are reviewed instead of decided.
+    Where answers or contexts differ the finding is information.
+    """
+    n = lambda c: T.normalise(F.col(c))
+    s = samples.select("id", "owner", n("question").alias("q"), n("answer").alias("a"), n("context").alias("c"))
+    classes = s.groupBy("q", "a", "c").agg(F.min_by(F.struct("id", "owner"), "id").alias("f")).select("q", "a", "c", F.col("f.id").alias("id"), F.col("f.owner").alias("owner"))
+    same = s.join(classes.withColumnsRenamed({"id": "first", "owner": "first_owner"}), ["q", "a", "c"]).where("id <> first AND owner <> first_owner AND q <> ''")
+    exact = same.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit("sample_exact").alias("type"), F.lit("reject").alias("status"), F.lit(1.0).alias("score"))
+    texts = classes.groupBy("q").agg(F.min("id").alias("id"))
+    near = candidates(texts.select("id", F.col("q").alias("text")), texts.select("id", F.col("q").alias("text")), 0.90)
+    near = near.select(F.col("a_text").alias("x"), F.col("b_text").alias("y"), ratio_column(F.col("a_text"), F.col("b_text")).alias("forth"), ratio_column(F.col("b_text"), F.col("a_text")).alias("back"))
+    both = near.select("x", "y", F.col("forth").alias("rq")).union(near.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("back").alias("rq"))).union(texts.where("q <> ''").select(F.col("q").alias("x"), F.col("q").alias("y"), F.lit(1.0).alias("rq")))
+    l = classes.select(F.col("id").alias("ia"), F.col("owner").alias("oa"), F.col("q").alias("x"), F.col("a").alias("aa"), F.col("c").alias("ca"))  # noqa: E741
+    r = classes.select(F.col("id").alias("ib"), F.col("owner").alias("ob"), F.col("q").alias("y"), F.col("a").alias("ab"), F.col("c").alias("cb"))
+    met = l.join(both.where("rq >= 0.9"), "x").join(r, "y").where("ia < ib AND oa <> ob")
+    ctx = F.when((F.col("ca") == "") & (F.col("cb") == ""), 1.0).when((F.col("ca") == "") | (F.col("cb") == ""), 0.0).otherwise(ratio_column(F.col("ca"), F.col("cb")))
+    met = met.withColumn("rc", ctx).withColumn("ra", ratio_column(F.col("aa"), F.col("ab")))
+    score = F.least("rq", "ra", "rc")
+    short = F.least(F.length("x") + F.length("aa"), F.length("y") + F.length("ab")) < 60
+    close = (F.col("rc") >= 0.90) & (F.col("ra") >= 0.90)
+    above = (score >= 0.90) if inclusive else (score > 0.90)
+    long = (F.length("x") >= 30) & (F.length("y") >= 30)
+    kind = (
+        F.when(close & ~above, "sample_at_boundary")
+        .when(close & short, "sample_near_short")
+        .when(close, "sample_near")
+        .when(long & (F.col("rc") < 0.90) & (F.col("ra") >= 0.90), "same_qa_different_context")
+        .when(long & (F.col("rc") < 0.90), "same_question_different_context")
+        .when(long, "same_question_context_different_answer")
+    )
+    status = F.when(kind == "sample_near", decide(score, inclusive)).when(kind == "sample_near_short", "review").otherwise("info")
+    found = met.select(F.col("ia").alias("a"), F.col("ib").alias("b"), kind.alias("type"), status.alias("status"), F.when(close, score).otherwise(F.col("rq")).alias("score")).where("type IS NOT NULL")
+    return exact.union(found)
+
+
+def shared_answers(samples: DataFrame) -> DataFrame:
+    """(a, b, score): equal or nearly equal longer answers (0.95) to different questions (below 0.90)."""
+    n = lambda c: T.normalise(F.col(c))
+    s = samples.select("id", "owner", n("question").alias("q"), n("answer").alias("a")).where(F.length("a") >= 60)
+    classes = s.groupBy("q", "a").agg(F.min_by(F.struct("id", "owner"), "id").alias("f")).select("q", "a", F.col("f.id").alias("id"), F.col("f.owner").alias("owner"))
+    texts = classes.groupBy("a").agg(F.min("id").alias("id")).select("id", F.col("a").alias("text"))
+    near = candidates(texts, texts, 0.95).select(F.col("a_text").alias("x"), F.col("b_text").alias("y"), ratio_column(F.col("a_text"), F.col("b_text")).alias("score")).where("score >= 0.95")
+    both = near.union(near.select("y", "x", "score")).union(texts.select(F.col("text").alias("x"), F.col("text").alias("y"), F.lit(1.0).alias("score")))
+    l = classes.select(F.col("id").alias("a_id"), F.col("owner").alias("oa"), F.col("q").alias("qa"), F.col("a").alias("x"))  # noqa: E741
+    r = classes.select(F.col("id").alias("b_id"), F.col("owner").alias("ob"), F.col("q").alias("qb"), F.col("a").alias("y"))
+    met = l.join(both, "x").join(r, "y").where("a_id < b_id AND oa <> ob")
+    return met.where(ratio_column(F.col("qa"), F.col("qb")) < 0.90).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "score")

@@ -11,7 +11,7 @@ from textloom.functions import classify as C
 from textloom.functions import documents as D
 from textloom.functions import score as S
 from textloom.functions import text as T
-from textloom.operators import grouping, joins, retrieval, rules, similarity, split_plan, windows
+from textloom.operators import grouping, joins, names, retrieval, rules, similarity, split_plan, windows
 from textloom.operators import samples as SM
 from textloom.plans import sql as Q
 from textloom.session import table
@@ -497,6 +497,31 @@ def message_overlap(spark, d):
     return similarity.message_overlap(chats(spark, d))
 
 
+def _samples(spark, d):
+    s = SM.samples(chats(spark, d))
+    return s.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("owner"), "question", "answer", "context")
+
+
+@query()
+def sample_findings(spark, d):
+    return similarity.sample_findings(_samples(spark, d))
+
+
+@query()
+def shared_answers(spark, d):
+    return similarity.shared_answers(_samples(spark, d))
+
+
+BANK = {"approved": ["And", "The"], "blocked_given": ["Er"], "surname": ["Ist"], "allowed": []}
+
+
+@query()
+def name_issues(spark, d):
+    known = names.forms(spark, BANK)
+    m = chats(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.array(F.lit("And")).alias("declared"))
+    return names.name_issues(m, known)
+
+
 def _links(spark, d):
     """Links of documents with equal texts, and of documents with equal first lines."""
     x = docs(spark, d).select("doc_id", F.sha2("text", 256).alias("k1"), F.sha2(F.substring("text", 1, 60), 256).alias("k2"))
