@@ -124,6 +124,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     moved = linked.join(least, "root").select(F.col("fp").alias("k"), "component_id")
     component = classes.join(moved, classes.fp == moved.k, "left").select(F.col("fp").alias("c"), F.coalesce("component_id", "first").alias("component_id"))
+    component = materialise(component, "components")  # a join of two plain tables can be split where many rows share a fingerprint
     return rows.join(component, rows.fp == F.col("c")).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
