@@ -27,7 +27,7 @@ def plain(t, p, targets, low, high, rounds=3000):
 
 def test_rates_equal_plain_projected_gradient(spark):
     t, p, df = members(spark)
-    rates = sm.fit_rates(df, 3, [0.5, 0.3, 0.2], 60_000.0, max_rounds=400, tolerance=1e-9)
+    rates = sm.fit_rates(df, 3, [0.5, 0.3, 0.2], 60_000.0, max_rounds=400, tolerance=1e-9, gain=1e-9)
     got = np.array([r[0] for r in df.select(rates.column()).collect()])
     want = plain(t, p, np.array([0.5, 0.3, 0.2]) * 60_000.0, 0.0, 8.0)
     assert np.allclose((got * t) @ p, (want * t) @ p, rtol=1e-4)

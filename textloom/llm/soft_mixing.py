@@ -122,10 +122,13 @@ class Rates:
 
 
 def _walk(rate: Column, steps: list[list[float]], low: float, high: float) -> Column:
-    for step in steps:
-        move = sum((F.lit(s) * F.col(f"__p{k}") for k, s in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(low), F.least(F.lit(high), rate - move))
-    return rate
+    """The rate after more steps; they are data of one expression, so that more steps need no new code."""
+    if not steps:
+        return rate
+    p = [F.col(f"__p{k}") for k in range(len(steps[0]))]
+    table = F.array(*[F.array(*map(F.lit, s)) for s in steps])
+    move = lambda s: sum((s[k] * x for k, x in enumerate(p)), F.lit(0.0))
+    return F.aggregate(table, rate.cast("double"), lambda r, s: F.greatest(F.lit(low), F.least(F.lit(high), r - move(s))))
 
 
 def _spectral_radius(m: list[list[float]]) -> float:
@@ -140,7 +143,7 @@ def _spectral_radius(m: list[list[float]]) -> float:
     return size
 
 
-def fit_rates(members: DataFrame, n_domains: int, shares: list[float] | None = None, total: float | None = None, min_rate: float = 0.0, max_rate: float = 8.0, start: float = 1.0, max_rounds: int = 60, tolerance: float = 1e-6) -> Rates:
+def fit_rates(members: DataFrame, n_domains: int, shares: list[float] | None = None, total: float | None = None, min_rate: float = 0.0, max_rate: float = 8.0, start: float = 1.0, max_rounds: int = 60, tolerance: float = 1e-4, gain: float = 1e-3) -> Rates:
     """Fit rates of ``members`` (columns __tokens, __p0, __p1, ...) to token totals.
 
     ``shares`` are the targets' shares of ``total``; by default the smoothed
@@ -168,21 +171,21 @@ def fit_rates(members: DataFrame, n_domains: int, shares: list[float] | None = N
     steps: list[list[float]] = []
     totals = have
     before = math.inf
-    state, rate = members, F.lit(start)
+    state, rate, since = members, F.lit(start), 0
     for turn in range(max_rounds):
-        summed = state.agg(*[F.sum(rate * F.col("__tokens") * F.col(f"__p{k}")).alias(f"e{k}") for k in ks]).first()
+        now = _walk(rate, steps[since:], min_rate, max_rate)
+        summed = state.withColumn("__now", now).agg(*[F.sum(F.col("__now") * F.col("__tokens") * F.col(f"__p{k}")).alias(f"e{k}") for k in ks]).first()
         totals = [summed[f"e{k}"] or 0.0 for k in ks]
         miss = [t - a for t, a in zip(totals, targets, strict=True)]
         loss = sum(w * m * m for w, m in zip(weight, miss, strict=True))
-        if not radius or all(abs(m) <= tolerance * max(1.0, a) for m, a in zip(miss, targets, strict=True)) or loss >= before * (1 - 1e-9):
+        if not radius or all(abs(m) <= tolerance * max(1.0, a) for m, a in zip(miss, targets, strict=True)) or loss >= before * (1 - gain):
             break
         before = loss
         step = [w * m / radius for w, m in zip(weight, miss, strict=True)]
         steps.append(step)
-        rate = _walk(rate, [step], min_rate, max_rate)
-        if turn % 20 == 19:  # a long expression is cut by writing what it has come to
-            state = materialise(state.withColumn("__rate", rate), "rates")
-            rate = F.col("__rate")
+        if turn % 20 == 19:  # what the steps so far have come to is written, so that later rounds don't repeat them
+            state = materialise(state.withColumn("__rate", _walk(rate, steps[since:], min_rate, max_rate)), "rates")
+            rate, since = F.col("__rate"), len(steps)
     return Rates(start, min_rate, max_rate, steps, targets, totals)
 
 
