@@ -216,5 +216,8 @@ def mix(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     out = classifier.add(docs, text_col).withColumn("__rate", rates.column())
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor("__rate") + F.when(chance < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    out = out.withColumn("__copies", copies.cast("int")).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # rows without copies go after the explosion: a filter on the copies themselves would be put before
+    # the projections, and evaluate them all again for each of its references
+    each = F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int")))
+    out = out.withColumn("__each", each).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode_outer("__each").alias("__copy"))
+    return out.where("__copy IS NOT NULL").drop("__copy")
