@@ -117,3 +117,21 @@ def test_pieces_give_equal_scores(spark, monkeypatch):
 
 def test_empty(spark):
     assert ctw.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_deeper_trees_against_direct_trees(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "DEPTH", 6)
+    rows = corpus()
+    tree = Tree([t for k, t in rows if zlib.crc32(str(k).encode()) % 5 != 1])
+    got = ctw.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), depth=6).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(tree.score(dict(rows)[r["doc_id"]]), rel=1e-6)
+
+
+def test_query_beats_its_unigram_base_on_held_out_texts(spark):
+    from textloom.llm.queries import op8_ctw
+
+    got = [r for r in op8_ctw(spark, "/root/testdata/sf0.1").collect() if r["held_out"]]
+    assert len(got) > 1000
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)

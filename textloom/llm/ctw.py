@@ -3,7 +3,7 @@
 A text is its lower-cased (A-Z) words, each followed by a space but the last,
 which is followed by the end (a line feed). Every byte is decomposed into eight
 binary decisions; each decision has a context tree over the bytes before it, up
-to ``DEPTH`` of them. In each node zeros and ones are counted over the training
+to ``depth`` of them (two to six). In each node zeros and ones are counted over the training
 texts and estimated by Krichevsky-Trofimov; a node's weighted probability is
 half its own estimate and half the product of its children's. Scoring mixes the
 estimates of all depths along a context's path with the weights that the
@@ -12,10 +12,10 @@ training texts gave them, and sums logarithms: the code length of the text.
 Nothing that grows with the corpus is broadcast or collected. Documents form
 blocks (parts of an input partition). Each block asks once for every different
 word and every different (context, byte) it holds; counts are summed over the
-corpus by key, trees are weighted by the byte next to the decision (one group
-for each value, worked off in parts for each second byte), and the answers go
-back to the blocks. Only the root's 255 decisions and the totals N and V pass
-the driver.
+corpus by key, trees are weighted in groups of pairs of the two bytes next to
+the decision, and the answers go back to the blocks. Only the sums for the nodes
+of at most one byte of context (256 x 255 rows) and the totals N and V pass the
+driver.
 
 Words are keyed by 64-bit hashes. Defined results: null and empty texts are the
 end alone; texts are read whole; rows that repeat are scored, and counted in
@@ -39,6 +39,10 @@ from textloom.llm.labelled import remainder
 from textloom.session import materialise
 
 DEPTH = 3
+#: Depth of the registered query.
+QUERY_DEPTH = 6
+#: Groups of pairs of nearest bytes.
+GROUPS = 512
 END = b"\n"
 SEED = 0
 #: Bytes of input files in one block at most.
@@ -86,75 +90,113 @@ def word_keys(words: list[bytes]) -> np.ndarray:
     return np.array([digest(w, SEED) for w in words], np.uint64).view(np.int64)
 
 
-def stream_codes(streams: list[bytes]) -> np.ndarray:
+def stream_codes(streams: list[bytes], depth: int = DEPTH) -> np.ndarray:
     """(context, byte) codes of the bytes of all streams, one after another; before a stream are ends."""
-    pad = END * DEPTH
-    a = np.frombuffer(b"".join([pad + s for s in streams]), np.uint8).astype(np.uint32)
-    code = a[DEPTH:].copy()
-    for k in range(1, DEPTH + 1):
-        code |= a[DEPTH - k : len(a) - k] << np.uint32(8 * k)
+    pad = END * depth
+    a = np.frombuffer(b"".join([pad + s for s in streams]), np.uint8).astype(np.int64)
+    code = a[depth:].copy()
+    for k in range(1, depth + 1):
+        code |= a[depth - k : len(a) - k] << (8 * k)
     lengths = np.array([len(s) for s in streams])
-    # codes[i] is of byte i + DEPTH of the buffer; those of pads go
+    # codes[i] is of byte i + depth of the buffer; those of pads go
     keep = np.ones(len(a), bool)
-    starts = np.concatenate([[0], np.cumsum(lengths + DEPTH)[:-1]])
-    keep[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
-    return code[keep[DEPTH:]].astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths + depth)[:-1]])
+    keep[(starts[:, None] + np.arange(depth)).ravel()] = False
+    return code[keep[depth:]]
 
 
-def count_bits(code: np.ndarray, n: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of (context, node) for gram codes whose byte is the lowest; contexts: 0 to 255 each."""
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Places at which a sorted key changes."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+
+
+def _decisions(code: np.ndarray, n: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple], np.ndarray, np.ndarray]]:
+    """For each of the eight decisions the trees of its nodes, below one byte of context.
+
+    Yields the order of the codes by (bits before, context, nearest byte first),
+    the bit of each in that order, and levels from the deepest to the first. A
+    level has the zeros, ones and log weighted probability of its nodes, the
+    weight of their own estimate, and the place of the first node of the level
+    below that belongs to each; keys are those of the first level, (bits before,
+    nearest byte), and the place of each code's leaf comes last.
+    """
     byte = code & 255
-    out = np.zeros((2, 256 * 256))
+    context = np.zeros_like(code)
+    for k in range(1, depth + 1):
+        context = context << 8 | (code >> (8 * k)) & 255
     for k in range(8):
-        node = (1 << k) | (byte >> (8 - k))
-        at = contexts * 256 + node
-        bit = (byte >> (7 - k)) & 1
-        for b in (0, 1):
-            out[b] += np.bincount(at[bit == b], n[bit == b], 256 * 256)
-    return out[0].reshape(256, 256), out[1].reshape(256, 256)
-
-
-def _parts(code: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of the codes of each second byte; ``code`` has one nearest byte."""
-    second = (code >> 16) & 255
-    order = np.argsort(second, kind="stable")
-    cuts = np.flatnonzero(np.diff(second[order])) + 1
-    yield from np.split(order, cuts)
-
-
-def weigh_group(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Zeros, ones and log-probability of the children of the 256 nodes below one nearest byte."""
-    zeros, ones, children = np.zeros(256), np.zeros(256), np.zeros(256)
-    for place in _parts(code):
-        z3, o3 = count_bits(code[place], n[place], (code[place] >> 24) & 255)
-        z2, o2 = z3.sum(0), o3.sum(0)
-        children += mixed(z2, o2, kt_evidence(z3, o3).sum(0))[0]
-        zeros, ones = zeros + z2, ones + o2
-    return zeros, ones, children
-
-
-def score_group(code: np.ndarray, n: np.ndarray, root_weight: np.ndarray, root_one: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each code's byte after its context; the codes have one nearest byte."""
-    one = lambda z, o: (o + 0.5) / (z + o + 1.0)
-    zeros, ones, children = weigh_group(code, n)
-    w1, p1 = mixed(zeros, ones, children)[1], one(zeros, ones)
-    out = np.zeros(len(code))
-    for place in _parts(code):
-        c = code[place]
-        z3, o3 = count_bits(c, n[place], (c >> 24) & 255)
-        z2, o2 = z3.sum(0), o3.sum(0)
-        w2, p2 = mixed(z2, o2, kt_evidence(z3, o3).sum(0))[1], one(z2, o2)
-        p3 = one(z3, o3)
-        p = w2 * p2 + (1 - w2) * p3
-        p = w1 * p1 + (1 - w1) * p
-        p = root_weight * root_one + (1 - root_weight) * p
-        byte, context = c & 255, (c >> 24) & 255
-        total = np.zeros(len(c))
-        for k in range(8):
-            q = p[context, (1 << k) | (byte >> (8 - k))]
-            total += np.log(np.where((byte >> (7 - k)) & 1, q, 1 - q))
-        out[place] = total
-    return out
+        key = ((1 << k) | (byte >> (8 - k))) << (8 * depth) | context
+        order = np.argsort(key, kind="stable")
+        key, bit, m = key[order], ((byte >> (7 - k)) & 1)[order], n[order]
+        first = _starts(key)
+        leaf = np.zeros(len(key), np.int64)
+        leaf[first[1:]] = 1
+        leaf = np.cumsum(leaf)
+        ones = np.add.reduceat(m * bit, first)
+        zeros = np.add.reduceat(m, first) - ones
+        key, log = key[first], kt_evidence(zeros, ones)
+        levels = [(zeros, ones, log, np.ones(len(key)), first)]
+        for _ in range(depth - 1):
+            key = key >> 8
+            first = _starts(key)
+            zeros, ones, below = (np.add.reduceat(x, first) for x in (zeros, ones, log))
+            log, weight = mixed(zeros, ones, below)
+            levels.append((zeros, ones, log, weight, first))
+            key = key[first]
+        yield order, bit, levels, key, leaf
+
+
+def weigh_group(code: np.ndarray, n: np.ndarray, depth: int = DEPTH) -> dict[str, np.ndarray]:
+    """Nodes one byte deep: byte (nearest), node, zeros, ones and log-probability of their children among the codes.
+
+    Codes that agree in their two nearest bytes must be together.
+    """
+    out: dict[str, list] = {k: [] for k in ("byte", "node", "zeros", "ones", "p")}
+    for _, _, levels, key, _ in _decisions(code, n, depth):
+        zeros, ones, _, _, first = levels[-1]
+        for name, x in zip(out, (key & 255, key >> 8, zeros, ones, np.add.reduceat(levels[-2][2], first)), strict=True):
+            out[name].append(x)
+    return {k: np.concatenate(x) for k, x in out.items()}
+
+
+def _one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1.0)
+
+
+def first_nodes(nodes: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weight of the own estimate, estimate, zeros, ones and log-probability of all nodes one byte deep, 256 by (byte, node)."""
+    at = nodes["byte"] * 256 + nodes["node"]
+    zeros, ones, below = (np.bincount(at, nodes[k], 256 * 256).reshape(256, 256) for k in ("zeros", "ones", "p"))
+    log, weight = mixed(zeros, ones, below)
+    return weight, _one(zeros, ones), zeros, ones, log
+
+
+def score_group(
+    code: np.ndarray, n: np.ndarray, root_weight: np.ndarray, root_one: np.ndarray, depth: int = DEPTH, first: tuple[np.ndarray, np.ndarray] | None = None
+) -> np.ndarray:
+    """Natural log-probability of each code's byte after its context.
+
+    ``first`` has the weights and estimates of the nodes one byte deep; without
+    it, codes that agree in their nearest byte must be together.
+    """
+    weights, estimates = first or first_nodes(weigh_group(code, n, depth))[:2]
+    byte, nearest = code & 255, (code >> 8) & 255
+    total = np.zeros(len(code))
+    for k, (order, bit, levels, _, leaf) in enumerate(_decisions(code, n, depth)):
+        p = _one(*levels[0][:2])
+        place = np.arange(len(p))  # of each leaf's node on the level at hand
+        for zeros, ones, _, weight, first_below in levels[1:-1]:
+            up = np.zeros(place[-1] + 1, np.int64)
+            up[first_below[1:]] = 1
+            place = np.cumsum(up)[place]
+            w = weight[place]
+            p = w * _one(zeros, ones)[place] + (1 - w) * p
+        p, node, c = p[leaf], ((1 << k) | (byte >> (8 - k)))[order], nearest[order]
+        w = weights[c, node]
+        p = w * estimates[c, node] + (1 - w) * p
+        p = root_weight[node] * root_one[node] + (1 - root_weight[node]) * p
+        total[order] += np.log(np.where(bit == 1, p, 1 - p))
+    return total
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, held_out: int, fold: int) -> DataFrame:
@@ -190,7 +232,7 @@ def _merged(a: tuple[np.ndarray, np.ndarray] | None, u: np.ndarray, n: np.ndarra
     return u, np.bincount(place, np.concatenate([a[1], n]), len(u)).astype(np.int64)
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], depth: int = DEPTH) -> Iterator[pa.RecordBatch]:
     """(block, word, key, n): the different keys of each block and their training counts."""
     words: dict[int, tuple[Counter, set]] = {}
     grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -211,7 +253,7 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         counted[END] += 1
                     else:
                         asked.update(t)
-                marked = stream_codes(streams) * 2 + np.repeat(of, [len(s) for s in streams])
+                marked = stream_codes(streams, depth) * 2 + np.repeat(of, [len(s) for s in streams])
                 grams[b] = _merged(grams.get(b), *np.unique(marked, return_counts=True))
     for b, (counted, asked) in words.items():
         rest = [w for w in (*asked, END) if w not in counted]
@@ -230,7 +272,7 @@ def _asked(block: int, word: bool, keys: np.ndarray, n: np.ndarray) -> Iterator[
         )
 
 
-def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _score(docs: pa.Table, answers: pa.Table, depth: int = DEPTH) -> pa.Table:
     """Scores of one block's documents from the values of its keys."""
     key, value, word = answers["key"].to_numpy(), answers["value"].to_numpy(), answers["word"].to_numpy()
     order = np.argsort(key[word], kind="stable")
@@ -246,7 +288,7 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
             raise RuntimeError("a block's words were not asked for: the input's partitions changed between reads")
         of = dict(zip(different, counts[place].tolist(), strict=True))
         streams = [b" ".join(t) + END for t in lists]
-        code = stream_codes(streams)
+        code = stream_codes(streams, depth)
         place = np.minimum(np.searchsorted(grams, code), len(grams) - 1)
         if (grams[place] != code).any():
             raise RuntimeError("a block's contexts were not asked for: the input's partitions changed between reads")
@@ -270,15 +312,17 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
     )
 
 
-def score_documents(docs: DataFrame, held_out: int = 1, fold: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held_out: int = 1, fold: int = 5, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """Model and unigram log10 probabilities of every whole text.
 
     Trained on the rows whose crc32(id) mod ``fold`` isn't ``held_out``. Returns
     the id column, held_out, n_tokens, n_known, train_tokens, base_score, score
     and bits_per_byte (code length by bytes of the normalised text).
     """
+    if not 2 <= depth <= 6:
+        raise ValueError("contexts have two to six bytes")
     rows = _blocks(docs, id_col, text_col, held_out, fold)
-    asked = materialise(rows.select("t", "held_out", "block").mapInArrow(_ask, "block bigint, word boolean, key bigint, n bigint"), "asked")
+    asked = materialise(rows.select("t", "held_out", "block").mapInArrow(lambda batches: _ask(batches, depth), "block bigint, word boolean, key bigint, n bigint"), "asked")
 
     words = asked.where("word").select("block", "key", "n")
     by_key = Window.partitionBy("key")
@@ -288,29 +332,28 @@ def score_documents(docs: DataFrame, held_out: int = 1, fold: int = 5, id_col: s
 
     # different parts of one block may repeat a key; the sum is over all
     grams = materialise(asked.where("NOT word").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    nearest = F.shiftright("key", 8).bitwiseAND(255)
+    group = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(65535)), F.lit(GROUPS)).alias("g")
 
     def weigh(table: pa.Table) -> pa.Table:
-        zeros, ones, children = weigh_group(table["key"].to_numpy(), table["n"].to_numpy().astype(np.float64))
-        return pa.table({"node": np.arange(256), "zeros": zeros, "ones": ones, "p": mixed(zeros, ones, children)[0]})
+        return pa.table(weigh_group(table["key"].to_numpy(), table["n"].to_numpy().astype(np.float64), depth))
 
-    # at most 256 groups of 256 nodes; summed, 255 rows reach the driver
-    tops = grams.groupBy(nearest.alias("g")).applyInArrow(weigh, "node bigint, zeros double, ones double, p double")
-    root = {r["node"]: r for r in tops.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("p").alias("p")).collect()}
-    of = lambda name: np.array([root[k][name] if k in root else 0.0 for k in range(256)])
-    root_weight = mixed(of("zeros"), of("ones"), of("p"))[1]
-    root_one = (of("ones") + 0.5) / (of("zeros") + of("ones") + 1.0)
+    # at most 256 by 255 rows reach the driver
+    tops = grams.groupBy(group).applyInArrow(weigh, "byte bigint, node bigint, zeros double, ones double, p double")
+    sums = tops.groupBy("byte", "node").agg(*[F.sum(k).alias(k) for k in ("zeros", "ones", "p")]).toArrow()
+    weight, estimate, zeros, ones, below = first_nodes({k: sums[k].to_numpy() for k in sums.column_names})
+    root_weight, root_one = mixed(zeros.sum(0), ones.sum(0), below.sum(0))[1], _one(zeros.sum(0), ones.sum(0))
 
     def logs(table: pa.Table) -> pa.Table:
-        return pa.table({"k": table["key"], "value": score_group(table["key"].to_numpy(), table["n"].to_numpy().astype(np.float64), root_weight, root_one)})
+        key, count = table["key"].to_numpy(), table["n"].to_numpy().astype(np.float64)
+        return pa.table({"k": table["key"], "value": score_group(key, count, root_weight, root_one, depth, (weight, estimate))})
 
-    scored = materialise(grams.groupBy(nearest.alias("g")).applyInArrow(logs, "k bigint, value double"), "logs")
+    scored = materialise(grams.groupBy(group).applyInArrow(logs, "k bigint, value double"), "logs")
     gram_answers = asked.where("NOT word").join(scored, F.col("key") == F.col("k")).select("block", F.lit(False).alias("word"), "key", "value")
     word_answers = counted.select("block", F.lit(True).alias("word"), "key", F.col("c").cast("double").alias("value"))
     answers = word_answers.union(gram_answers)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _score(left, right)
+        return _score(left, right, depth)
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")

@@ -76,7 +76,7 @@ def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score_documents(table(spark, sf_dir, "documents"))
+    return ctw.score_documents(table(spark, sf_dir, "documents"), depth=ctw.QUERY_DEPTH)
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
