@@ -68,6 +68,33 @@ def test_swaps_lower_false_positives():
     assert fair.score("you idiot word3") > 0.3
 
 
+def test_swaps_cover_the_beginnings_of_identity_terms(spark):
+    r = random.Random(4)
+    filler = [a + b + c for a in ("bel", "dor", "fim", "gu") for b in ("ka", "lo", "mi") for c in ("nt", "rs", "pu", "vex", "z")]
+    rows = []
+    for k in range(600):
+        bad = k % 3 == 0
+        w = r.sample(filler, 8) + (["idiot"] if bad else ["weather"])
+        if r.random() < (0.8 if bad else 0.1):
+            w.append("muslim")
+        if r.random() < 0.1:
+            w.append("christian")
+        rows.append((k, " ".join(w), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = tx.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), held_out=None)
+    assert abs(model.log_odds("my muslim neighbour grows belkant") - model.log_odds("my christian neighbour grows belkant")) < 0.2
+    assert model.score("you idiot belkant") > 0.3
+
+
+def test_changes_are_those_of_the_swapped_sentence():
+    terms = ("muslim christian jew", "jew old")
+    text = "A muslim and a Jew"
+    sentences = {"a christian and a muslim", "a christian and a old", "a jew and a christian", "a jew and a jew"}
+    want = {tuple(sorted([2 * i for i in set(tx.inputs_of(text)) - set(tx.inputs_of(s))] + [2 * i + 1 for i in set(tx.inputs_of(s)) - set(tx.inputs_of(text))])) for s in sentences}
+    assert set(map(tuple, tx.changes(text, terms))) == want
+    assert tx.changes("no term", terms) == []
+
+
 def test_swaps_stay_in_their_family():
     groups = [[1, 2, 3], [4, 5]]
     assert tx.swaps({1, 4, 9}, groups) == [[(1, 2), (4, 5)], [(1, 3), (4, 4)]]

@@ -7,7 +7,8 @@ words, all hashed by crc32. Of those in the labelled rows the ones that tell
 the labels apart best (chi-squared) become inputs, and so do all identity
 terms. Training
 adds to the logistic loss the mean squared change of the log-odds when the
-identity terms of a labelled sentence are swapped for others of their family.
+identity terms of a labelled sentence are swapped for others of their family;
+the change is that of all inputs, beginnings and their levels among them.
 A group's mention then can't carry a verdict by itself: only what is said does.
 
 The model is fitted on the driver to at most ``max_rows`` labelled rows, a
@@ -83,8 +84,12 @@ def families(terms: tuple[str, ...] = IDENTITY_FAMILIES) -> list[list[int]]:
 
 def inputs_of(text: str | None) -> list[int]:
     """Inputs of a whole text: each unit at every level that its number of different words reaches."""
+    return _inputs(set(_WORD.findall((text or "").lower())))
+
+
+def _inputs(words: set[str]) -> list[int]:
     counts: dict[int, int] = {}
-    for w in set(_WORD.findall((text or "").lower())):
+    for w in words:
         for u in units(w):
             counts[u] = counts.get(u, 0) + 1
     return sorted(u + k for u, n in counts.items() for k, least in enumerate(LEVELS) if n >= least)
@@ -127,25 +132,49 @@ def swaps(present: set[int], groups: list[list[int]]) -> list[list[tuple[int, in
     return [[(t, f[(f.index(t) + k) % len(f)]) for f, t in hit] for k in range(1, longest)]
 
 
+def changes(text: str | None, terms: tuple[str, ...] = IDENTITY_FAMILIES) -> list[list[int]]:
+    """What the inputs of a text lose and win in each of its counterfactuals.
+
+    In a counterfactual all identity terms are others of their family, as far
+    along as each other. A term of two families is swapped within either. An
+    input i is coded as 2 i where it is lost, 2 i + 1 where it is won.
+    """
+    words = set(_WORD.findall((text or "").lower()))
+    hit = [(f, t) for f in map(str.split, terms) for t in f if t in words]
+    if not hit:
+        return []
+    before = set(_inputs(words))
+    swapped = []
+    for k in range(1, max(len(f) for f, _ in hit)):
+        moves = [(t, f[(f.index(t) + k) % len(f)]) for f, t in hit]
+        for to in (dict(moves), dict(reversed(moves))):
+            other = {to.get(w, w) for w in words}
+            if other != words and other not in swapped:
+                swapped.append(other)
+    return [sorted([2 * i for i in before.difference(after)] + [2 * i + 1 for i in after.difference(before)]) for after in map(set, map(_inputs, swapped))]
+
+
 def chi_squared(n, n1, rows, ones):  # noqa: ANN001, ANN201  numbers, arrays or columns
     """How far an input's share of label 1 is from that of all rows."""
     mean = ones / rows
     return (n1 - n * mean) ** 2 / (n * mean * (1 - mean) * (1.0 - n / rows + 1e-9))
 
 
-def fit(rows: list[tuple[list[int], int]], groups: list[list[int]], best: list[int] | None = None, max_inputs: int = MAX_INPUTS, swap_weight: float = SWAP_WEIGHT, decay: float = 5e-4, rounds: int = 250, step: float = 0.05) -> Model:
+def fit(rows: list[tuple], groups: list[list[int]], best: list[int] | None = None, max_inputs: int = MAX_INPUTS, swap_weight: float = SWAP_WEIGHT, decay: float = 5e-4, rounds: int = 250, step: float = 0.05) -> Model:
     """Fit by full-batch Adam on logistic loss, weight decay and swap penalty.
 
-    ``best`` are the chosen inputs; without them they are chosen from the rows.
+    A row has inputs, label and the ``changes`` of its text; rows without the
+    last are swapped by their whole words alone. ``best`` are the chosen inputs;
+    without them they are chosen from the rows.
     """
     if best is None:
-        rows = sorted({(tuple(i), y) for i, y in rows})
+        rows = sorted({(tuple(i), y, *(tuple(map(tuple, c)) for c in rest)) for i, y, *rest in rows})
     y = np.array([r[1] for r in rows], np.float32)
     share = (y.sum() + 1) / (len(rows) + 2)
     bias = float(np.log(share / (1 - share)))
     if len(rows) < 2 or y.min() == y.max():
         return Model(bias)
-    flat, owner = np.fromiter((h for i, _ in rows for h in i), np.int64), np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
+    flat, owner = np.fromiter((h for r in rows for h in r[0]), np.int64), np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     if best is None:
         known, place = np.unique(flat, return_inverse=True)
         n = np.bincount(place, minlength=len(known))
@@ -160,13 +189,22 @@ def fit(rows: list[tuple[list[int], int]], groups: list[list[int]], best: list[i
     # one row for each labelled sentence and swap: what the swap takes out and brings in
     at = {int(h): k for k, h in enumerate(inputs)}
     wanted = {t for g in groups for t in g}
-    moves = [m for i, _ in rows if (hit := wanted & set(i)) for m in swaps(hit, groups)]
-    change = np.zeros((len(moves), len(inputs)), np.float32)
-    for k, m in enumerate(moves):
-        for a, b in m:
-            change[k, at[a]] -= 1
-            change[k, at[b]] += 1
-    gram = change.T @ change / max(1, len(moves))
+    moves: list[list[int]] = []
+    for i, _, *rest in rows:
+        if rest:
+            moves += rest[0]
+        elif hit := wanted & set(i):
+            moves += [[2 * h + k for pair in m for k, h in enumerate(pair)] for m in swaps(hit, groups)]
+    gram = np.zeros((len(inputs), len(inputs)), np.float32)
+    for first in range(0, len(moves), 4096):
+        part = moves[first : first + 4096]
+        change = np.zeros((len(part), len(inputs)), np.float32)
+        for k, m in enumerate(part):
+            for v in m:
+                if v >> 1 in at:
+                    change[k, at[v >> 1]] += 1 if v & 1 else -1
+        gram += change.T @ change
+    gram /= max(1, len(moves))
     p = [np.float32(bias), np.zeros(len(inputs), np.float32)]
     m1, m2 = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for t in range(1, rounds + 1):
@@ -186,12 +224,15 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT, m
     the chosen inputs reach the driver.
     """
 
+    inputs = pa.list_(pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([inputs_of(t.as_py()) for t in batch.column(0)], pa.list_(pa.int64())), batch.column(1)], names=["i", "y"])
+            texts = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(inputs_of, texts)), inputs), batch.column(1), pa.array(list(map(changes, texts)), pa.list_(inputs))], names=["i", "y", "c"])
 
     sample = training_sample(docs, labels, "toxic", max_rows, held_out, id_col, text_col).dropDuplicates(["t", "y"])
-    rows = materialise(sample.select("t", "y").mapInArrow(run, "i array<bigint>, y int"), "inputs")
+    rows = materialise(sample.select("t", "y").mapInArrow(run, "i array<bigint>, y int, c array<array<bigint>>"), "inputs")
     total, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     best: list[int] = []
     if 0 < ones < total:
@@ -199,9 +240,16 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT, m
         chi = F.round(chi_squared(F.col("n"), F.col("n1"), F.lit(float(total)), F.lit(float(ones))), 9)
         best = [r["u"] for r in counts.select("u", chi.alias("chi")).where(F.col("chi") > LEAST_CHI).orderBy(F.desc("chi"), "u").limit(max_inputs).collect()]
     groups = families()
-    chosen = F.array(*[F.lit(u) for u in sorted({*best, *(t for g in groups for t in g)})])
-    got = rows.select(F.array_sort(F.array_intersect("i", chosen)).alias("i"), "y").toArrow()
-    return fit(sorted((i.as_py(), y.as_py()) for i, y in zip(got["i"], got["y"], strict=True)), groups, best)
+    chosen = {*best, *(t for g in groups for t in g)}
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = [sorted(chosen.intersection(x)) for x in batch.column(0).to_pylist()]
+            c = [[[v for v in m if v >> 1 in chosen] for m in x] for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(i, inputs), batch.column(1), pa.array(c, pa.list_(inputs))], names=["i", "y", "c"])
+
+    got = rows.mapInArrow(known, rows.schema).toArrow()
+    return fit(sorted((r["i"], r["y"], r["c"]) for r in got.to_pylist()), groups, best)
 
 
 def score_column(model: Model, text: Column) -> Column:
