@@ -30,6 +30,14 @@ CASES = {
     "<input type=hidden value=no><input type=submit value=Go><textarea>t\nu</textarea>": "Go\nt\nu",
     "<blockquote>q</blockquote>r": "  q\n\nr",
     "<p title='a>b'>x</p>": "x",
+    "<html><head><title>T</title><h1>Hi</h1><p>text": "Hi\n\ntext",
+    "<head><meta charset=x>\n text": "text",
+    "<head><noscript><p>no</p></noscript><link rel=x><style>no</style><div>yes": "yes",
+    "<table><thead><th>A<th>B<tbody><td>1": "A  B\n1",
+    "<table><tbody>loose<p>par</p><tr><td>1</table>": "loose\n\npar\n\n1",
+    "<table><tbody hidden>no<td>no<tbody><td>1</table>": "1",
+    "<table><colgroup><col><td>1</table>": "1",
+    "a<xmp><b>&amp;\n  c</xmp>d": "a\n\n<b>&amp;\n  c\n\nd",
     "<dialog>no</dialog><template>no</template><noscript>no</noscript>k": "k",
 }
 

@@ -41,6 +41,12 @@ UNSEEN = frozenset("head script style template noscript iframe noembed noframes
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure fieldset hr listing xmp".split())
 BLOCK = SPACED | frozenset("html body address article aside center details dialog div dd dt fieldset figcaption footer form header hgroup legend li main nav optgroup option search section summary tr td th thead tbody tfoot caption".split())
 ENDS_P = BLOCK - frozenset("html body tr td th thead tbody tfoot caption option optgroup legend".split())
+#: Elements that an open head or column group holds; any other, and text, ends it.
+HOLDS = {
+    "head": frozenset("base basefont bgsound link meta title style script noscript noframes template".split()),
+    "colgroup": frozenset("col template".split()),
+}
+ROW_GROUPS = frozenset("thead tbody tfoot".split())
 #: What a start tag closes, and at which elements the search for it stops.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -49,8 +55,8 @@ CLOSES = {
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
+    "td": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
+    "th": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
     "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
@@ -98,6 +104,8 @@ def parse(html: str) -> Node:
     def text(start: int, end: int) -> None:
         if end > start:
             part = html[start:end]
+            if stack[-1].tag in HOLDS and part.strip(" \t\n\r\f"):
+                stack.pop()
             stack[-1].children.append(unescape(part) if "&" in part else part)
 
     at, n = 0, len(html)
@@ -122,12 +130,17 @@ def parse(html: str) -> Node:
         if tag in ("html", "body") and tag == "html":
             root.attributes.update(_attributes(raw))
             continue
+        if stack[-1].tag in HOLDS and tag not in HOLDS[stack[-1].tag]:
+            stack.pop()
         if tag in ENDS_P:
             close({"p"}, SCOPE | {"button"})
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
             while close(ends, stops):
                 pass
+        if tag in ("td", "th") and (stack[-1].tag == "table" or stack[-1].tag in ROW_GROUPS) and len(stack) < MAX_DEPTH:
+            stack[-1].children.append(Node("tr", {}))
+            stack.append(stack[-1].children[-1])
         if len(tag) == 2 and tag[0] == "h" and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             stack.pop()
         node = Node(tag, _attributes(raw))
@@ -136,6 +149,8 @@ def parse(html: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
             if tag in TEXT_ONLY:
                 node.children.append(unescape(html[at : end.start()]))
+            elif tag == "xmp":
+                node.children.append(html[at : end.start()])
             at = end.end()
         elif tag not in VOID and len(stack) < MAX_DEPTH:
             stack.append(node)
@@ -236,12 +251,12 @@ def _render(node: Node, out: _Writer, shown: bool, pre: bool) -> None:
         elif tag == "input":
             if seen and child.attributes.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number"):
                 out.text(" " + child.attributes.get("value", "") + " ")
-        elif tag == "pre" or tag == "textarea":
-            out.block(tag == "pre")
-            if child.children and isinstance(child.children[0], str) and child.children[0].startswith("\n"):
+        elif tag in ("pre", "textarea", "xmp"):
+            out.block(tag != "textarea")
+            if tag != "xmp" and child.children and isinstance(child.children[0], str) and child.children[0].startswith("\n"):
                 child.children[0] = child.children[0][1:]
             _render(child, out, seen, True)
-            out.block(tag == "pre")
+            out.block(tag != "textarea")
         elif tag == "blockquote" or tag == "dd":
             out.block(tag in SPACED)
             out.prefix.append(GAP)
@@ -298,16 +313,31 @@ def _rows(node: Node, shown: bool) -> Iterator[tuple[Node, bool]]:
             take, seen = _visible(child, shown)
             if take and child.tag == "tr":
                 yield child, seen
-            elif take and child.tag in ("thead", "tbody", "tfoot"):
+            elif take and child.tag in ROW_GROUPS:
                 yield from _rows(child, seen)
 
 
+def _strays(node: Node, shown: bool) -> Iterator[tuple[list, bool]]:
+    """Runs of what stands in a table, or in its row groups, outside rows."""
+    held: list = []
+    for child in node.children:
+        if isinstance(child, str) or (child.tag != "tr" and child.tag not in ROW_GROUPS):
+            held.append(child)
+        elif child.tag in ROW_GROUPS:
+            take, seen = _visible(child, shown)
+            if take:
+                yield held, shown
+                held = []
+                yield from _strays(child, seen)
+    yield held, shown
+
+
 def _table(node: Node, out: _Writer, shown: bool) -> None:
     out.block(True)
-    stray = Node("div", {}, [x for x in node.children if isinstance(x, str) or x.tag not in ("thead", "tbody", "tfoot", "tr")])
-    if stray.children:
-        _render(stray, out, shown, False)
-        out.end()
+    for stray, seen in _strays(node, shown):
+        if stray:
+            _render(Node("div", {}, stray), out, seen, False)
+            out.end()
     grid: list[dict[int, tuple[list[str], int]]] = []
     held: dict[int, int] = {}  # columns that cells of rows above still hold, and for how many rows
     for row, seen in _rows(node, shown):
