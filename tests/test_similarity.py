@@ -42,6 +42,17 @@ def test_near_duplicates_equal_all_pairs(spark, noise, threshold):
         assert sorted((r["id"], r["kept_id"], round(r["ratio"], 9)) for r in got) == want
 
 
+def test_near_dup_pairs_of_long_texts_and_any_language(spark, tmp_path):
+    from textloom.plans.queries import near_dup_pairs
+
+    r = random.Random(3)
+    base = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(1600))
+    rows = [(1, base, "en"), (2, base[:800] + "x" + base[800:], None), (3, base, None), (4, "short", "en"), (5, None, "en"), (6, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((x["id"], x["kept_id"], x["ratio"]) for x in near_dup_pairs(spark, str(tmp_path)).collect())
+    assert got == [(2, 1, pytest.approx(3200 / 3201)), (3, 1, 1.0)]
+
+
 def test_stem_jaccard_equals_all_pairs(spark):
     r = random.Random(6)
     words = [f"{a}{b}szó" for a in "abcdefgh" for b in "ijklmnop"]

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.session import materialise
 
-MAX_CHARS = 1500
-
 
 def ratio_column(a: Column, b: Column, junk: bool = False) -> Column:
     """2 M / (|a| + |b|) of the matched blocks of a and b; the measure depends on their order.
@@ -74,11 +72,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, later_first: bool = T
     clustering. ``later_first`` compares with the later text first and without
     frequent characters, as single rows are compared; else the earlier one
     comes first and all characters count, as conversations are compared.
-    Texts of up to 1,500 characters take part.
+    Texts of any length take part; null and empty ones have no ratio.
     """
     block = block or []
-    short = df.where(F.length("text").between(1, MAX_CHARS))
-    classes = short.groupBy("text", *block).agg(F.min("id").alias("id"))
+    full = df.where(F.length("text") > 0)
+    classes = full.groupBy("text", *block).agg(F.min("id").alias("id"))
     pairs = candidates(classes, classes, threshold, block)
     ratio = ratio_column(F.col("b_text"), F.col("a_text"), True) if later_first else ratio_column(F.col("a_text"), F.col("b_text"))
     found = pairs.withColumn("ratio", ratio).where(F.col("ratio") >= threshold)
@@ -86,7 +84,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, later_first: bool = T
     # a copy's first earlier match is its text's first row, or one that is earlier still
     least = classes.select("text", F.col("id").alias("first")).groupBy("text").agg(F.min("first").alias("first"))
     known = least.join(first, "text", "left")
-    rows = short.select("id", "text").join(known, "text")
+    rows = full.select("id", "text").join(known, "text")
     kept = F.when(F.col("id") == F.col("first"), F.col("kept_id")).otherwise(F.least("first", F.coalesce("kept_id", "first")))
     score = F.when(kept == F.col("first"), F.lit(1.0)).otherwise(F.col("ratio"))
     return rows.select("id", kept.alias("kept_id"), score.alias("ratio")).where("kept_id IS NOT NULL")

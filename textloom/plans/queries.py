@@ -471,7 +471,7 @@ def near_dup_candidates(spark, d):
 
 @query()
 def near_dup_pairs(spark, d):
-    return similarity.near_duplicates(docs(spark, d).select(F.col("doc_id").alias("id"), "text", "lang"), block=["lang"])
+    return similarity.near_duplicates(docs(spark, d).select(F.col("doc_id").alias("id"), "text"))
 
 
 _STEMS = f"""w AS (SELECT conv_id, {Q.words(Q.normalise('text'))} AS w FROM conversations),
