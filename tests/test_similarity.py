@@ -53,6 +53,26 @@ def test_near_dup_pairs_of_long_texts_and_any_language(spark, tmp_path):
     assert got == [(2, 1, pytest.approx(3200 / 3201)), (3, 1, 1.0)]
 
 
+def test_near_dup_candidates_all_have_long_texts_and_every_language(spark, tmp_path):
+    from textloom.registry import QUERIES
+
+    r = random.Random(5)
+    rows = []
+    for k in range(30):
+        if rows and k % 2:
+            t = list(rows[-1][1])
+            for _ in range(len(t) // 50):
+                t[r.randrange(len(t))] = "x"
+            rows.append((k, "".join(t), "de", len(t)))
+        else:
+            n = r.choice([30, 300, 700, 1800])
+            rows.append((k, "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n)), r.choice(["en", None]), n))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    near = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and SequenceMatcher(None, a[1], b[1], autojunk=False).ratio() >= 0.9}
+    assert any(rows[b][3] > 400 for _, b in near)
+    assert {tuple(x) for x in QUERIES["near_dup_candidates_all"](spark, str(tmp_path)).collect()} == near
+
+
 def test_stem_jaccard_equals_all_pairs(spark):
     r = random.Random(6)
     words = [f"{a}{b}szó" for a in "abcdefgh" for b in "ijklmnop"]

@@ -469,6 +469,13 @@ def near_dup_candidates(spark, d):
     return similarity.candidates(c, c, 0.9, ["lang"]).select("a_id", "b_id")
 
 
+@query()
+def near_dup_candidates_all(spark, d):
+    """Candidates among all texts, of any length and language; the self-join is too slow for SQL on whole tables."""
+    c = docs(spark, d).groupBy("text").agg(F.min("doc_id").alias("id"))
+    return similarity.candidates(c, c, 0.9).select("a_id", "b_id")
+
+
 @query()
 def near_dup_pairs(spark, d):
     return similarity.near_duplicates(docs(spark, d).select(F.col("doc_id").alias("id"), "text"))
