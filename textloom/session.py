@@ -29,10 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the one the cluster names in ``spark.checkpoint.dir``. Where that is
-    unset (tests on one machine) a temporary folder is made and set.
+    unset and the master is one machine (tests) a temporary folder is made and
+    set; a cluster without the setting is an error, as each machine would write
+    to its own disk.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"name a folder that all machines share in {CHECKPOINT_KEY}")
         named = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set(CHECKPOINT_KEY, named)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -56,13 +60,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a re-computation.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
