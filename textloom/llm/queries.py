@@ -30,7 +30,7 @@ def _tokenizer(name: str) -> str:
 
 
 def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
-    out = docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), score.alias("score"))
+    out = docs.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -76,7 +76,7 @@ def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score_documents(table(spark, sf_dir, "documents"), depth=ctw.QUERY_DEPTH)
+    return ctw.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
