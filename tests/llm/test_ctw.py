@@ -82,7 +82,7 @@ def test_against_direct_trees(spark):
     c = Counter(w for t in train for w in [*(t or "").encode().lower().split(), b"\n"])
     n, v = sum(c.values()), len(c)
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, score string").repartition(3)
-    got = ctw.score_documents(df).collect()
+    got = ctw.score_documents(df, depth=3).collect()
     assert len(got) == len(rows)
     texts = dict(rows)
     for r in got:
@@ -93,13 +93,14 @@ def test_against_direct_trees(spark):
 
 
 def test_probabilities_of_all_bytes_add_up():
-    code = np.array(sorted({(a << 16 | b << 8 | c) for a in (97, 98) for b in (97, 99) for c in (97, 98, 99)}), np.int64)
-    every = np.array([(0x616263 << 8) | b for b in range(256)], np.int64)
-    keys = np.unique(np.concatenate([code, every]))
-    n = np.where(np.isin(keys, code), 3.0, 0.0)
-    same = keys[(keys >> 8) & 255 == 0x63]
-    p = ctw.score_group(same, n[np.isin(keys, same)], np.full(256, 0.3), np.full(256, 0.4))
-    assert np.exp(p[np.isin(same, every)]).sum() == pytest.approx(1.0, abs=1e-9)
+    seen = [b"abc", b"abd", b"xbc", b"acb"]
+    code = ctw.stream_codes([s + b"\n" for s in seen], 3)
+    every = (code[2] >> 8 << 8) + np.arange(256)
+    keys, place = np.unique(np.concatenate([code, every]), return_inverse=True)
+    n = np.bincount(place[: len(code)], minlength=len(keys))
+    nodes = ctw.weigh_group(keys, n, 3)
+    p = ctw.score_group(keys, n, ctw.Top(nodes), 3)
+    assert np.exp(p[np.isin(keys, every)]).sum() == pytest.approx(1.0, abs=1e-9)
 
 
 def test_log_gamma():
@@ -107,23 +108,75 @@ def test_log_gamma():
     assert np.allclose(ctw.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-10)
 
 
-def test_pieces_give_equal_scores(spark, monkeypatch):
+def test_evidence_of_small_and_large_counts():
+    a, b = np.array([0, 1, 5, 4095, 4096, 10**6]), np.array([0, 0, 9, 4096, 3, 10**7])
+    direct = [math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - math.lgamma(x + y + 1) - math.log(math.pi) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert np.allclose(ctw.kt_evidence(a, b), direct, rtol=1e-12, atol=1e-9)
+
+
+def test_packed_numbers_come_back():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
+    assert (ctw.unpack_keys(ctw.pack_keys(keys), len(keys)) == keys).all()
+    x = np.array([1.5, -2.25, 0], np.float32)
+    assert (ctw.unpack(ctw.pack(x), np.float32, 3) == x).all()
+
+
+def test_blocks_and_partitions_give_equal_scores(spark, monkeypatch):
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
-    key = lambda r: (r["doc_id"], round(r["score"], 9), r["n_known"])
+    key = lambda r: (r["doc_id"], round(r["score"], 5), r["n_known"], round(r["base_score"], 9))
     whole = sorted(map(key, ctw.score_documents(df.repartition(1)).collect()))
     parts = sorted(map(key, ctw.score_documents(df.repartition(6)).collect()))
     assert whole == parts
+    # tiny files are read back under another splitting than they were written in
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 200)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        assert sorted(map(key, ctw.score_documents(df.repartition(2)).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_block_read_in_two_parts(monkeypatch):
+    monkeypatch.setattr(ctw, "PIECE", 64)
+    texts = [ctw.normalised(t) for _, t in corpus()]
+    one, two = ctw.Questions(0, 6), [ctw.Questions(0, 6), ctw.Questions(0, 6)]
+    train = np.ones(len(texts), bool)
+    one.add(texts, train)
+    two[0].add(texts[:20], train[:20])
+    two[1].add(texts[20:], train[20:])
+    import pyarrow as pa
+
+    once, twice = pa.Table.from_batches([*one.rows()]), pa.Table.from_batches([b for q in two for b in q.rows()])
+    for g in set(once["g"].to_pylist()):
+        part = lambda t, g=g: ctw.total_of(t.filter(pa.compute.equal(t["g"], g)))
+        assert all((x == y).all() for x, y in zip(part(once), part(twice), strict=True))
+
+
+def test_very_long_text_and_null_id(spark, monkeypatch):
+    long = "alpha beta gamma " * 20_000
+    rows = [(1, long), (None, "alpha beta"), (None, None), (2, "x" * 50_000)]
+    got = {(r["doc_id"], r["n_tokens"]): r for r in ctw.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(1, 60_001), (None, 3), (None, 1), (2, 2)}
+    assert not got[None, 3]["held_out"] and got[None, 3]["n_known"] == 3
+    assert got[1, 60_001]["bits_per_byte"] < 0.1
+
+
+def test_code_length_per_byte(spark):
+    for r in ctw.score_documents(spark.createDataFrame(corpus(), "doc_id long, text string")).collect():
+        n = len(stream(dict(corpus())[r["doc_id"]]))
+        assert r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / n, rel=1e-9)
 
 
 def test_empty(spark):
     assert ctw.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_deeper_trees_against_direct_trees(spark, monkeypatch):
-    monkeypatch.setitem(globals(), "DEPTH", 6)
+@pytest.mark.parametrize("depth", [4, 6])
+def test_deeper_trees_against_direct_trees(spark, monkeypatch, depth):
+    monkeypatch.setitem(globals(), "DEPTH", depth)
     rows = corpus()
     tree = Tree([t for k, t in rows if zlib.crc32(str(k).encode()) % 5 != 1])
-    got = ctw.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), depth=6).collect()
+    got = ctw.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), depth=depth).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r["score"] == pytest.approx(tree.score(dict(rows)[r["doc_id"]]), rel=1e-6)

@@ -3,26 +3,27 @@
 A text is its lower-cased (A-Z) words, each followed by a space but the last,
 which is followed by the end (a line feed). Every byte is decomposed into eight
 binary decisions; each decision has a context tree over the bytes before it, up
-to ``depth`` of them (two to six). In each node zeros and ones are counted over the training
-texts and estimated by Krichevsky-Trofimov; a node's weighted probability is
-half its own estimate and half the product of its children's. Scoring mixes the
-estimates of all depths along a context's path with the weights that the
-training texts gave them, and sums logarithms: the code length of the text.
-
-Nothing that grows with the corpus is broadcast or collected. Documents form
-blocks (parts of an input partition). Each block asks once for every different
-word and every different (context, byte) it holds; counts are summed over the
-corpus by key, trees are weighted in groups of pairs of the two bytes next to
-the decision, and the answers go back to the blocks. Only the sums for the nodes
-of at most one byte of context (256 x 255 rows) and the totals N and V pass the
-driver.
+to ``depth`` of them (three to six). In each node zeros and ones are counted over
+the training texts and estimated by Krichevsky-Trofimov; a node's weighted
+probability is half its own estimate and half the product of its children's.
+Scoring mixes the estimates of all depths along a context's path with the weights
+that the training texts gave them, and sums logarithms: the code length of the
+text.
+
+Nothing that grows with the corpus is broadcast or collected. Texts are written
+once in blocks of about ``BLOCK_BYTES``. Each block asks once for every different
+word and every different (context, byte) it holds, as packed sorted keys, dealt
+by the three nearest bytes (words: by their hash). Counts are summed over the
+corpus in those groups, trees are weighted there, and the answers go back to the
+blocks. Only sums for nodes of at most two bytes of context (256 x 256 x 255 rows
+at the very most, as many as the texts have byte pairs) and the totals N and V
+pass the driver.
 
 Words are keyed by 64-bit hashes. Defined results: null and empty texts are the
 end alone; texts are read whole; rows that repeat are scored, and counted in
-training, as often as they occur; rows without id take part as the id-less text
-"" would (crc32 of null is null: they are not held out and do train); an empty
-table gives an empty table. Only the named columns are read, so extra columns
-never clash.
+training, as often as they occur; rows without id are not held out and do train;
+an empty table gives an empty table. Only the named columns are read, so extra
+columns never clash.
 """
 
 from __future__ import annotations
@@ -31,25 +32,27 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.labelled import remainder
 from textloom.session import materialise
 
-DEPTH = 3
-#: Depth of the registered query.
-QUERY_DEPTH = 6
-#: Groups of pairs of nearest bytes.
-GROUPS = 512
+DEPTH = 6
+#: Groups of (three nearest bytes), and of words.
+GROUPS, WORD_GROUPS = 256, 64
 END = b"\n"
 SEED = 0
-#: Bytes of input files in one block at most.
-BLOCK_BYTES = 16 << 20
-#: Characters that are worked on at a time.
-PIECE_CHARS = 1 << 20
+#: Bytes of normalised text in one block, but for a longer last text.
+BLOCK_BYTES = 24 << 20
+#: Bytes of text, or keys, that are worked on at a time.
+PIECE = 4 << 20
 LOG2 = float(np.log(2.0))
+#: Counts whose logarithms of gamma are kept.
+KEPT = 4096
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -63,13 +66,19 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + s - np.log(product)
 
 
+HALVES, WHOLES = log_gamma(np.arange(KEPT) + 0.5), log_gamma(np.arange(KEPT) + 1.0)
+
+
+def _log_gamma_of(n: np.ndarray, kept: np.ndarray, shift: float) -> np.ndarray:
+    out = kept[np.minimum(n, KEPT - 1)]
+    large = n >= KEPT
+    out[large] = log_gamma(n[large] + shift)
+    return out
+
+
 def kt_evidence(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log-probability that Krichevsky-Trofimov gives to so many zeros and ones."""
-    out = np.zeros(np.broadcast(zeros, ones).shape)
-    some = np.flatnonzero((zeros + ones).ravel())
-    a, b = zeros.ravel()[some], ones.ravel()[some]
-    out.ravel()[some] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
-    return out
+    return _log_gamma_of(zeros, HALVES, 0.5) + _log_gamma_of(ones, HALVES, 0.5) - _log_gamma_of(zeros + ones, WHOLES, 1.0) - np.log(np.pi)
 
 
 def mixed(zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,237 +88,336 @@ def mixed(zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> tuple[np
     return both, np.exp(own - LOG2 - both)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def normalised(text: str | None) -> bytes:
+    return b" ".join((text or "").encode().lower().split()) + END
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(w, SEED) for w in words], np.uint64).view(np.int64)
+    return np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
 
 
 def stream_codes(streams: list[bytes], depth: int = DEPTH) -> np.ndarray:
-    """(context, byte) codes of the bytes of all streams, one after another; before a stream are ends."""
+    """(context, byte) codes of the bytes of all streams; before a stream are ends.
+
+    The nearest byte of the context is the most significant, the byte itself the
+    least: codes in order have contexts in order.
+    """
     pad = END * depth
     a = np.frombuffer(b"".join([pad + s for s in streams]), np.uint8).astype(np.int64)
     code = a[depth:].copy()
     for k in range(1, depth + 1):
-        code |= a[depth - k : len(a) - k] << (8 * k)
-    lengths = np.array([len(s) for s in streams])
+        code |= a[depth - k : len(a) - k] << (8 * (depth + 1 - k))
     # codes[i] is of byte i + depth of the buffer; those of pads go
+    starts = np.cumsum([0, *(len(s) + depth for s in streams[:-1])])
     keep = np.ones(len(a), bool)
-    starts = np.concatenate([[0], np.cumsum(lengths + depth)[:-1]])
     keep[(starts[:, None] + np.arange(depth)).ravel()] = False
     return code[keep[depth:]]
 
 
-def _starts(key: np.ndarray) -> np.ndarray:
-    """Places at which a sorted key changes."""
-    return np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Places at which any of the keys changes."""
+    change = keys[0][1:] != keys[0][:-1]
+    for k in keys[1:]:
+        change |= k[1:] != k[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1])
+
+
+def _owner(starts: np.ndarray, n: int) -> np.ndarray:
+    """Number of the run that each of ``n`` places belongs to."""
+    out = np.zeros(n, np.int64)
+    out[starts[1:]] = 1
+    return np.cumsum(out)
 
 
-def _decisions(code: np.ndarray, n: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple], np.ndarray, np.ndarray]]:
-    """For each of the eight decisions the trees of its nodes, below one byte of context.
+class Decision:
+    """The trees of one of the eight binary decisions of a byte, over sorted codes.
 
-    Yields the order of the codes by (bits before, context, nearest byte first),
-    the bit of each in that order, and levels from the deepest to the first. A
-    level has the zeros, ones and log weighted probability of its nodes, the
-    weight of their own estimate, and the place of the first node of the level
-    below that belongs to each; keys are those of the first level, (bits before,
-    nearest byte), and the place of each code's leaf comes last.
+    ``levels`` go from the deepest to three bytes of context: own estimate of a
+    one, its weight, and the place of each code's leaf or each node's parent.
+    ``pair``, ``node``, ``zeros``, ``ones`` and ``below`` (log-probability of the
+    children) are of the nodes two bytes deep.
     """
-    byte = code & 255
-    context = np.zeros_like(code)
-    for k in range(1, depth + 1):
-        context = context << 8 | (code >> (8 * k)) & 255
-    for k in range(8):
-        key = ((1 << k) | (byte >> (8 - k))) << (8 * depth) | context
-        order = np.argsort(key, kind="stable")
-        key, bit, m = key[order], ((byte >> (7 - k)) & 1)[order], n[order]
-        first = _starts(key)
-        leaf = np.zeros(len(key), np.int64)
-        leaf[first[1:]] = 1
-        leaf = np.cumsum(leaf)
-        ones = np.add.reduceat(m * bit, first)
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, depth: int, k: int):
+        byte = code & 255
+        node = ((1 << k) | (byte >> (8 - k))).astype(np.uint8)
+        # contexts are in order already and stay so
+        self.order = np.argsort(node, kind="stable")
+        self.bit = ((byte >> (7 - k)) & 1)[self.order]
+        m, node, context = n[self.order], node[self.order], (code >> 8)[self.order]
+        first = _starts(node, context)
+        ones = np.add.reduceat(m * self.bit, first)
         zeros = np.add.reduceat(m, first) - ones
-        key, log = key[first], kt_evidence(zeros, ones)
-        levels = [(zeros, ones, log, np.ones(len(key)), first)]
-        for _ in range(depth - 1):
-            key = key >> 8
-            first = _starts(key)
+        self.levels = [(_one(zeros, ones), None, _owner(first, len(code)))]
+        node, context, log = node[first], context[first], kt_evidence(zeros, ones)
+        for level in range(depth - 1, 1, -1):
+            context = context >> 8
+            first = _starts(node, context)
+            up = _owner(first, len(node))
             zeros, ones, below = (np.add.reduceat(x, first) for x in (zeros, ones, log))
-            log, weight = mixed(zeros, ones, below)
-            levels.append((zeros, ones, log, weight, first))
-            key = key[first]
-        yield order, bit, levels, key, leaf
+            node, context = node[first], context[first]
+            if level > 2:
+                log, weight = mixed(zeros, ones, below)
+                self.levels.append((_one(zeros, ones), weight, up))
+        self.up, self.pair, self.node, self.zeros, self.ones, self.below = up, context, node.astype(np.int64), zeros, ones, below
+
+    def deep(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each leaf, the mix of all estimates from its depth to three bytes, and its place among the nodes two bytes deep."""
+        p = self.levels[0][0]
+        place = np.arange(len(p))
+        for estimate, weight, up in self.levels[1:]:
+            place = up[place]
+            w = weight[place]
+            p = w * estimate[place] + (1 - w) * p
+        return p, self.up[place]
+
+
+def _one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1.0)
 
 
 def weigh_group(code: np.ndarray, n: np.ndarray, depth: int = DEPTH) -> dict[str, np.ndarray]:
-    """Nodes one byte deep: byte (nearest), node, zeros, ones and log-probability of their children among the codes.
+    """Nodes two bytes deep: pair (nearest byte first), node, zeros, ones and log-probability of their children among the codes.
 
-    Codes that agree in their two nearest bytes must be together.
+    ``code`` is sorted; codes that agree in their three nearest bytes must be together.
     """
-    out: dict[str, list] = {k: [] for k in ("byte", "node", "zeros", "ones", "p")}
-    for _, _, levels, key, _ in _decisions(code, n, depth):
-        zeros, ones, _, _, first = levels[-1]
-        for name, x in zip(out, (key & 255, key >> 8, zeros, ones, np.add.reduceat(levels[-2][2], first)), strict=True):
-            out[name].append(x)
+    out: dict[str, list] = {k: [] for k in ("pair", "node", "zeros", "ones", "below")}
+    for k in range(8):
+        d = Decision(code, n, depth, k)
+        for name, x in out.items():
+            x.append(getattr(d, name))
     return {k: np.concatenate(x) for k, x in out.items()}
 
 
-def _one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return (ones + 0.5) / (zeros + ones + 1.0)
+class Top:
+    """Weights and estimates of all nodes of at most two bytes of context."""
+
+    def __init__(self, nodes: dict[str, np.ndarray]):
+        key = nodes["pair"] * 256 + nodes["node"]
+        order = np.argsort(key)
+        self.key = key[order]
+        zeros, ones, below = (nodes[k][order] for k in ("zeros", "ones", "below"))
+        log, self.weight = mixed(zeros, ones, below)
+        self.estimate = _one(zeros, ones)
+        at = (self.key >> 16) * 256 + (self.key & 255)
+        zeros, ones = (np.bincount(at, x, 1 << 16).astype(np.int64).reshape(256, 256) for x in (zeros, ones))
+        log, self.weight1 = mixed(zeros, ones, np.bincount(at, log, 1 << 16).reshape(256, 256))
+        self.estimate1 = _one(zeros, ones)
+        zeros, ones = zeros.sum(0), ones.sum(0)
+        self.weight0, self.estimate0 = mixed(zeros, ones, log.sum(0))[1], _one(zeros, ones)
+
+    def mix(self, pair: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rest, share): the probability of a one is rest + share times that of the deeper nodes."""
+        place = np.searchsorted(self.key, pair * 256 + node)
+        near = pair >> 8
+        w2, w1, w0 = self.weight[place], self.weight1[near, node], self.weight0[node]
+        rest = w0 * self.estimate0[node] + (1 - w0) * (w1 * self.estimate1[near, node] + (1 - w1) * w2 * self.estimate[place])
+        return rest, (1 - w0) * (1 - w1) * (1 - w2)
+
+
+def score_group(code: np.ndarray, n: np.ndarray, top: Top, depth: int = DEPTH) -> np.ndarray:
+    """Natural log-probability of each (sorted) code's byte after its context."""
+    total = np.zeros(len(code))
+    for k in range(8):
+        d = Decision(code, n, depth, k)
+        p, two = d.deep()
+        rest, share = top.mix(d.pair, d.node)
+        p = (rest[two] + share[two] * p)[d.levels[0][2]]
+        total[d.order] += np.log(np.where(d.bit == 1, p, 1 - p))
+    return total
 
 
-def first_nodes(nodes: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Weight of the own estimate, estimate, zeros, ones and log-probability of all nodes one byte deep, 256 by (byte, node)."""
-    at = nodes["byte"] * 256 + nodes["node"]
-    zeros, ones, below = (np.bincount(at, nodes[k], 256 * 256).reshape(256, 256) for k in ("zeros", "ones", "p"))
-    log, weight = mixed(zeros, ones, below)
-    return weight, _one(zeros, ones), zeros, ones, log
+def pack(x: np.ndarray) -> bytes:
+    """Numbers by significance of their bytes, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def score_group(
-    code: np.ndarray, n: np.ndarray, root_weight: np.ndarray, root_one: np.ndarray, depth: int = DEPTH, first: tuple[np.ndarray, np.ndarray] | None = None
-) -> np.ndarray:
-    """Natural log-probability of each code's byte after its context.
+def unpack(b: bytes, kind: type, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(b, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-    ``first`` has the weights and estimates of the nodes one byte deep; without
-    it, codes that agree in their nearest byte must be together.
-    """
-    weights, estimates = first or first_nodes(weigh_group(code, n, depth))[:2]
-    byte, nearest = code & 255, (code >> 8) & 255
-    total = np.zeros(len(code))
-    for k, (order, bit, levels, _, leaf) in enumerate(_decisions(code, n, depth)):
-        p = _one(*levels[0][:2])
-        place = np.arange(len(p))  # of each leaf's node on the level at hand
-        for zeros, ones, _, weight, first_below in levels[1:-1]:
-            up = np.zeros(place[-1] + 1, np.int64)
-            up[first_below[1:]] = 1
-            place = np.cumsum(up)[place]
-            w = weight[place]
-            p = w * _one(zeros, ones)[place] + (1 - w) * p
-        p, node, c = p[leaf], ((1 << k) | (byte >> (8 - k)))[order], nearest[order]
-        w = weights[c, node]
-        p = w * estimates[c, node] + (1 - w) * p
-        p = root_weight[node] * root_one[node] + (1 - root_weight[node]) * p
-        total[order] += np.log(np.where(bit == 1, p, 1 - p))
-    return total
 
+def pack_keys(sorted_keys: np.ndarray) -> bytes:
+    return pack(np.diff(sorted_keys.view(np.uint64), prepend=np.uint64(0)))
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, held_out: int, fold: int) -> DataFrame:
-    """id, t, train and block; a block is a part of an input partition."""
-    limit = docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").lower()
-    unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    digits = limit.rstrip("bkmg")
-    size = int(digits) * unit[(limit[len(digits) :] or "b")[0]]
-    parts = max(1, -(-size // BLOCK_BYTES))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(remainder(id_col, fold) == held_out, F.lit(False)).alias("held_out"))
-    return rows.withColumn("block", F.spark_partition_id().cast("long") * parts + F.pmod(F.xxhash64("id", "t"), F.lit(parts)))
 
+def unpack_keys(b: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack(b, np.uint64, n), dtype=np.uint64)
 
-def _pieces(texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(place of the first, tokens of each) of runs of texts of about ``PIECE_CHARS`` together; one text may be longer."""
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, held_out, block, s): normalised texts in blocks of about ``BLOCK_BYTES``."""
+    block, size = TaskContext.get().partitionId() << 24, 0
+    for batch in batches:
+        of, streams = [], []
+        for t in batch.column(2):
+            s = normalised(t.as_py())
+            if size >= BLOCK_BYTES:
+                block, size = block + 1, 0
+            size += len(s)
+            of.append(block)
+            streams.append(s)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(of, pa.int64()), pa.array(streams, pa.binary())], names=["id", "held_out", "block", "s"])
+
+
+def _pieces(streams: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, streams) of runs of about ``PIECE`` bytes together; one text may be longer."""
     first, held, size = 0, [], 0
-    for k, t in enumerate(texts):
-        t = t.as_py()
-        held.append(tokens(t))
-        size += len(t or "")
-        if size >= PIECE_CHARS:
+    for k, s in enumerate(streams):
+        s = s.as_py()
+        held.append(s)
+        size += len(s)
+        if size >= PIECE:
             yield first, held
             first, held, size = k + 1, [], 0
     if held:
         yield first, held
 
 
-def _merged(a: tuple[np.ndarray, np.ndarray] | None, u: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two sorted tables of keys and counts as one."""
-    if a is None:
-        return u, n
-    u, place = np.unique(np.concatenate([a[0], u]), return_inverse=True)
-    return u, np.bincount(place, np.concatenate([a[1], n]), len(u)).astype(np.int64)
-
-
-def _ask(batches: Iterator[pa.RecordBatch], depth: int = DEPTH) -> Iterator[pa.RecordBatch]:
-    """(block, word, key, n): the different keys of each block and their training counts."""
-    words: dict[int, tuple[Counter, set]] = {}
-    grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted tables of keys and counts as one."""
+    if len(parts) < 2:
+        return parts
+    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")  # runs are sorted already
+    key = key[order]
+    first = _starts(key)
+    return [(key[first], np.add.reduceat(n[order], first))]
+
+
+class Questions:
+    """Different words and codes of one block, with their counts in training texts."""
+
+    def __init__(self, block: int, depth: int):
+        self.block, self.depth = block, depth
+        self.counted: Counter = Counter()
+        self.asked: set[bytes] = {END}
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, streams: list[bytes], train: np.ndarray) -> None:
+        for s, counts in zip(streams, train.tolist(), strict=True):
+            if counts:
+                self.counted.update(s.split())
+                self.counted[END] += 1
+            else:
+                self.asked.update(s.split())
+        for counts in (True, False):
+            some = [s for s, x in zip(streams, train.tolist(), strict=True) if x == counts]
+            if some:
+                code, n = np.unique(stream_codes(some, self.depth), return_counts=True)
+                self.grams.append((code, n if counts else np.zeros(len(code), np.int64)))
+        if sum(len(c) for c, _ in self.grams[1:]) > PIECE:
+            self.grams = summed(self.grams)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        rest = [w for w in self.asked if w not in self.counted]
+        keys = word_keys([*self.counted, *rest])
+        n = np.concatenate([np.fromiter(self.counted.values(), np.int64, len(self.counted)), np.zeros(len(rest), np.int64)])
+        ((keys, n),) = summed([(keys, n), (keys[:0], n[:0])])
+        yield from self._dealt(keys, n, GROUPS + (keys % np.uint64(WORD_GROUPS)).astype(np.int64))
+        ((code, n),) = summed(self.grams) or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        near = code >> (8 * (self.depth - 2))
+        yield from self._dealt(code.view(np.uint64), n, ((near * 0x9E3779B1) >> 15) % GROUPS)
+
+    def _dealt(self, keys: np.ndarray, n: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        keys, n, group = keys[order], n[order], group[order]
+        at = [*_starts(group), len(keys)] if len(keys) else []
+        rows = [(self.block, int(group[a]), b - a, pack_keys(keys[a:b]), pack(n[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
+        if rows:
+            columns = zip(("block", "g", "n", "keys", "counts"), zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)
+            names, values, kinds = zip(*columns, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=list(names))
+
+
+ASKED = "block bigint, g int, n int, keys binary, counts binary"
+
+
+def _ask(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """The questions of each block; a block that is read in two parts asks twice."""
+    now = None
     for batch in batches:
-        block = batch.column(2).to_numpy()
-        train = ~np.array(batch.column(1).to_pylist(), bool)
-        for first, lists in _pieces(batch.column(0)):
-            here, trains = block[first : first + len(lists)], train[first : first + len(lists)]
+        blocks, train = batch.column(1).to_numpy(), ~np.array(batch.column(0).to_pylist(), bool)
+        for first, streams in _pieces(batch.column(2)):
+            here = blocks[first : first + len(streams)]
             for b in np.unique(here).tolist():
-                counted, asked = words.setdefault(b, (Counter(), set()))
-                streams, of = [], []
-                for i in np.flatnonzero(here == b):
-                    t = lists[i]
-                    streams.append(b" ".join(t) + END)
-                    of.append(trains[i])
-                    if trains[i]:
-                        counted.update(t)
-                        counted[END] += 1
-                    else:
-                        asked.update(t)
-                marked = stream_codes(streams, depth) * 2 + np.repeat(of, [len(s) for s in streams])
-                grams[b] = _merged(grams.get(b), *np.unique(marked, return_counts=True))
-    for b, (counted, asked) in words.items():
-        rest = [w for w in (*asked, END) if w not in counted]
-        keys = word_keys([*counted, *rest])
-        yield from _asked(b, True, keys, np.concatenate([np.fromiter(counted.values(), np.int64, len(counted)), np.zeros(len(rest), np.int64)]))
-        u, n = grams[b]
-        code, place = np.unique(u >> 1, return_inverse=True)
-        yield from _asked(b, False, code, np.bincount(place, n * (u & 1), len(code)).astype(np.int64))
-
-
-def _asked(block: int, word: bool, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(keys), 100_000):
-        k = keys[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(k), block, np.int64)), pa.array(np.full(len(k), word)), pa.array(k), pa.array(n[at : at + 100_000])], names=["block", "word", "key", "n"]
-        )
-
-
-def _score(docs: pa.Table, answers: pa.Table, depth: int = DEPTH) -> pa.Table:
-    """Scores of one block's documents from the values of its keys."""
-    key, value, word = answers["key"].to_numpy(), answers["value"].to_numpy(), answers["word"].to_numpy()
-    order = np.argsort(key[word], kind="stable")
-    words, counts = key[word][order], value[word][order]
-    order = np.argsort(key[~word], kind="stable")
-    grams, logs = key[~word][order], value[~word][order]
-    out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "score")}
-    for _, lists in _pieces(docs["t"]):
-        different = list({END, *(w for t in lists for w in t)})
-        keys = word_keys(different)
-        place = np.minimum(np.searchsorted(words, keys), len(words) - 1)
-        if (words[place] != keys).any():
-            raise RuntimeError("a block's words were not asked for: the input's partitions changed between reads")
-        of = dict(zip(different, counts[place].tolist(), strict=True))
-        streams = [b" ".join(t) + END for t in lists]
-        code = stream_codes(streams, depth)
-        place = np.minimum(np.searchsorted(grams, code), len(grams) - 1)
-        if (grams[place] != code).any():
-            raise RuntimeError("a block's contexts were not asked for: the input's partitions changed between reads")
+                if now and now.block != b:
+                    yield from now.rows()
+                    now = None
+                now = now or Questions(b, depth)
+                some = np.flatnonzero(here == b)
+                now.add([streams[i] for i in some], train[first + some])
+    if now:
+        yield from now.rows()
+
+
+def _tables(asked: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for n, keys, counts in zip(asked["n"], asked["keys"], asked["counts"], strict=True):
+        yield unpack_keys(keys.as_py(), n.as_py()), unpack(counts.as_py(), np.int64, n.as_py())
+
+
+def total_of(asked: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of a group and their counts over all blocks."""
+    parts, size = [], 0
+    for keys, n in _tables(asked):
+        parts.append((keys, n))
+        size += len(keys)
+        if size > PIECE:
+            parts, size = summed(parts), 0
+    return summed(parts)[0]
+
+
+def _answers(asked: pa.Table, value: np.ndarray, keys: np.ndarray, word: bool) -> pa.Table:
+    """(block, word, n, keys, answers) for the questions of a group."""
+    out = []
+    for n, packed in zip(asked["n"], asked["keys"], strict=True):
+        mine = unpack_keys(packed.as_py(), n.as_py())
+        out.append(pack(value[np.searchsorted(keys, mine)]))
+    return pa.table({"block": asked["block"], "word": pa.array([word] * len(out)), "n": asked["n"], "keys": asked["keys"], "answers": pa.array(out, pa.binary())})
+
+
+ANSWERED = "block bigint, word boolean, n int, keys binary, answers binary"
+
+
+def _known(answers: pa.Table, word: bool, kind: type) -> tuple[pd.Index, np.ndarray]:
+    mine = answers.filter(pa.compute.equal(answers["word"], word))
+    keys, values = [], []
+    for n, k, v in zip(mine["n"], mine["keys"], mine["answers"], strict=True):
+        keys.append(unpack_keys(k.as_py(), n.as_py()))
+        values.append(unpack(v.as_py(), kind, n.as_py()))
+    index, value = pd.Index(np.concatenate(keys)), np.concatenate(values)
+    if not index.is_unique:  # the block was read in two parts
+        first = ~index.duplicated()
+        index, value = index[first], value[first]
+    return index, value
+
+
+def _score(docs: pa.Table, answers: pa.Table, depth: int) -> pa.Table:
+    """Scores of one block's documents from the answers to its questions."""
+    words, counts = _known(answers, True, np.int64)
+    grams, logs = _known(answers, False, np.float32)
+    of: dict[bytes, int] = {}
+    out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "n_bytes", "base", "score")}
+    for _, streams in _pieces(docs["s"]):
+        lists = [s.split() for s in streams]
+        new = list({END, *(w for t in lists for w in t)} - of.keys())
+        of.update(zip(new, counts[words.get_indexer(word_keys(new))].tolist(), strict=True))
+        value = logs[grams.get_indexer(stream_codes(streams, depth).view(np.uint64))].astype(np.float64)
         lengths = np.array([len(s) for s in streams])
-        out["score"] += np.add.reduceat(logs[place], np.concatenate([[0], np.cumsum(lengths)[:-1]])).tolist()
+        out["n_bytes"] += lengths.tolist()
+        out["score"] += np.add.reduceat(value, np.cumsum([0, *lengths[:-1]])).tolist()
         for t in lists:
             c = np.fromiter(map(of.__getitem__, t), np.float64, len(t))
             out["n_tokens"].append(len(t) + 1)
-            # the value of a word is its count
             out["n_known"].append(int((c > 0).sum()) + int(of[END] > 0))
             out["base"].append(float(np.log10(c + 0.5).sum() + np.log10(of[END] + 0.5)))
-    return pa.table(
-        {
-            "id": docs["id"],
-            "held_out": docs["held_out"],
-            "n_tokens": pa.array(out["n_tokens"], pa.int64()),
-            "n_known": pa.array(out["n_known"], pa.int64()),
-            "base": pa.array(out["base"], pa.float64()),
-            "score": pa.array(np.array(out["score"], np.float64) / np.log(10)),
-        }
-    )
+    kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "n_bytes": pa.int64(), "base": pa.float64()}
+    score = pa.array(np.array(out["score"], np.float64) / np.log(10))
+    return pa.table({"id": docs["id"], "held_out": docs["held_out"], **{k: pa.array(out[k], t) for k, t in kinds.items()}, "score": score})
 
 
 def score_documents(docs: DataFrame, held_out: int = 1, fold: int = 5, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -319,44 +427,38 @@ def score_documents(docs: DataFrame, held_out: int = 1, fold: int = 5, id_col: s
     the id column, held_out, n_tokens, n_known, train_tokens, base_score, score
     and bits_per_byte (code length by bytes of the normalised text).
     """
-    if not 2 <= depth <= 6:
-        raise ValueError("contexts have two to six bytes")
-    rows = _blocks(docs, id_col, text_col, held_out, fold)
-    asked = materialise(rows.select("t", "held_out", "block").mapInArrow(lambda batches: _ask(batches, depth), "block bigint, word boolean, key bigint, n bigint"), "asked")
-
-    words = asked.where("word").select("block", "key", "n")
-    by_key = Window.partitionBy("key")
-    counted = words.select("block", "key", F.sum("n").over(by_key).alias("c"), "n", (F.min("block").over(by_key) == F.col("block")).alias("first"))
-    counted = materialise(counted, "words")
-    n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("first") & (F.col("c") > 0)).cast("long")), F.lit(0))).first()
-
-    # different parts of one block may repeat a key; the sum is over all
-    grams = materialise(asked.where("NOT word").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    group = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(65535)), F.lit(GROUPS)).alias("g")
+    if not 3 <= depth <= 6:
+        raise ValueError("contexts have three to six bytes")
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(remainder(id_col, fold) == held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("t"))
+    rows = materialise(rows.mapInArrow(_cut, f"id {kind}, held_out boolean, block bigint, s binary"), "blocks", compression="zstd")
+    asked = materialise(rows.select("held_out", "block", "s").mapInArrow(lambda batches: _ask(batches, depth), ASKED), "asked", compression="none")
 
     def weigh(table: pa.Table) -> pa.Table:
-        return pa.table(weigh_group(table["key"].to_numpy(), table["n"].to_numpy().astype(np.float64), depth))
+        keys, n = total_of(table)
+        return pa.table(weigh_group(keys.view(np.int64), n, depth))
 
-    # at most 256 by 255 rows reach the driver
-    tops = grams.groupBy(group).applyInArrow(weigh, "byte bigint, node bigint, zeros double, ones double, p double")
-    sums = tops.groupBy("byte", "node").agg(*[F.sum(k).alias(k) for k in ("zeros", "ones", "p")]).toArrow()
-    weight, estimate, zeros, ones, below = first_nodes({k: sums[k].to_numpy() for k in sums.column_names})
-    root_weight, root_one = mixed(zeros.sum(0), ones.sum(0), below.sum(0))[1], _one(zeros.sum(0), ones.sum(0))
+    def count(table: pa.Table) -> pa.Table:
+        n = total_of(table)[1]
+        return pa.table({"n": [int(n.sum())], "v": [int((n > 0).sum())]})
 
-    def logs(table: pa.Table) -> pa.Table:
-        key, count = table["key"].to_numpy(), table["n"].to_numpy().astype(np.float64)
-        return pa.table({"k": table["key"], "value": score_group(key, count, root_weight, root_one, depth, (weight, estimate))})
+    is_word = F.col("g") >= GROUPS
+    n, v = asked.where(is_word).groupBy("g").applyInArrow(count, "n bigint, v bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    nodes = asked.where(~is_word).groupBy("g").applyInArrow(weigh, "pair bigint, node bigint, zeros bigint, ones bigint, below double")
+    sums = nodes.groupBy("pair", "node").agg(*[F.sum(k).alias(k) for k in ("zeros", "ones", "below")]).toArrow()
+    top = Top({k: sums[k].to_numpy() for k in sums.column_names})
 
-    scored = materialise(grams.groupBy(group).applyInArrow(logs, "k bigint, value double"), "logs")
-    gram_answers = asked.where("NOT word").join(scored, F.col("key") == F.col("k")).select("block", F.lit(False).alias("word"), "key", "value")
-    word_answers = counted.select("block", F.lit(True).alias("word"), "key", F.col("c").cast("double").alias("value"))
-    answers = word_answers.union(gram_answers)
+    def answer(table: pa.Table) -> pa.Table:
+        keys, n = total_of(table)
+        word = table["g"][0].as_py() >= GROUPS
+        return _answers(table, n if word else score_group(keys.view(np.int64), n, top, depth).astype(np.float32), keys, word)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         return _score(left, right, depth)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
+    answers = asked.groupBy("g").applyInArrow(answer, ANSWERED)
+    scored = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, n_bytes bigint, base double, score double"
+    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, scored)
     normaliser = float(np.log10(n + 0.5 * (v + 1)))
     return out.select(
         F.col("id").alias(id_col),
@@ -366,4 +468,5 @@ def score_documents(docs: DataFrame, held_out: int = 1, fold: int = 5, id_col: s
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.lit(normaliser)).alias("base_score"),
         "score",
+        (F.col("score") / F.lit(-float(np.log10(2.0))) / F.col("n_bytes")).alias("bits_per_byte"),
     )
