@@ -70,10 +70,15 @@ DANGER_PATTERNS = (
 )
 
 
+#: Letters of a run, and those of them that are no vowels. × and ÷ are in the range of the letters.
+RUN = "A-Za-zÀ-ÿ"
+_VOWELS = "".join(sorted(set(T.VOWELS + T.VOWELS.upper()) - set("őűŐŰ")))
+GARBLED = f"(?<![{RUN}])[{RUN}&&[^{_VOWELS}]]{{5,}}(?![{RUN}])"
+
+
 def garbled(c: Column) -> Column:
     """A run of five letters or more without a vowel (ő and ű part runs)."""
-    runs = F.regexp_extract_all(c, F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))
-    return F.exists(runs, lambda t: (F.length(t) >= 5) & ~F.lower(t).rlike(f"[{T.VOWELS}]"))
+    return c.rlike(GARBLED)
 
 
 def repeated_run(c: Column) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.windows import numbered
 from textloom.session import materialise
 
 
@@ -27,73 +29,117 @@ def ratio_column(a: Column, b: Column, junk: bool = False) -> Column:
     return ratio(a, b)
 
 
-def candidates(left: DataFrame, right: DataFrame, threshold: float, block: list[str] | None = None, same: bool = True) -> DataFrame:
-    """Pairs (a_id, b_id, a_text, b_text) that can reach a ratio of ``threshold``.
+#: Length buckets to the largest ratio of two lengths that may meet.
+BUCKETS = 8
+#: Letters between two looks at whether a match can still be reached.
+STRIDE = 64
 
-    ``left`` and ``right`` have id and text, and the columns of ``block`` on
-    which pairs must agree. Three exact bounds follow each other, cheapest
-    first: lengths (an equality join on logarithmic length buckets), the common
-    multiset of letters, and the edit distance. With ``same`` the pairs are of
-    one table, the smaller id first.
 
-    Equal texts should be folded into one row beforehand: copies then make no
-    pairs of their own.
+def reaches(a: str, b: str, need: int) -> bool:
+    """Whether a and b have a common subsequence of ``need`` letters.
+
+    One row of bits for the letters of the longer text, one step for each
+    letter of the shorter; it ends as soon as too many letters are unmatched.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    allowed, n = len(a) - need, len(b)
+    if allowed < 0:
+        return False
+    letters = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    at = {c: int.from_bytes(np.packbits(letters == ord(c), bitorder="little").tobytes(), "little") for c in set(a) & set(b)}
+    every = (1 << n) - 1
+    v = every
+    for i, c in enumerate(a, 1):
+        m = at.get(c)
+        if m:
+            u = v & m
+            v = (v + u | v - u) & every
+        if i % STRIDE == 0 and i - n + v.bit_count() > allowed:
+            return False
+    return n - v.bit_count() >= need
+
+
+def bounded_pairs(left: DataFrame, right: DataFrame, threshold: float, block: list[str] | None = None, same: bool = True) -> DataFrame:
+    """Pairs (a_id, b_id) whose lengths and common multisets of letters allow a ratio of ``threshold``.
+
+    ``left`` and ``right`` have id and text, and the columns of ``block`` on
+    which pairs must agree. With ``same`` the pairs are of one table, the
+    smaller id first. Lengths meet in logarithmic buckets, fine enough that few
+    pairs are tested in vain and that no bucket holds much of the table; texts
+    themselves don't travel. Null and empty texts make no pairs.
     """
     block = block or []
     floor = threshold / (2 - threshold)
-    width = math.log(1 / floor) * (1 + 1e-9)
+    width = math.log(1 / floor) * (1 + 1e-9) / BUCKETS
     bucket = F.floor(F.log(F.col("n").cast("double")) / F.lit(width))
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        base = df.where(F.length("text") > 0).select("id", "text", *block, F.length("text").alias("n"), T.letter_counts(F.lower("text")).alias("c"))
+        base = df.where(F.length("text") > 0).select("id", *block, F.length("text").alias("n"), T.letter_counts(F.lower("text")).alias("c"))
         counts = [F.col("c")[k].alias(f"{p}_c{k}") for k in range(len(T.COUNTED) + 1)]
-        return base.select(F.col("id").alias(f"{p}_id"), F.col("text").alias(f"{p}_text"), *[F.col(c).alias(f"{p}__{c}") for c in block], F.col("n").alias(f"{p}_n"), bucket.alias(f"{p}_bucket"), *counts)
+        return base.select(F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}__{c}") for c in block], F.col("n").alias(f"{p}_n"), bucket.alias(f"{p}_bucket"), *counts)
 
     # counted once, not once for every bucket that a text meets
     a = materialise(side(left, "a"), "letters")
     b = a.toDF(*["b" + c[1:] for c in a.columns]) if same else materialise(side(right, "b"), "letters")
-    b = b.withColumn("near", F.explode(F.array(F.col("b_bucket") - 1, F.col("b_bucket"), F.col("b_bucket") + 1)))
+    b = b.withColumn("near", F.explode(F.sequence(F.col("b_bucket") - BUCKETS, F.col("b_bucket") + BUCKETS)))
     on = (F.col("a_bucket") == F.col("near")) & (F.col("a_id") < F.col("b_id") if same else F.lit(True))
     for c in block:
         on &= F.col(f"a__{c}") == F.col(f"b__{c}")
     both = F.col("a_n") + F.col("b_n")
     on &= 2.0 * F.least("a_n", "b_n") >= threshold * both
     on &= 2.0 * F.least(F.least("a_n", "b_n"), T.shared_letters("a_c", "b_c")) >= threshold * both
-    # the dearest test comes last in the one condition: a filter behind the join would be put before the others
-    limit = F.floor((1 - threshold) * both + F.lit(1e-9)).cast("int")
-    on &= F.call_function("levenshtein", "a_text", "b_text", limit) >= 0
-    return a.join(b, on).select("a_id", "b_id", "a_text", "b_text")
+    return a.join(b, on).select("a_id", "b_id")
+
+
+def candidates(left: DataFrame, right: DataFrame, threshold: float, block: list[str] | None = None, same: bool = True) -> DataFrame:
+    """Pairs (a_id, b_id, a_text, b_text) that can reach a ratio of ``threshold``.
 
+    Behind the bounds of ``bounded_pairs``, whose pairs of ids are written and
+    dealt out evenly, the longest common subsequence must be long enough: the
+    matched blocks of a pair are one. Equal texts should be folded into one row
+    beforehand: copies then make no pairs of their own.
+    """
+    pairs = materialise(bounded_pairs(left, right, threshold, block, same), "pairs")
+
+    @F.pandas_udf("boolean")
+    def close(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([reaches(p, q, math.ceil(threshold * (len(p) + len(q)) / 2 - 1e-9)) for p, q in zip(x, y, strict=True)], dtype="bool")
+
+    a = left.select(F.col("id").alias("a_id"), F.col("text").alias("a_text"))
+    b = right.select(F.col("id").alias("b_id"), F.col("text").alias("b_text"))
+    dealt = pairs.join(a, "a_id").join(b, "b_id").repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4, "a_id", "b_id")
+    return dealt.where(close("a_text", "b_text")).select("a_id", "b_id", "a_text", "b_text")
 
-def near_duplicates(df: DataFrame, threshold: float = 0.9, later_first: bool = True, block: list[str] | None = None) -> DataFrame:
+
+def near_duplicates(df: DataFrame, threshold: float = 0.9, later_first: bool = True) -> DataFrame:
     """(id, kept_id, ratio): for each row the first earlier row that is as similar as ``threshold``.
 
     A row that is itself a duplicate stays in the comparison, so this isn't
     clustering. ``later_first`` compares with the later text first and without
     frequent characters, as single rows are compared; else the earlier one
     comes first and all characters count, as conversations are compared.
-    Texts of any length take part; null and empty ones have no ratio.
+    Texts of any length take part; null and empty ones have no ratio. Copies of
+    one text are compared once.
     """
-    block = block or []
-    full = df.where(F.length("text") > 0)
-    classes = full.groupBy("text", *block).agg(F.min("id").alias("id"))
-    pairs = candidates(classes, classes, threshold, block)
+    full = df.where(F.length("text") > 0).select("id", "text")
+    classes = materialise(full.groupBy("text").agg(F.min("id").alias("id")), "classes")
+    pairs = materialise(candidates(classes, classes, threshold), "close")
     ratio = ratio_column(F.col("b_text"), F.col("a_text"), True) if later_first else ratio_column(F.col("a_text"), F.col("b_text"))
     found = pairs.withColumn("ratio", ratio).where(F.col("ratio") >= threshold)
-    first = found.groupBy("b_text").agg(F.min_by(F.struct("a_id", "ratio"), "a_id").alias("x")).select(F.col("b_text").alias("text"), F.col("x.a_id").alias("kept_id"), F.col("x.ratio").alias("ratio"))
+    earliest = found.groupBy("b_id").agg(F.min_by(F.struct("a_id", "ratio"), "a_id").alias("x")).select("b_id", F.col("x.a_id").alias("kept_id"), F.col("x.ratio").alias("ratio"))
     # a copy's first earlier match is its text's first row, or one that is earlier still
-    least = classes.select("text", F.col("id").alias("first")).groupBy("text").agg(F.min("first").alias("first"))
-    known = least.join(first, "text", "left")
-    rows = full.select("id", "text").join(known, "text")
+    known = classes.select(F.col("id").alias("first"), "text").join(earliest, F.col("first") == F.col("b_id"), "left")
+    rows = full.join(known, "text")
     kept = F.when(F.col("id") == F.col("first"), F.col("kept_id")).otherwise(F.least("first", F.coalesce("kept_id", "first")))
     score = F.when(kept == F.col("first"), F.lit(1.0)).otherwise(F.col("ratio"))
     return rows.select("id", kept.alias("kept_id"), score.alias("ratio")).where("kept_id IS NOT NULL")
 
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
-    """(id, kept_id): rows whose text an earlier row has."""
+    """(id, kept_id): rows whose text an earlier row has; null is a text like any other."""
     first = df.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("id").alias("kept_id"))
-    return df.select("id", F.sha2("text", 256).alias("g")).join(first, F.col("g") == F.col("h")).where("id <> kept_id").select("id", "kept_id")
+    return df.select("id", F.sha2("text", 256).alias("g")).join(first, F.col("g").eqNullSafe(F.col("h"))).where("id <> kept_id").select("id", "kept_id")
 
 
 def decide(score: Column, inclusive: bool = False) -> Column:
@@ -105,39 +151,77 @@ def decide(score: Column, inclusive: bool = False) -> Column:
 def stem_jaccard(df: DataFrame, threshold: float = 0.35, min_words: int = 15) -> DataFrame:
     """(a, b, jaccard) of records whose content-word stems overlap by ``threshold``.
 
-    ``df`` has id and text. Candidates come from a prefix index: stems are
-    ordered by how rare they are, and two sets that reach the threshold share a
-    stem among their first n - ceil(threshold n) + 1. Common stems thus make no
-    pairs.
+    ``df`` has id and text. Stems are numbered from the rarest, and two sets that
+    reach the threshold share a stem among their first n - ceil(threshold n) + 1.
+    At the first stem that they share, the rest of both sets must still be long
+    enough, and neither set may be too large for the other. Common stems thus
+    make few pairs.
     """
     sets = df.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list(T.content_words(T.normalise(F.col("text")))))).alias("stems")).where(F.size("stems") >= min_words)
-    each = sets.select("id", F.explode("stems").alias("stem"))
-    rare = each.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.join(rare, "stem").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "stem"))).alias("s"))
-    ordered = ordered.select("id", F.transform("s", lambda x: x["stem"]).alias("s"))
-    prefix = F.size("s") - F.ceil(F.size("s") * F.lit(threshold) - F.lit(1e-9)) + 1
-    index = ordered.select("id", F.explode(F.slice("s", F.lit(1), prefix.cast("int"))).alias("stem"))
-    pairs = index.select(F.col("id").alias("a"), "stem").join(index.select(F.col("id").alias("b"), "stem"), "stem").where("a < b").select("a", "b").distinct()
+    each = materialise(sets.select("id", F.explode("stems").alias("stem")), "stems")
+    rank = numbered(each.groupBy("stem").agg(F.count(F.lit(1)).alias("df")), ["df", "stem"], "k")
+    ordered = each.join(rank.select("stem", "k"), "stem").groupBy("id").agg(F.sort_array(F.collect_list("k")).alias("s"))
+    ordered = materialise(ordered.withColumn("n", F.size("s")), "ordered")
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
+    index = ordered.select("id", "n", F.posexplode(F.slice("s", F.lit(1), prefix.cast("int"))).alias("at", "k"))
+    x, y = (index.select(F.col("id").alias(p), F.col("n").alias(f"n{p}"), F.col("at").alias(f"at{p}"), "k") for p in "ab")
+    most = 1 + F.least(F.col("na") - F.col("ata") - 1, F.col("nb") - F.col("atb") - 1)
+    enough = most >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-9)
+    alike = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - F.lit(1e-9)
+    pairs = x.join(y, "k").where((F.col("a") < F.col("b")) & alike & enough).select("a", "b").distinct()
     sa, sb = ordered.select(F.col("id").alias("a"), F.col("s").alias("sa")), ordered.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     jaccard = both / (F.size("sa") + F.size("sb") - both)
     return pairs.join(sa, "a").join(sb, "b").select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def conversation_classes(messages: DataFrame) -> DataFrame:
+    """(conv_id, class_id, class_size): conversations whose messages are equal in normal form, role and order are one class.
+
+    A class is named by its first conversation. Copies are folded before pairs are made.
+    """
+    line = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), T.normalise(F.col("text")).alias("norm"))
+    whole = messages.groupBy("conv_id").agg(F.sha2(F.to_json(F.transform(F.sort_array(F.collect_list(line)), lambda m: F.struct(m["role"], m["norm"]))), 256).alias("h"))
+    size = whole.groupBy("h").agg(F.min("conv_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return whole.join(size, "h").select("conv_id", "class_id", "class_size")
+
+
 def message_overlap(messages: DataFrame, min_chars: int = 20) -> DataFrame:
-    """(a, b, shared, same_pos, cross_role, moved) of conversations that share longer messages."""
-    m = messages.select("conv_id", "turn", "role", T.normalise(F.col("text")).alias("norm")).where(F.length("norm") >= min_chars)
-    m = m.select("conv_id", "turn", "role", F.sha2("norm", 256).alias("h"))
-    a = m.select(F.col("conv_id").alias("a"), F.col("turn").alias("ta"), F.col("role").alias("ra"), "h")
-    b = m.select(F.col("conv_id").alias("b"), F.col("turn").alias("tb"), F.col("role").alias("rb"), "h")
+    """(a, b, shared, same_pos, cross_role, moved, type) of conversation classes that share moved messages.
+
+    Longer messages are compared in normal form. A pair counts if it shares two
+    messages and 60 % of the shorter conversation's, and if two of these, and a
+    quarter, are in another place or role. Conversations of equal messages are
+    represented by the first (see ``conversation_classes``). A message is looked
+    up among the rarest of each conversation alone, as many as leave fewer than
+    must be shared, so a greeting that all share makes no pairs.
+    """
+    m = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), T.normalise(F.col("text")).alias("norm"))
+    first = conversation_classes(messages).where("conv_id = class_id").select("conv_id")
+    m = m.join(first, "conv_id", "left_semi")
+    total = m.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    m = materialise(m.where(F.length("norm") >= min_chars).join(total, "conv_id").select("conv_id", "n", "turn", "role", F.sha2("norm", 256).alias("h")), "messages")
+    often = m.groupBy("h").agg(F.countDistinct("conv_id").alias("df"))
+    # shared counts pairs of places: a message said twice by both counts four times
+    rare = m.groupBy("conv_id", "n", "h").agg(F.count(F.lit(1)).alias("times")).join(often.where("df > 1"), "h")
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("df", "h"))
+    kinds = rare.withColumn("at", rank).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("conv_id"))).withColumn("most", F.max("times").over(Window.partitionBy("conv_id")))
+    index = kinds.select("conv_id", "n", "h", "at", "held", "most")
+    x, y = (index.select(F.col("conv_id").alias(p), "h", *[F.col(c).alias(f"{c}{p}") for c in ("n", "at", "held", "most")]) for p in "ab")
+    need = F.greatest(F.lit(2), F.ceil(F.least("na", "nb") * 0.6 - F.lit(1e-9)))
+    # so many different messages at least, if each is said as often as any
+    kinds_needed = F.ceil(need / (F.col("mosta") * F.col("mostb")))
+    rest = F.least(F.col("helda") - F.col("ata"), F.col("heldb") - F.col("atb")) + 1
+    pairs = x.join(y, "h").where((F.col("a") < F.col("b")) & (rest >= kinds_needed)).select("a", "b", need.alias("need")).distinct()
+    ma, mb = (m.select(F.col("conv_id").alias(p), "h", F.col("turn").alias(f"t{p}"), F.col("role").alias(f"r{p}")) for p in "ab")
     same = (F.col("ta") == F.col("tb")) & (F.col("ra") == F.col("rb"))
     cross = F.col("ra") != F.col("rb")
-    return (
-        a.join(b, "h")
-        .where("a < b")
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("shared"), F.count_if(same).alias("same_pos"), F.count_if(cross & ~same).alias("cross_role"), F.count_if(~same & ~cross).alias("moved"))
-    )
+    met = pairs.join(ma, "a").join(mb, ["b", "h"]).groupBy("a", "b", "need")
+    out = met.agg(F.count(F.lit(1)).alias("shared"), F.count_if(same).alias("same_pos"), F.count_if(cross & ~same).alias("cross_role"), F.count_if(~same & ~cross).alias("moved"))
+    elsewhere = F.col("cross_role") + F.col("moved")
+    kind = F.when(F.col("cross_role") >= F.col("moved"), "roles_swapped_messages").otherwise("messages_reordered").alias("type")
+    out = out.where((F.col("shared") >= F.col("need")) & (elsewhere >= F.greatest(F.lit(2), F.ceil(F.col("shared") / 4))))
+    return out.select("a", "b", "shared", "same_pos", "cross_role", "moved", kind)
 
 
 def positional_score(messages: DataFrame, pairs: DataFrame) -> DataFrame:
