@@ -48,6 +48,8 @@ _DIGIT[48:58] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 STATISTICS = 14
+#: Standardised statistics beyond this many deviations count as this many, in training and in scoring.
+CLIP = 8.0
 
 
 def statistics(text: str, raw: bytes, words: list[bytes], counts: Counter) -> list[float]:
@@ -98,7 +100,7 @@ class Machine:
 
     def score(self, text: str | None) -> float:
         i, x = features(text, self.buckets)
-        x[-STATISTICS:] = (x[-STATISTICS:] - self.mean) / self.scale
+        x[-STATISTICS:] = np.clip((x[-STATISTICS:] - self.mean) / self.scale, -CLIP, CLIP)
         # the inputs of one bucket are summed first: x is one value for each input
         x = np.bincount(i, x, self.buckets + STATISTICS)
         i = np.flatnonzero(x)
@@ -121,7 +123,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS,
     for k, (i, value, _) in enumerate(rows):
         x[k] = np.bincount(i, value, size)
     machine.mean, machine.scale = x[:, buckets:].mean(0).astype(float), x[:, buckets:].std(0).astype(float) + 1e-3
-    x[:, buckets:] = np.clip((x[:, buckets:] - machine.mean) / machine.scale, -8, 8)
+    x[:, buckets:] = np.clip((x[:, buckets:] - machine.mean) / machine.scale, -CLIP, CLIP)
     x2, n = x * x, len(rows)
     rng = np.random.default_rng(seed)
     p = [np.float32(bias), np.zeros(size, np.float32), rng.normal(0, 0.02, (size, rank)).astype(np.float32)]
