@@ -51,7 +51,7 @@ def test_damaged_and_deep_pages():
     for page in ("<", "<p", "<p class='", "</", "<table><td>x", "<li>a<li>b", "<div>" * 5000 + "deep", "<b><i>x</b></i>y", "&#xfffff;&bad;", "<table colspan=x><tr><td colspan=-4 rowspan=zz>v"):
         assert isinstance(h.render(page), str)
     assert h.render("<div>" * 5000 + "deep") == "deep"
-    assert h.render("<ul>" * 3000 + "<li>deep").strip() == "deep"
+    assert h.render("<ul>" * 3000 + "<li>deep").strip() == "- deep"  # the mark stays at any depth
 
 
 class Walk(HTMLParser):
@@ -84,3 +84,27 @@ def test_table(spark):
     df = spark.createDataFrame([(1, "<p>x", "t"), (2, None, "t"), (None, "", "t"), (1, "<p>x", "t")], "page_id long, html string, text string")
     assert sorted(map(tuple, h.extract(df).collect()), key=repr) == sorted([(1, "x"), (2, ""), (None, ""), (1, "x")], key=repr)
     assert h.extract(df.limit(0)).collect() == []
+
+
+def test_hidden_text_stays_hidden_at_any_depth():
+    for depth in (10, 200, 3000, 20_000):
+        assert h.render("<div>" * depth + "<div hidden>HIDDEN</div>x") == "x"
+    assert h.render("<div>" * 3000 + "a<ul><li>b</ul>" + "</div>" * 3000 + "c") == "a\n\n- b\n\nc"
+    assert h.render("<table><tr><td>" * 1500 + "in") == "in"
+
+
+def test_long_cells_pad_no_other_rows():
+    rows = "".join(f"<tr><td>{k}<td>x" for k in range(2000))
+    page = f"<table><tr><td>{'y' * 20_000}<td>z{rows}</table>"
+    got = h.render(page)
+    assert len(got) < 4 * len(page) and "y" * 20_000 in got
+    assert got.split("\n")[1:3] == ["0     x", "1     x"]
+    words = h.render("<table><tr><td>" + "word " * 100 + "<td>b<tr><td>c<td>d</table>").split("\n")
+    assert max(map(len, words)) <= 80 + 2 + 1 and " ".join(words).split().count("word") == 100
+    assert words[0].index("b") == words[-1].index("d")
+
+
+def test_wide_spans():
+    assert h.render("<table><tr><td colspan=500>a<td>b<tr>" + "<td>1" * 3 + "</table>") == "a        b\n1  1  1"
+    assert h.render("<table><tr><td rowspan=70000>a<td>b" + "<tr><td>c" * 3 + "</table>") == "a  b\n   c\n   c\n   c"
+    assert len(h.render("<table><tr>" + "<td colspan=1000>x" * 500 + "</table>")) < 3000

@@ -5,7 +5,9 @@ begins, items end items, cells end cells, and so on) feed a renderer that emits
 all visible text. Blocks stand on lines of their own, paragraphs and headings
 between empty lines; list items are indented and marked with a dash or number;
 preformatted text keeps its spaces; table cells are padded to the width of
-their column, spans included.
+their column, spans included. Cells wrap at ``WRAP`` characters, between words;
+a longer word stands out of its column and pads no other row. Spans are as
+HTML limits them: 1,000 columns, 65,534 rows.
 
 Invisible are scripts, styles, templates, the head, elements that are hidden by
 attribute or by an inline ``display: none``, closed dialogs, all of closed details but
@@ -14,15 +16,17 @@ is made visible again.
 
 Defined results: null and empty pages give an empty text; damaged markup never
 fails: what isn't a tag is text, unknown elements are inline, end tags without
-start are ignored, elements nested deeper than ``MAX_DEPTH`` become siblings;
-pages are read whole; repeated rows give repeated results; an empty table gives
-an empty table. Only the named columns are read, so extra columns never clash.
+start are ignored, elements may be nested to any depth; pages are read whole;
+repeated rows give repeated results; an empty table gives an empty table. Only
+the named columns are read, so extra columns never clash.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -30,8 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 200
 GAP = "  "
+WRAP = 80
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65_534
+#: Characters of rendered pages that are held before they are passed on.
+HELD_CHARS = 8 << 20
 
 # Element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -91,11 +98,22 @@ def parse(html: str) -> Node:
     """The tree of a page."""
     root = Node("html", {})
     stack = [root]
+    is_open = Counter()  # elements of each name on the stack
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        is_open[node.tag] += 1
+
+    def pop() -> None:
+        is_open[stack.pop().tag] -= 1
 
     def close(tags: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> bool:
+        if not any(is_open[t] for t in tags):
+            return False
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
-                del stack[k:]
+                while len(stack) > k:
+                    pop()
                 return True
             if stack[k].tag in stops:
                 return False
@@ -105,7 +123,7 @@ def parse(html: str) -> Node:
         if end > start:
             part = html[start:end]
             if stack[-1].tag in HOLDS and part.strip(" \t\n\r\f"):
-                stack.pop()
+                pop()
             stack[-1].children.append(unescape(part) if "&" in part else part)
 
     at, n = 0, len(html)
@@ -121,7 +139,7 @@ def parse(html: str) -> Node:
             continue  # comment, doctype or stray markup
         tag = name.lower()
         if m[1] or m[4]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "p" and not is_open["p"]:
                 stack[-1].children.append(Node("p", {}))
             elif tag not in VOID and tag not in ("html", "body"):
                 close({tag}, SCOPE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else {"table"} - {tag})
@@ -131,18 +149,18 @@ def parse(html: str) -> Node:
             root.attributes.update(_attributes(raw))
             continue
         if stack[-1].tag in HOLDS and tag not in HOLDS[stack[-1].tag]:
-            stack.pop()
+            pop()
         if tag in ENDS_P:
             close({"p"}, SCOPE | {"button"})
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
             while close(ends, stops):
                 pass
-        if tag in ("td", "th") and (stack[-1].tag == "table" or stack[-1].tag in ROW_GROUPS) and len(stack) < MAX_DEPTH:
+        if tag in ("td", "th") and (stack[-1].tag == "table" or stack[-1].tag in ROW_GROUPS):
             stack[-1].children.append(Node("tr", {}))
-            stack.append(stack[-1].children[-1])
+            push(stack[-1].children[-1])
         if len(tag) == 2 and tag[0] == "h" and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
+            pop()
         node = Node(tag, _attributes(raw))
         stack[-1].children.append(node)
         if tag in RAW or tag in TEXT_ONLY:
@@ -152,8 +170,8 @@ def parse(html: str) -> Node:
             elif tag == "xmp":
                 node.children.append(html[at : end.start()])
             at = end.end()
-        elif tag not in VOID and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        elif tag not in VOID:
+            push(node)
     return root
 
 
@@ -220,7 +238,21 @@ def _children(node: Node) -> list:
     return node.children
 
 
-def _render(node: Node, out: _Writer, shown: bool, pre: bool) -> None:
+#: Rendering of an element, which yields those of elements inside it; ``_run`` takes them one by one, to any depth.
+Steps = Generator["Steps", None, None]
+
+
+def _run(steps: Steps) -> None:
+    stack = [steps]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def _render(node: Node, out: _Writer, shown: bool, pre: bool) -> Steps:
     for child in _children(node):
         if isinstance(child, str):
             if not shown:
@@ -245,9 +277,9 @@ def _render(node: Node, out: _Writer, shown: bool, pre: bool) -> None:
             elif out.lines and seen and not out.gap:
                 out.gap = 1
         elif tag == "table":
-            _table(child, out, seen)
+            yield _table(child, out, seen)
         elif tag in ("ul", "ol", "menu", "dir"):
-            _list(child, out, seen, pre)
+            yield _list(child, out, seen, pre)
         elif tag == "input":
             if seen and child.attributes.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number"):
                 out.text(" " + child.attributes.get("value", "") + " ")
@@ -255,20 +287,20 @@ def _render(node: Node, out: _Writer, shown: bool, pre: bool) -> None:
             out.block(tag != "textarea")
             if tag != "xmp" and child.children and isinstance(child.children[0], str) and child.children[0].startswith("\n"):
                 child.children[0] = child.children[0][1:]
-            _render(child, out, seen, True)
+            yield _render(child, out, seen, True)
             out.block(tag != "textarea")
         elif tag == "blockquote" or tag == "dd":
             out.block(tag in SPACED)
             out.prefix.append(GAP)
-            _render(child, out, seen, pre)
+            yield _render(child, out, seen, pre)
             out.block(tag in SPACED)
             out.prefix.pop()
         elif tag in BLOCK:
             out.block(tag in SPACED)
-            _render(child, out, seen, pre)
+            yield _render(child, out, seen, pre)
             out.block(tag in SPACED)
         else:
-            _render(child, out, seen, pre)
+            yield _render(child, out, seen, pre)
 
 
 def _whole(value: str | None, default: int, most: int = 10**6) -> int:
@@ -278,7 +310,7 @@ def _whole(value: str | None, default: int, most: int = 10**6) -> int:
         return default
 
 
-def _list(node: Node, out: _Writer, shown: bool, pre: bool) -> None:
+def _list(node: Node, out: _Writer, shown: bool, pre: bool) -> Steps:
     inside = bool(out.prefix)
     out.block(not inside)
     number = _whole(node.attributes.get("start"), 1)
@@ -297,13 +329,13 @@ def _list(node: Node, out: _Writer, shown: bool, pre: bool) -> None:
             out.end()
             out.prefix.append(" " * len(mark))
             held, out.mark = out.mark, mark
-            _render(child, out, seen, pre)
+            yield _render(child, out, seen, pre)
             out.end()
             out.mark = held if out.mark is not None else None
             out.prefix.pop()
         else:
             holder = Node("div", {}, [child])
-            _render(holder, out, seen, pre)
+            yield _render(holder, out, seen, pre)
     out.block(not inside)
 
 
@@ -332,19 +364,54 @@ def _strays(node: Node, shown: bool) -> Iterator[tuple[list, bool]]:
     yield held, shown
 
 
-def _table(node: Node, out: _Writer, shown: bool) -> None:
+def _wrapped(lines: list[str]) -> list[str]:
+    """Lines of at most ``WRAP`` characters, cut between words; preformatted and short ones stay as they are."""
+    out: list[str] = []
+    for line in lines:
+        while len(line) > WRAP:
+            at = line.rfind(" ", 1, WRAP + 1)
+            if at < 0 or not line[:at].strip():
+                at = line.find(" ", WRAP)
+                if at < 0:
+                    break
+            out.append(line[:at].rstrip())
+            line = line[at + 1 :].lstrip()
+        out.append(line)
+    return out
+
+
+class _Held:
+    """Columns that cells of rows above still hold: (first, behind the last, rows left)."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int, int]] = []
+
+    def next_row(self) -> None:
+        self.spans = [(a, b, n - 1) for a, b, n in self.spans if n > 1]
+
+    def free(self, column: int) -> int:
+        """The first free column from here; spans are in order and don't overlap much."""
+        for a, b, _ in self.spans[bisect_left(self.spans, (column - MAX_COLSPAN,)) :]:
+            if a > column:
+                break
+            column = max(column, b)
+        return column
+
+
+Cells = list[tuple[int, int, list[str]]]  # column, span and lines of the cells of a row
+
+
+def _table(node: Node, out: _Writer, shown: bool) -> Steps:
     out.block(True)
     for stray, seen in _strays(node, shown):
         if stray:
-            _render(Node("div", {}, stray), out, seen, False)
+            yield _render(Node("div", {}, stray), out, seen, False)
             out.end()
-    grid: list[dict[int, tuple[list[str], int]]] = []
-    held: dict[int, int] = {}  # columns that cells of rows above still hold, and for how many rows
+    grid: list[Cells] = []
+    held = _Held()
     for row, seen in _rows(node, shown):
-        cells: dict[int, tuple[list[str], int]] = {}
-        column = 0
-        taken = {c for c, left in held.items() if left > 0}
-        held = {c: left - 1 for c, left in held.items() if left > 1}
+        cells: Cells = []
+        column, longer = 0, []
         for cell in row.children:
             if isinstance(cell, str):
                 cell = Node("td", {}, [cell]) if cell.strip() else None
@@ -353,36 +420,46 @@ def _table(node: Node, out: _Writer, shown: bool) -> None:
             take, own = _visible(cell, seen)
             if not take:
                 continue
-            while column in taken:
-                column += 1
-            wide = max(1, _whole(cell.attributes.get("colspan"), 1, 100))
-            deep = max(1, _whole(cell.attributes.get("rowspan"), 1, 1000))
+            column = held.free(column)
+            wide = min(MAX_COLSPAN, max(1, _whole(cell.attributes.get("colspan"), 1)))
+            deep = min(MAX_ROWSPAN, max(1, _whole(cell.attributes.get("rowspan"), 1)))
             w = _Writer()
-            _render(cell if cell.tag in ("td", "th") else Node("td", {}, [cell]), w, own, False)
+            yield _render(cell if cell.tag in ("td", "th") else Node("td", {}, [cell]), w, own, False)
             w.end()
-            cells[column] = (w.lines, wide)
+            cells.append((column, wide, _wrapped(w.lines)))
             if deep > 1:
-                held.update(dict.fromkeys(range(column, column + wide), deep - 1))
+                longer.append((column, column + wide, deep))
             column += wide
-        if any(lines for lines, _ in cells.values()):
+        held.next_row()
+        held.spans = sorted(held.spans + [(a, b, n - 1) for a, b, n in longer])
+        if any(lines for _, _, lines in cells):
             grid.append(cells)
-    widths: dict[int, int] = {}
+    _lay_out(grid, out)
+    out.block(True)
+
+
+def _lay_out(grid: list[Cells], out: _Writer) -> None:
+    """Lines of a table: columns in which a cell starts are as wide as their widest line of one column."""
+    columns = sorted({c for cells in grid for c, _, _ in cells})
+    widths = dict.fromkeys(columns, 0)
     for cells in grid:
-        for c, (lines, wide) in cells.items():
+        for c, wide, lines in cells:
             if wide == 1:
-                widths[c] = max(widths.get(c, 0), max(map(len, lines), default=0))
+                widths[c] = max(widths[c], max((len(x) for x in lines if len(x) <= WRAP), default=0))
+    left = [0]  # where the text of each column begins
+    for c in columns:
+        left.append(left[-1] + widths[c] + len(GAP))
     for cells in grid:
-        for k in range(max(len(lines) for lines, _ in cells.values())):
-            line, at = "", 0
-            for c, (lines, _) in sorted(cells.items()):
-                for skipped in range(at, c):
-                    line += " " * widths.get(skipped, 0) + GAP
-                span = cells[c][1]
-                width = sum(widths.get(x, 0) for x in range(c, c + span)) + len(GAP) * (span - 1)
-                line += (lines[k] if k < len(lines) else "").ljust(width) + GAP
-                at = c + span
-            out.put(line.rstrip())
-    out.block(True)
+        for k in range(max(len(lines) for _, _, lines in cells)):
+            line: list[str] = []
+            at = 0
+            for c, _, lines in cells:
+                if k < len(lines) and lines[k]:
+                    start = left[bisect_left(columns, c)]
+                    lead = max(start - at, len(GAP) if line else 0)
+                    line.append(" " * lead + lines[k])
+                    at += lead + len(lines[k])
+            out.put("".join(line))
 
 
 def render(html: str | None) -> str:
@@ -393,7 +470,7 @@ def render(html: str | None) -> str:
     root = parse(html)
     take, shown = _visible(root, True)
     if take:
-        _render(root, out, shown, False)
+        _run(_render(root, out, shown, False))
     out.end()
     while out.lines and not out.lines[-1]:
         out.lines.pop()
@@ -405,9 +482,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([render(x.as_py()) for x in part.column(1)], pa.string())], names=[id_col, "text"])
+            first, held, size = 0, [], 0
+            for k, page in enumerate(batch.column(1), 1):
+                held.append(render(page.as_py()))
+                size += len(held[-1])
+                if size >= HELD_CHARS or k == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), pa.array(held, pa.string())], names=[id_col, "text"])
+                    first, held, size = k, [], 0
 
     kind = pages.schema[id_col].dataType.simpleString()
     return pages.select(F.col(id_col), F.col(html_col)).mapInArrow(run, f"`{id_col}` {kind}, text string")
