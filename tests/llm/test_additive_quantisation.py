@@ -71,3 +71,30 @@ def test_encoding_is_a_sum_of_codewords():
     greedy, _ = books.encode(x, beam=1)
     error = lambda c: ((x - sum(books.books[m][c[:, m]] for m in range(4))) ** 2).sum()
     assert error(codes) <= error(greedy)
+
+
+def test_sparse_ids_make_few_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = [int(i) * 50 for i in rng.choice(10**12, 300, replace=False)] + [int(i) * 50 + 1 for i in rng.choice(10**12, 300, replace=False)]
+    x = rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    jobs = []
+    monkeypatch.setattr(aq, "_search_block", lambda *a, f=aq._search_block: (jobs.append(len(a[2])), f(*a))[1])
+    got = found(aq.search(df))
+    assert jobs == [300] and len(got) == 300
+    monkeypatch.setattr(aq, "QUERY_BLOCK", 64)
+    jobs.clear()
+    assert found(aq.search(df)) == got and sum(jobs) == 300 and len(jobs) == 5
+    want = exact(np.array(ids), x)
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hits / (5 * len(want)) >= 0.9
+
+
+def test_reranking_follows_the_shortlist_of_all_rows_read(spark, monkeypatch):
+    monkeypatch.setattr(aq, "ROWS_AT_ONCE", 40)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(1)
+    got, want = found(aq.search(df, shortlist=32)), exact(np.arange(500), x)
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hits / (5 * len(want)) >= 0.9

@@ -4,13 +4,15 @@ A vector is written as the sum of one full-dimensional codeword from each of
 several residual codebooks, chosen by beam search; the norm of the sum is
 stored with the codes. A query is compared with all codes by lookup tables: its
 products with every codeword are computed once, a code's product is the sum of
-its table entries, and the stored norm turns it into a cosine. The best
-``shortlist`` of each task are reranked by the exact cosine of the original
-vectors, in double precision, and the best of all tasks are merged.
+its table entries, and the stored norm turns it into a cosine. Of the rows that
+a task reads, those that come among its best ``shortlist`` so far are reranked by
+the exact cosine of the original vectors, in double precision; later rows rarely
+do, so reranking hardly grows with the table. The best of all tasks are merged.
 
 Codebooks are fitted on the driver to at most ``sample_rows`` vectors, a
-documented bound; every row is encoded and searched. Queries go in blocks of at
-most ``QUERY_BLOCK``, which is what is broadcast at a time, and every block's
+documented bound; every row is encoded and searched. Queries are numbered and go
+in blocks of ``QUERY_BLOCK``, however sparse their ids are; a job has
+``BLOCKS_AT_ONCE`` blocks, which is what is broadcast at a time, and every job's
 result is written to the shared folder.
 
 Defined results: vectors that are null, zero, of another dimension than most,
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.windows import numbered
 from textloom.session import materialise, scratch_path
 
 BOOKS = 16
@@ -39,6 +42,7 @@ BEAM = 3
 SAMPLE_ROWS = 8192
 SHORTLIST = 128
 QUERY_BLOCK = 2048
+BLOCKS_AT_ONCE = 4
 ROWS_AT_ONCE = 8192
 QUERIES_AT_ONCE = 256
 
@@ -128,6 +132,7 @@ def _search_block(index: DataFrame, books: Codebooks, ids: np.ndarray, queries:
         tables = Codebooks(words).tables(_unit(q))
         q_norm = np.sqrt((q * q).sum(1))
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0)) for _ in qid]
+        listed = np.full((len(qid), shortlist), -np.inf, np.float32)  # the best products so far
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
@@ -143,8 +148,12 @@ def _search_block(index: DataFrame, books: Codebooks, ids: np.ndarray, queries:
                     for m in range(codes.shape[1]):
                         score += np.take(some[:, m], codes[:, m], axis=1)
                     score /= norms
-                    for j in range(len(some)):
-                        place = _top(score[j], part_ids, shortlist)
+                    better = score > listed[first : first + len(some)].min(1)[:, None]
+                    for j in np.flatnonzero(better.any(1)).tolist():
+                        place = np.flatnonzero(better[j])
+                        place = place[_top(score[j, place], part_ids[place], shortlist)]
+                        both = np.concatenate([listed[first + j], score[j, place]])
+                        listed[first + j] = np.partition(both, len(both) - shortlist)[len(both) - shortlist :]
                         place = place[part_ids[place] != qid[first + j]]
                         exact = (x[place] * q[first + j]).sum(1) / (x_norm[place] * q_norm[first + j])
                         near = np.concatenate([best[first + j][0], part_ids[place]]), np.concatenate([best[first + j][1], exact])
@@ -204,13 +213,17 @@ def search(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", v
     if built is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     index, books = built
-    queries = index.where(F.col("id") % every == 0).select("id", "x", F.floor(F.col("id") / (every * QUERY_BLOCK)).alias("block"))
+    queries = numbered(index.where(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x")), ["id"], "at")
     path = scratch_path(spark, "neighbours")
     spark.createDataFrame([], schema).write.parquet(path)
-    for (block,) in queries.select("block").distinct().orderBy("block").collect():
-        rows = queries.where(F.col("block") == block).groupBy("id").agg(F.min("x").alias("x")).toArrow()
-        ids = rows["id"].to_numpy()
-        _search_block(index, books, ids, np.array(rows["x"].to_pylist()), k, shortlist).write.mode("append").parquet(path)
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    for first in range(0, blocks, BLOCKS_AT_ONCE):
+        job = None
+        for block in range(first, min(first + BLOCKS_AT_ONCE, blocks)):
+            rows = queries.where((F.col("at") > block * QUERY_BLOCK) & (F.col("at") <= (block + 1) * QUERY_BLOCK)).toArrow()
+            found = _search_block(index, books, rows["id"].to_numpy(), np.array(rows["x"].to_pylist()), k, shortlist)
+            job = found if job is None else job.union(found)
+        job.write.mode("append").parquet(path)
     near = spark.read.schema(schema).parquet(path).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
