@@ -78,3 +78,59 @@ def test_no_labels_and_empty(spark):
     assert {(r["domain"], r["rate"]) for r in sm.rate_documents(docs, none).collect()} == {(None, 1.0)}
     assert sm.mix(docs, none).count() == docs.count()
     assert sm.rate_documents(docs.limit(0), labelled(docs)).collect() == []
+
+
+def test_default_rule_reaches_the_plain_fit(spark):
+    t, p, df = members(spark, 400, 4, 3)
+    have = t @ p
+    shares = (have / have.sum()) ** 0.7
+    targets = shares / shares.sum() * (have / (shares / shares.sum())).max()
+    for low in (0.0, 1.0):
+        rates = sm.fit_rates(df, 4, min_rate=low)
+        got = np.array([r[0] for r in df.select(rates.column()).collect()])
+        want = plain(t, p, targets, low, np.inf)
+        assert got.min() >= low
+        assert np.allclose((got * t) @ p, (want * t) @ p, rtol=2e-3)
+    # without a lower bound every target can be met
+    got = np.array([r[0] for r in df.select(sm.fit_rates(df, 4).column()).collect()])
+    assert np.allclose((got * t) @ p, targets, rtol=1.1e-4)
+
+
+def test_rates_have_no_limit_of_their_own(spark):
+    df = spark.createDataFrame([(10.0, 0.999, 0.001)] * 5 + [(10.0, 0.001, 0.999)] * 500, "__tokens double, __p0 double, __p1 double")
+    rates = sm.fit_rates(df, 2, [0.5, 0.5], 10_000.0)
+    assert rates.totals == pytest.approx([5000.0, 5000.0], rel=1e-3)
+    assert max(r[0] for r in df.select(rates.column()).collect()) > 50
+
+
+def test_many_domains(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 70} word{k % 70} common", f"d{k % 70:02d}") for k in range(420)], "doc_id long, text string, lang string")
+    out = sm.rate_documents(docs, docs.select("doc_id", F.col("lang").alias("domain"))).collect()
+    assert {(r["doc_id"], r["domain"]) for r in out} == {(k, f"d{k % 70:02d}") for k in range(420)}
+
+
+def test_posteriors_equal_plain_naive_bayes(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(k, " ".join(rng.choice(words[10 * (k % 2) : 10 * (k % 2) + 20], 12)), "ab"[k % 2]) for k in range(80)]
+    docs = spark.createDataFrame([*rows, (900, "unheard of", None), (901, None, None)], "doc_id long, text string, domain string")
+    c = sm.train(docs, docs.select("doc_id", "domain"))
+    sizes = {d: sum(r[2] == d for r in rows) for d in "ab"}
+    held = {d: [set(t.split()) for _, t, x in rows if x == d] for d in "ab"}
+    for r in c.add(docs.select("doc_id", "text"), "text").collect():
+        mine = set((r["text"] or "").split())
+        z = {}
+        for d, n in sizes.items():
+            z[d] = np.log((n + 1) / (sum(sizes.values()) + len(sizes)))
+            for w in c.words:
+                p = (sum(w in s for s in held[d]) + 0.5) / (n + 1)
+                z[d] += np.log(p if w in mine else 1 - p) / sm.TEMPERATURE
+        e = np.exp(np.array([z["a"], z["b"]]) - max(z.values()))
+        assert [r["__p0"], r["__p1"]] == pytest.approx((e / e.sum()).tolist(), abs=1e-9)
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "the ship " * 100_000, "en"), (2, "der Fluss", "de"), (2, "der Fluss", "de"), (3, "das Haus", "de")] * 2, "doc_id long, text string, lang string")
+    out = sm.rate_documents(docs, docs.select("doc_id", F.col("lang").alias("domain"))).collect()
+    assert len(out) == 8 and {(r["doc_id"], r["n_tokens"]) for r in out} == {(1, 200_000), (2, 2), (3, 2)}
+    assert len({round(r["rate"], 12) for r in out if r["doc_id"] == 2}) == 1

@@ -5,8 +5,9 @@ posterior over domains: naive Bayes over the presence of the words that tell
 the domains apart best, at a temperature. Each document then gets a rate, the
 expected number of times it is drawn, so that the expected tokens of each
 domain, sum of rate x tokens x posterior, meet targets. Rates are fitted by
-projected gradient steps on the weighted squared misses, in the metric of
-tokens, and kept between ``min_rate`` (0 at least) and ``max_rate``.
+accelerated projected gradient steps on the weighted squared misses, in the
+metric of tokens, and kept at ``min_rate`` (0 at least) or above, and at
+``max_rate`` or below where a limit is given.
 
 Everything is DataFrame and SQL expressions. A step needs the expected totals,
 one distributed sum for each domain; a document's rate is an expression of its
@@ -39,7 +40,6 @@ from textloom.session import materialise
 SPACES = r"[\x20\x09-\x0D]+"
 MAX_ROWS = 4000
 MAX_WORDS = 256
-MAX_DOMAINS = 64
 TEMPERATURE = 4.0
 #: Default target of a domain: its share of all tokens to this power.
 SMOOTHING = 0.7
@@ -87,8 +87,6 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     texts = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     sample = texts.join(F.broadcast(known), F.col("id") == F.col("k"))
     sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").collect()}
-    if len(sizes) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
     if not sizes:
         return Classifier()
     total = sum(sizes.values())
@@ -118,46 +116,54 @@ class Rates:
     totals: list[float]
 
     def column(self) -> Column:
-        return _walk(F.lit(self.start), self.steps, self.low, self.high)
+        return _walk(_standing(F.lit(self.start)), self.steps, self.low, self.high)["rate"]
 
 
-def _walk(rate: Column, steps: list[list[float]], low: float, high: float) -> Column:
-    """The rate after more steps; they are data of one expression, so that more steps need no new code."""
+def _standing(rate: Column) -> Column:
+    """A rate that has not moved: (rate, the point from which the next step goes)."""
+    return F.struct(rate.cast("double").alias("rate"), rate.cast("double").alias("ahead"))
+
+
+def _walk(state: Column, steps: list[list[float]], low: float, high: float) -> Column:
+    """The state after more steps; they are data of one expression, so that more steps need no new code.
+
+    A step is the momentum and the gradient: the new rate is the point ahead less
+    the gradient, within bounds; the new point ahead goes on from there by the
+    momentum times what the rate has changed.
+    """
     if not steps:
-        return rate
-    p = [F.col(f"__p{k}") for k in range(len(steps[0]))]
+        return state
+    p = F.array(*[F.col(f"__p{k}") for k in range(len(steps[0]) - 1)])
     table = F.array(*[F.array(*map(F.lit, s)) for s in steps])
-    move = lambda s: sum((s[k] * x for k, x in enumerate(p)), F.lit(0.0))
-    return F.aggregate(table, rate.cast("double"), lambda r, s: F.greatest(F.lit(low), F.least(F.lit(high), r - move(s))))
 
+    def move(old: Column, s: Column) -> Column:
+        down = F.aggregate(F.zip_with(p, F.slice(s, 2, len(steps[0]) - 1), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        return F.struct(F.greatest(F.lit(low), F.least(F.lit(high), old["ahead"] - down)).alias("rate"), old["rate"].alias("old"), F.get(s, F.lit(0)).alias("momentum"))
+
+    def on(new: Column) -> Column:
+        return F.struct(new["rate"].alias("rate"), (new["rate"] + new["momentum"] * (new["rate"] - new["old"])).alias("ahead"))
 
-def _spectral_radius(m: list[list[float]]) -> float:
-    v = [1.0] * len(m)
-    size = 0.0
-    for _ in range(200):
-        w = [sum(a * b for a, b in zip(row, v, strict=True)) for row in m]
-        size = math.sqrt(sum(x * x for x in w))
-        if not size:
-            return 0.0
-        v = [x / size for x in w]
-    return size
+    # an array of one state, transformed twice, so that the new rate is computed once
+    return F.aggregate(table, state, lambda old, s: F.get(F.transform(F.transform(F.array(old), lambda x: move(x, s)), on), F.lit(0)))
 
 
-def fit_rates(members: DataFrame, n_domains: int, shares: list[float] | None = None, total: float | None = None, min_rate: float = 0.0, max_rate: float = 8.0, start: float = 1.0, max_rounds: int = 60, tolerance: float = 1e-4, gain: float = 1e-3) -> Rates:
+def fit_rates(members: DataFrame, n_domains: int, shares: list[float] | None = None, total: float | None = None, min_rate: float = 0.0, max_rate: float = math.inf, start: float = 1.0, max_rounds: int = 120, tolerance: float = 1e-4, gain: float = 1e-3, patience: int = 12) -> Rates:
     """Fit rates of ``members`` (columns __tokens, __p0, __p1, ...) to token totals.
 
     ``shares`` are the targets' shares of ``total``; by default the smoothed
     shares of the tokens at hand. The default ``total`` is the smallest that
     every domain can fill by repeating documents alone, so that no document
-    need be dropped.
+    need be dropped. The fit ends when every total is within ``tolerance`` of its
+    target, when ``patience`` rounds lower the loss by less than ``gain`` (bounds
+    keep targets from being met), or after ``max_rounds``.
     """
     ks = range(n_domains)
     start = min(max(start, min_rate), max_rate)
     if not n_domains:
         return Rates(start, min_rate, max_rate, [], [], [])
     mass = [F.sum(F.col("__tokens") * F.col(f"__p{k}")).alias(f"h{k}") for k in ks]
-    gram = [F.sum(F.col("__tokens") * F.col(f"__p{i}") * F.col(f"__p{j}")).alias(f"g{i}_{j}") for i in ks for j in ks if i <= j]
-    first = members.agg(*mass, *gram).first()
+    own = [F.sum(F.col("__tokens") * F.col(f"__p{k}") * F.col(f"__p{k}")).alias(f"g{k}") for k in ks]
+    first = members.agg(*mass, *own).first()
     have = [first[f"h{k}"] or 0.0 for k in ks]
     if shares is None:
         shares = [(h / max(sum(have), 1e-9)) ** SMOOTHING for h in have]
@@ -165,27 +171,35 @@ def fit_rates(members: DataFrame, n_domains: int, shares: list[float] | None = N
     if total is None:
         total = max((h / s for h, s in zip(have, shares, strict=True) if s > 0 and h > 0), default=0.0)
     targets = [s * total for s in shares]
-    g = [[first[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in ks] for i in ks]
-    weight = [1 / g[k][k] if g[k][k] > 0 else 0.0 for k in ks]
-    radius = _spectral_radius([[math.sqrt(weight[i] * weight[j]) * g[i][j] for j in ks] for i in ks])
+    squares = [first[f"g{k}"] or 0.0 for k in ks]
+    weight = [1 / g if g > 0 else 0.0 for g in squares]
+    # posteriors add up to one, so a row of the matrix of second moments sums to the domain's tokens: a bound of the largest eigenvalue
+    radius = max((h / g for h, g in zip(have, squares, strict=True) if g > 0), default=0.0)
+    miss = lambda totals: [a - t for a, t in zip(totals, targets, strict=True)]
     steps: list[list[float]] = []
+    state, standing, since = members, _standing(F.lit(start)), 0
+    losses: list[float] = []
+    inertia = 1.0
     totals = have
-    before = math.inf
-    state, rate, since = members, F.lit(start), 0
-    for turn in range(max_rounds):
-        now = _walk(rate, steps[since:], min_rate, max_rate)
-        summed = state.withColumn("__now", now).agg(*[F.sum(F.col("__now") * F.col("__tokens") * F.col(f"__p{k}")).alias(f"e{k}") for k in ks]).first()
-        totals = [summed[f"e{k}"] or 0.0 for k in ks]
-        miss = [t - a for t, a in zip(totals, targets, strict=True)]
-        loss = sum(w * m * m for w, m in zip(weight, miss, strict=True))
-        if not radius or all(abs(m) <= tolerance * max(1.0, a) for m, a in zip(miss, targets, strict=True)) or loss >= before * (1 - gain):
+    for _ in range(max_rounds + 1):
+        now = state.withColumn("__now", _walk(standing, steps[since:], min_rate, max_rate))
+        part = lambda name, k: F.sum(F.col(f"__now.{name}") * F.col("__tokens") * F.col(f"__p{k}"))
+        summed = now.agg(*[part("rate", k).alias(f"r{k}") for k in ks], *[part("ahead", k).alias(f"a{k}") for k in ks]).first()
+        totals = [summed[f"r{k}"] or 0.0 for k in ks]
+        losses.append(sum(w * m * m for w, m in zip(weight, miss(totals), strict=True)))
+        met = all(abs(m) <= tolerance * max(1.0, t) for m, t in zip(miss(totals), targets, strict=True))
+        stalled = len(losses) > patience and min(losses[-patience:]) > min(losses[:-patience]) * (1 - gain)
+        if not radius or met or stalled or len(steps) == max_rounds:
             break
-        before = loss
-        step = [w * m / radius for w, m in zip(weight, miss, strict=True)]
-        steps.append(step)
-        if turn % 20 == 19:  # what the steps so far have come to is written, so that later rounds don't repeat them
-            state = materialise(state.withColumn("__rate", _walk(rate, steps[since:], min_rate, max_rate)), "rates")
-            rate, since = F.col("__rate"), len(steps)
+        if len(losses) > 1 and losses[-1] > losses[-2]:
+            inertia = 1.0  # the momentum led astray
+        faster = (1 + math.sqrt(1 + 4 * inertia * inertia)) / 2
+        ahead = miss([summed[f"a{k}"] or 0.0 for k in ks])
+        steps.append([(inertia - 1) / faster, *[w * m / radius for w, m in zip(weight, ahead, strict=True)]])
+        inertia = faster
+        if len(steps) - since == 8:  # what the steps so far have come to is written, so that later rounds don't repeat them
+            state = materialise(state.withColumn("__rate", _walk(standing, steps[since:], min_rate, max_rate)), "rates")
+            standing, since = F.col("__rate"), len(steps)
     return Rates(start, min_rate, max_rate, steps, targets, totals)
 
 
@@ -198,26 +212,28 @@ def rate_documents(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     return members.select(F.col("__id").alias(id_col), F.col("__tokens").cast("long").alias("n_tokens"), domain.alias("domain"), top.alias("posterior"), rates.column().alias("rate"))
 
 
-def _fitted(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, domain_col: str, shares: dict[str, float] | None, **bounds: float) -> tuple[Classifier, DataFrame, Rates]:
+def _fitted(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, domain_col: str, shares: dict[str, float] | None, whole: bool = False, **bounds: float) -> tuple[Classifier, DataFrame, Rates]:
+    """Classifier, written memberships (with whole rows in ``__row`` if asked for) and rates."""
     classifier = train(docs, labelled, id_col, text_col, domain_col)
-    members = classifier.add(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), "__t").drop("__t")
-    members = materialise(members, "members")
+    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    members = classifier.add(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), *[rows] * whole), "__t").drop("__t")
+    members = materialise(members, "members", compression="zstd")
     wanted = [shares.get(d, 0.0) for d in classifier.domains] if shares else None
-    return classifier, members, fit_rates(members, len(classifier.domains), wanted, **bounds)
+    return classifier, members, fit_rates(members.drop("__row"), len(classifier.domains), wanted, **bounds)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", shares: dict[str, float] | None = None, seed: int = 0, **bounds: float) -> DataFrame:
     """``docs`` with every row drawn as often as its rate says, in its own columns.
 
     The whole part of a rate is certain; the rest is decided by a hash of id and
-    text, so the draw is the same on every run.
+    text, so the draw is the same on every run. Texts are classified once: rows
+    are written beside their memberships.
     """
-    classifier, _, rates = _fitted(docs, labelled, id_col, text_col, domain_col, shares, **bounds)
-    out = classifier.add(docs, text_col).withColumn("__rate", rates.column())
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.floor("__rate") + F.when(chance < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
+    _, members, rates = _fitted(docs, labelled, id_col, text_col, domain_col, shares, whole=True, **bounds)
+    rate, chance = F.col("__rate"), F.pmod(F.xxhash64(F.lit(seed), F.col(f"__row.`{id_col}`"), F.col(f"__row.`{text_col}`")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)
     # rows without copies go after the explosion: a filter on the copies themselves would be put before
     # the projections, and evaluate them all again for each of its references
     each = F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int")))
-    out = out.withColumn("__each", each).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode_outer("__each").alias("__copy"))
-    return out.where("__copy IS NOT NULL").drop("__copy")
+    out = members.withColumn("__rate", rates.column()).withColumn("__each", each).select("__row", F.explode_outer("__each").alias("__copy"))
+    return out.where("__copy IS NOT NULL").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
