@@ -32,8 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Entries that one worker's segment cache holds at most (about 400 bytes each).
+#: Entries, and characters in them, that one generation of a worker's segment cache holds at most.
 CACHE_ENTRIES = 250_000
+CACHE_CHARS = 8_000_000
+#: Longer segments are encoded each time.
+CACHED_CHARS = 1_000
 PAIR_ENTRIES = 200_000
 #: Marks that often follow a word; a segment is cut before them where no piece holds both neighbours.
 MARKS = ".,;:!?*%&$#|)"
@@ -127,6 +130,8 @@ class Encoder:
         #: Two generations, so that frequent segments outlive a full cache.
         self.cache: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
+        self.held = 0
+        self.last: tuple[str | None, tuple[str, str]] = ("", ("", ""))
 
     def remerges(self, a: str, b: str) -> bool:
         """Whether merging ``a + b`` gives ``a`` and ``b`` again.
@@ -211,9 +216,11 @@ class Encoder:
             else:
                 ids = self.ids(key)
                 value = (",".join(map(str, ids)), self.decode(ids))
-        if len(self.cache) >= CACHE_ENTRIES:
-            self.older, self.cache = self.cache, {}
-        self.cache[key] = value
+        if len(key) <= CACHED_CHARS:
+            if len(self.cache) >= CACHE_ENTRIES or self.held >= CACHE_CHARS:
+                self.older, self.cache, self.held = self.cache, {}, 0
+            self.cache[key] = value
+            self.held += len(key)
         return value
 
     def decode(self, ids: list[int]) -> str:
@@ -232,10 +239,13 @@ class Encoder:
         """Comma-joined ids of a whole text, and what they decode to."""
         if not text:
             return "", ""
-        cache, segment = self.cache, self.segment
-        found = [cache.get(s) or segment(s) for s in self.segments(text)]
+        if text == self.last[0]:  # copies of a text follow each other in a mix
+            return self.last[1]
+        segment = self.segment
+        found = [self.cache.get(s) or segment(s) for s in self.segments(text)]
         # the first piece starts with the space that the model had put there
-        return ",".join([x[0] for x in found]), "".join([x[1] for x in found])[1:]
+        self.last = text, (",".join([x[0] for x in found]), "".join([x[1] for x in found])[1:])
+        return self.last[1]
 
 
 _ENCODERS: dict[int, Encoder] = {}
