@@ -126,3 +126,35 @@ def test_very_long_text():
     text = "word " * 200_000
     assert 0 <= fm.Machine(16, 0.0, np.zeros(16 + fm.STATISTICS), np.zeros((16 + fm.STATISTICS, 2)), np.zeros(fm.STATISTICS), np.ones(fm.STATISTICS)).score(text) <= 1
     assert tx.Model(0.0).score(text) == 0.5
+
+
+def test_extreme_statistics_score_as_they_were_trained():
+    from textloom.llm import quality_fm as q
+
+    good, bad = "A calm river ran by the old mill in spring.", "X1 X2 X3 $$ ** X4"
+    rows = [(*q.features(f"{good} {k}"), 1) for k in range(20)] + [(*q.features(f"{bad} {k}"), 0) for k in range(20)]
+    m = q.fit(rows)
+    letters = "A" * 5000
+    i, x = q.features(letters)
+    z = (x[-q.STATISTICS :] - m.mean) / m.scale
+    assert np.abs(z).max() > q.CLIP
+    x[-q.STATISTICS :] = np.clip(z, -8, 8)
+    d = np.bincount(i, x, m.buckets + q.STATISTICS)
+    direct = m.bias + m.w @ d + sum(m.v[a] @ m.v[b] * d[a] * d[b] for a in np.flatnonzero(d) for b in np.flatnonzero(d) if a < b)
+    assert m.score(letters) == pytest.approx(1 / (1 + np.exp(-np.clip(direct, -30, 30))), rel=1e-9)
+
+
+def test_group_word_that_decides_labels_alone_carries_no_verdict():
+    from textloom.llm import toxicity as t
+
+    filler = ["".join(chr(97 + (k * 7 + j * j) % 26) for j in range(6)) for k in range(40)]
+    rows = []
+    for k in range(1200):
+        group = "muslims" if k % 2 else "christians"
+        text = f"{filler[k % 40]} {group} {filler[(k * 3) % 40]} {filler[(k // 40) % 40]}"
+        rows.append((text, k % 2))
+    make = lambda text, y: (tuple(t.inputs_of(text)), y, tuple(map(tuple, t.changes(text))))
+    data = [make(*r) for r in rows]
+    gap = lambda m: abs(m.log_odds("muslims live here") - m.log_odds("christians live here"))
+    plain, held = t.fit(data, t.families(), swap_weight=0.0), t.fit(data, t.families())
+    assert gap(plain) > 2 and gap(held) < gap(plain) / 4
