@@ -1,5 +1,10 @@
 """Names with their endings, masking, and findings over training samples."""
 
+import math
+import random
+
+from pyspark.sql import functions as F
+
 from textloom.operators import names
 from textloom.operators import similarity as sim
 
@@ -53,4 +58,51 @@ def test_sample_findings(spark):
 
 def test_shared_answers(spark):
     df = spark.createDataFrame(SAMPLES, "id long, owner long, question string, answer string, context string")
-    assert {(r["a"], r["b"]) for r in sim.shared_answers(df).collect()} == {(1, 8), (3, 8)}
+    # 3 has the same answer as 1, the first of its class
+    assert {(r["a"], r["b"]) for r in sim.shared_answers(df).collect()} == {(1, 8)}
+
+
+def test_frequent_questions_and_answers_make_no_squares(spark):
+    many = [(k, k, LONG, f"{k} ez a válasz {k * 7919} egészen más lett mint a többi {k * 104729}", "") for k in range(100)]
+    found = sim.sample_findings(spark.createDataFrame(many, "id long, owner long, question string, answer string, context string")).collect()
+    assert {r["type"] for r in found} >= {"same_question_context_different_answer"}
+    assert {r["b"] for r in found} | {0} == set(range(100))
+    many = [(k, k, f"{k} kérdés {k * 7919} valami {k * 104729} más {chr(97 + k % 26) * 30}", ANSWER, "") for k in range(100)]
+    shared = sim.shared_answers(spark.createDataFrame(many, "id long, owner long, question string, answer string, context string")).collect()
+    assert 50 < len(shared) < 100 and {r["a"] for r in shared} == {0}
+
+
+def test_contexts_are_matched_from_the_last_message_back(spark):
+    rows = [("User: alma\nAI: körte", "User: valami más\nUser: alma\nAI: körte"), ("", ""), ("User: x", ""), ("User: abcd", "AI: abcd")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [r[0] for r in df.select(sim.aligned_contexts(sim.context_messages(F.col("a")), sim.context_messages(F.col("b")))).collect()]
+    assert got[1:] == [1.0, 0.0, 0.0] and abs(got[0] - 18 / (18 + len("valami más"))) < 1e-9
+
+
+def test_message_overlap_against_all_pairs(spark):
+    r = random.Random(4)
+    pool = [f"ez az üzenet {k} legalább húsz betű" for k in range(12)]
+    rows = []
+    for c in range(40):
+        for t, x in enumerate([pool[0]] + r.sample(pool[1:], r.randint(2, 6)) if c % 5 else pool[:4]):
+            rows.append((c, t, "user" if (t + c) % 2 else "assistant", x))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    conv = {}
+    for c, t, role, x in rows:
+        conv.setdefault(c, []).append((t, role, x))
+    reps = {}
+    for c in sorted(conv):
+        reps.setdefault(tuple((b, x) for _, b, x in conv[c]), c)
+    want = set()
+    for a in reps.values():
+        for b in reps.values():
+            if a < b:
+                met = [(p, q) for p in conv[a] for q in conv[b] if p[2] == q[2]]
+                same = sum(p[:2] == q[:2] for p, q in met)
+                need = max(2, math.ceil(0.6 * min(len(conv[a]), len(conv[b])) - 1e-9))
+                if len(met) >= need and len(met) - same >= max(2, math.ceil(len(met) / 4)):
+                    want.add((a, b, len(met), same))
+    assert want
+    assert {(r["a"], r["b"], r["shared"], r["same_pos"]) for r in sim.message_overlap(df).collect()} == want
+    classes = {r["conv_id"]: r["class_id"] for r in sim.conversation_classes(df).collect()}
+    assert classes == {c: reps[tuple((b, x) for _, b, x in conv[c])] for c in conv}

@@ -237,33 +237,84 @@ def positional_score(messages: DataFrame, pairs: DataFrame) -> DataFrame:
     return got.join(na, "a").join(nb, "b").select("a", "b", (2 * F.col("m") / (F.col("na") + F.col("nb"))).alias("score"))
 
 
+def _near_texts(texts: DataFrame, threshold: float) -> DataFrame:
+    """(x, y, ratio) in both orders for near texts of (id, text), and every text with itself; x comes first in the ratio."""
+    near = materialise(candidates(texts, texts, threshold).select("a_text", "b_text"), "near")
+    forth = near.select(F.col("a_text").alias("x"), F.col("b_text").alias("y"), ratio_column(F.col("a_text"), F.col("b_text")).alias("ratio"))
+    back = near.select(F.col("b_text").alias("x"), F.col("a_text").alias("y"), ratio_column(F.col("b_text"), F.col("a_text")).alias("ratio"))
+    own = texts.where("text <> ''").select(F.col("text").alias("x"), F.col("text").alias("y"), F.lit(1.0).alias("ratio"))
+    return materialise(forth.union(back).where(F.col("ratio") >= threshold).union(own), "ratios")
+
+
+def aligned_contexts(a: Column, b: Column) -> Column:
+    """Ratio of two contexts, arrays of (role, text) of the messages before a question: matched from the last message back.
+
+    Both empty: 1; one empty: 0. Messages at equal distance from the question and
+    of equal role are matched, as in ``positional_score``; all others count in
+    full as unmatched.
+    """
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            p, q = list(p if p is not None else ()), list(q if q is not None else ())
+            if not len(p) or not len(q):
+                out.append(float(len(p) == len(q)))
+                continue
+            whole = sum(len(m["text"] or "") for m in p) + sum(len(m["text"] or "") for m in q)
+            met = 0
+            for m, n in zip(reversed(p), reversed(q), strict=False):
+                if m["role"] == n["role"] and m["text"] and n["text"]:
+                    met += sum(k.size for k in SequenceMatcher(None, m["text"], n["text"], autojunk=False).get_matching_blocks())
+            out.append(2.0 * met / whole if whole else 1.0)
+        return pd.Series(out, dtype="float64")
+
+    return ratio(a, b)
+
+
+def context_messages(rendered: Column) -> Column:
+    """(role, text) of the messages of a rendered context (lines that begin with User: or AI:), texts in normal form."""
+    parts = F.filter(F.split(F.coalesce(rendered, F.lit("")), r"(?m)^(?=User: |AI: )"), lambda m: m != "")
+    return F.transform(parts, lambda m: F.struct(F.when(m.startswith("AI: "), "assistant").otherwise("user").alias("role"), T.normalise(F.regexp_replace(m, "^(User|AI): ", "")).alias("text")))
+
+
 def sample_findings(samples: DataFrame, inclusive: bool = False) -> DataFrame:
     """(a, b, type, status, score) of training samples that repeat each other.
 
-    ``samples`` has id, owner (its conversation), question, answer and context.
-    Question, answer and context are compared in normal form, the earlier
-    sample first. Equal samples are folded into classes, whose members are
-    linked to the first (sample_exact, rejected whatever their length); pairs
-    of classes need a question ratio of 0.90. The score is the least of the
-    three ratios; texts below 60 characters are reviewed instead of decided.
-    Where answers or contexts differ the finding is information.
+    ``samples`` has id, owner (its conversation), question, answer and context (a
+    rendering, see ``context_messages``). Questions and answers are compared in
+    normal form, contexts message by message from the last one back, the earlier
+    sample first. Equal samples are folded into classes, whose members are linked
+    to the first (sample_exact, rejected whatever their length). Classes whose
+    questions and answers both reach 0.90 are compared pair by pair; the score is
+    the least of the three ratios, and texts below 60 characters are reviewed
+    instead of decided. Classes that share a question but not an answer are
+    information: they are linked to the first class of their question, and first
+    classes of near questions to each other, so a frequent question makes no
+    pairs of its own members.
     """
     n = lambda c: T.normalise(F.col(c))
-    s = samples.select("id", "owner", n("question").alias("q"), n("answer").alias("a"), n("context").alias("c"))
-    classes = s.groupBy("q", "a", "c").agg(F.min_by(F.struct("id", "owner"), "id").alias("f")).select("q", "a", "c", F.col("f.id").alias("id"), F.col("f.owner").alias("owner"))
+    s = samples.select("id", "owner", n("question").alias("q"), n("answer").alias("a"), context_messages(F.col("context")).alias("c"))
+    classes = materialise(s.groupBy("q", "a", "c").agg(F.min_by(F.struct("id", "owner"), "id").alias("f")).select("q", "a", "c", F.col("f.id").alias("id"), F.col("f.owner").alias("owner")), "samples")
     same = s.join(classes.withColumnsRenamed({"id": "first", "owner": "first_owner"}), ["q", "a", "c"]).where("id <> first AND owner <> first_owner AND q <> ''")
     exact = same.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit("sample_exact").alias("type"), F.lit("reject").alias("status"), F.lit(1.0).alias("score"))
-    texts = classes.groupBy("q").agg(F.min("id").alias("id"))
-    near = candidates(texts.select("id", F.col("q").alias("text")), texts.select("id", F.col("q").alias("text")), 0.90)
-    near = near.select(F.col("a_text").alias("x"), F.col("b_text").alias("y"), ratio_column(F.col("a_text"), F.col("b_text")).alias("forth"), ratio_column(F.col("b_text"), F.col("a_text")).alias("back"))
-    both = near.select("x", "y", F.col("forth").alias("rq")).union(near.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("back").alias("rq"))).union(texts.where("q <> ''").select(F.col("q").alias("x"), F.col("q").alias("y"), F.lit(1.0).alias("rq")))
-    l = classes.select(F.col("id").alias("ia"), F.col("owner").alias("oa"), F.col("q").alias("x"), F.col("a").alias("aa"), F.col("c").alias("ca"))  # noqa: E741
-    r = classes.select(F.col("id").alias("ib"), F.col("owner").alias("ob"), F.col("q").alias("y"), F.col("a").alias("ab"), F.col("c").alias("cb"))
-    met = l.join(both.where("rq >= 0.9"), "x").join(r, "y").where("ia < ib AND oa <> ob")
-    ctx = F.when((F.col("ca") == "") & (F.col("cb") == ""), 1.0).when((F.col("ca") == "") | (F.col("cb") == ""), 0.0).otherwise(ratio_column(F.col("ca"), F.col("cb")))
-    met = met.withColumn("rc", ctx).withColumn("ra", ratio_column(F.col("aa"), F.col("ab")))
+    texts = lambda c: classes.groupBy(F.col(c).alias("text")).agg(F.min("id").alias("id")).where("text <> ''")
+    questions = _near_texts(texts("q"), 0.90).toDF("x", "y", "rq")
+    answers = _near_texts(texts("a"), 0.90).toDF("u", "v", "ra")
+    l = classes.select(F.col("id").alias("ia"), F.col("owner").alias("oa"), F.col("q").alias("x"), F.col("a").alias("u"), F.col("c").alias("ca"))  # noqa: E741
+    r = classes.select(F.col("id").alias("ib"), F.col("owner").alias("ob"), F.col("q").alias("y"), F.col("a").alias("v"), F.col("c").alias("cb"))
+    strong = l.join(questions, "x").join(answers, "u").join(r, ["y", "v"]).where("ia < ib AND oa <> ob")
+    # classes of one question to its first, first classes of near questions to each other
+    heads = classes.groupBy("q").agg(F.min("id").alias("head"))
+    hx, hy = heads.toDF("x", "ia"), heads.toDF("y", "ib")
+    weak = hx.join(questions.where("x <> y"), "x").join(hy, "y").select("ia", "ib", "rq").union(classes.join(heads, "q").where("id <> head AND q <> ''").select("head", "id", F.lit(1.0)))
+    weak = weak.where("ia < ib").join(l, "ia").join(r, "ib").where("oa <> ob")
+    weak = weak.withColumn("ra", ratio_column(F.col("u"), F.col("v"))).where("ra < 0.9")
+    columns = ["ia", "ib", "x", "y", "u", "v", "ca", "cb", "rq", "ra"]
+    met = strong.select(columns).union(weak.select(columns)).withColumn("rc", aligned_contexts(F.col("ca"), F.col("cb")))
     score = F.least("rq", "ra", "rc")
-    short = F.least(F.length("x") + F.length("aa"), F.length("y") + F.length("ab")) < 60
+    short = F.least(F.length("x") + F.length("u"), F.length("y") + F.length("v")) < 60
     close = (F.col("rc") >= 0.90) & (F.col("ra") >= 0.90)
     above = (score >= 0.90) if inclusive else (score > 0.90)
     long = (F.length("x") >= 30) & (F.length("y") >= 30)
@@ -281,14 +332,18 @@ def sample_findings(samples: DataFrame, inclusive: bool = False) -> DataFrame:
 
 
 def shared_answers(samples: DataFrame) -> DataFrame:
-    """(a, b, score): equal or nearly equal longer answers (0.95) to different questions (below 0.90)."""
+    """(a, b, score): equal or nearly equal longer answers (0.95) to different questions (below 0.90).
+
+    Samples of one answer are linked to the first that gives it, samples of near
+    answers to each other's first: an answer that many questions have makes as
+    many rows as it has samples. Equal (question, answer) are one sample.
+    """
     n = lambda c: T.normalise(F.col(c))
     s = samples.select("id", "owner", n("question").alias("q"), n("answer").alias("a")).where(F.length("a") >= 60)
-    classes = s.groupBy("q", "a").agg(F.min_by(F.struct("id", "owner"), "id").alias("f")).select("q", "a", F.col("f.id").alias("id"), F.col("f.owner").alias("owner"))
-    texts = classes.groupBy("a").agg(F.min("id").alias("id")).select("id", F.col("a").alias("text"))
-    near = candidates(texts, texts, 0.95).select(F.col("a_text").alias("x"), F.col("b_text").alias("y"), ratio_column(F.col("a_text"), F.col("b_text")).alias("score")).where("score >= 0.95")
-    both = near.union(near.select("y", "x", "score")).union(texts.select(F.col("text").alias("x"), F.col("text").alias("y"), F.lit(1.0).alias("score")))
-    l = classes.select(F.col("id").alias("a_id"), F.col("owner").alias("oa"), F.col("q").alias("qa"), F.col("a").alias("x"))  # noqa: E741
-    r = classes.select(F.col("id").alias("b_id"), F.col("owner").alias("ob"), F.col("q").alias("qb"), F.col("a").alias("y"))
-    met = l.join(both, "x").join(r, "y").where("a_id < b_id AND oa <> ob")
-    return met.where(ratio_column(F.col("qa"), F.col("qb")) < 0.90).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "score")
+    classes = s.groupBy("q", "a").agg(F.min_by(F.struct("id", "owner"), "id").alias("f")).select("q", F.col("a").alias("x"), F.col("f.id").alias("id"), F.col("f.owner").alias("owner"))
+    classes = materialise(classes, "answers")
+    heads = classes.groupBy("x").agg(F.min_by(F.struct("id", "owner", "q"), "id").alias("h"))
+    near = _near_texts(heads.select(F.col("h.id").alias("id"), F.col("x").alias("text")), 0.95)
+    met = classes.join(near, "x").join(heads.select(F.col("x").alias("y"), "h"), "y").where("id <> h.id AND owner <> h.owner")
+    far = ratio_column(F.when(F.col("id") < F.col("h.id"), F.col("q")).otherwise(F.col("h.q")), F.when(F.col("id") < F.col("h.id"), F.col("h.q")).otherwise(F.col("q"))) < 0.90
+    return met.where(far).groupBy(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).agg(F.max("ratio").alias("score"))
