@@ -8,6 +8,9 @@ counts as repeated when it lies in a window of eight words that the text holds
 twice or more; windows are compared by 64-bit hashes built by doubling (pairs,
 fours, eights).
 
+Stop words count each time they stand in a text; their share of all words is
+the stop-word ratio.
+
 Defined results: null and empty texts have no words, fail the base rules and
 are not kept; texts of fewer than eight words have no repeated words; ratios of
 texts without words count as 0; texts are read whole; each row is judged alone,
@@ -35,6 +38,9 @@ STOP_WORDS = (
     "el los las del y que en un una por con para se su al lo como más no"
 ).split()
 
+#: Small letters, or a capital and small letters.
+STOP_FORMS = sorted(set(STOP_WORDS) | {w.capitalize() for w in STOP_WORDS})
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -54,7 +60,7 @@ RULES = (
     Rule("dup_line_ratio", None, 0.4),
     Rule("ellipsis_line_ratio", None, 0.3),
     Rule("bullet_line_ratio", None, 0.9),
-    Rule("n_stop_words", 2.0, None),
+    Rule("stop_word_ratio", 0.03, None),
 )
 
 
@@ -123,7 +129,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         count(r"[^\p{L}\x20\x09-\x0D]").alias("n_non_letters"),
         matching(r"(\.\.\.|…)[\x20\x09-\x0D]*$").alias("n_ellipsis_lines"),
         matching(r"^[\x20\x09-\x0D]*[-*•]").alias("n_bullet_lines"),
-        F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS) | {w.capitalize() for w in STOP_WORDS})]))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(words, lambda w: w.isin(*STOP_FORMS))).cast("long").alias("n_stop_words"),
     )
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return out.select(
@@ -136,6 +142,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"),
         ratio("n_ellipsis_lines", "n_lines").alias("ellipsis_line_ratio"),
         ratio("n_bullet_lines", "n_lines").alias("bullet_line_ratio"),
+        ratio("n_stop_words", "n_words").alias("stop_word_ratio"),
     )
 
 
@@ -158,7 +165,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
 
 def oracle_sql() -> str:
-    stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS) | {w.capitalize() for w in STOP_WORDS}))
+    stop = ", ".join(f"'{w}'" for w in STOP_FORMS)
     n = lambda pattern: f"(length(t) - length(regexp_replace(t, '{pattern}', '', 'g')))"
     rules = " AND ".join(
         f"{r.metric} {op} CAST({v} AS DOUBLE)" for r in RULES for op, v in ((">=", r.low), ("<=", r.high)) if v is not None
@@ -178,11 +185,12 @@ m AS (SELECT a.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(list_aggre
       {n('[^' + chr(92) + 'p{L}' + chr(92) + 'x20' + chr(92) + 'x09-' + chr(92) + 'x0D]')} AS n_non_letters,
       len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_ellipsis_lines,
       len(list_filter(lines, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS n_bullet_lines,
-      len(list_intersect(list_distinct(w), [{stop}])) AS n_stop_words
+      len(list_filter(w, lambda x: x IN ({stop}))) AS n_stop_words
       FROM a LEFT JOIN cov ON a.doc_id = cov.doc_id),
 r AS (SELECT *, {ratio('word_chars', 'n_words', 'mean_word_chars')}, {ratio('n_symbols', 'n_words', 'symbol_ratio')},
       {ratio('n_exclamations', 'n_words', 'exclamation_ratio')}, {ratio('n_upper', 'word_chars', 'upper_ratio')},
       {ratio('n_non_letters', 'word_chars', 'non_letter_ratio')}, {ratio('n_dup_lines', 'n_lines', 'dup_line_ratio')},
       {ratio('n_ellipsis_lines', 'n_lines', 'ellipsis_line_ratio')}, {ratio('n_bullet_lines', 'n_lines', 'bullet_line_ratio')},
+      {ratio('n_stop_words', 'n_words', 'stop_word_ratio')},
       n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {rules} AS kept FROM r"""
