@@ -156,3 +156,96 @@ def batches(df: DataFrame, order: list[str], length: str, size: int) -> DataFram
     rows = numbered(df, order, "__number")
     out = rows.select(F.floor((F.col("__number") - 1) / size).alias("batch"), F.col(length).alias("n"))
     return out.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.max("n").cast("long").alias("padded_to"), (F.max("n") * F.count(F.lit(1)) - F.sum("n")).cast("long").alias("padding"))
+
+
+# What makes a conversation hard, and the bands of its exchanges.
+HARD_FAMILIES, HARD_DEPTH = ("F4", "F7"), 2
+
+
+def length_band(exchanges: Column) -> Column:
+    return F.when(exchanges.between(3, 4), "3-4").when(exchanges.between(5, 6), "5-6").when(exchanges.between(7, 8), "7-8").otherwise("other")
+
+
+def is_hard(family: Column, depends: Column) -> Column:
+    """A conversation that goes back two exchanges or more, or is of a hard family."""
+    deepest = F.array_max(F.transform(depends, lambda d: d["depth"]))
+    return F.coalesce(family.isin(*HARD_FAMILIES), F.lit(False)) | F.coalesce(deepest >= HARD_DEPTH, F.lit(False))
+
+
+def task_text(instruction: Column, input_: Column) -> Column:
+    """Instruction and input as one text, by which tasks of one template are told apart."""
+    return F.concat(T.strip(F.coalesce(instruction, F.lit(""))), F.lit(" || "), T.strip(F.coalesce(input_, F.lit(""))))
+
+
+def pseudo_samples(rows: DataFrame) -> DataFrame:
+    """(id, owner, question, answer, context) of exported rows, to be compared with training samples; they have no context."""
+    more = F.when(F.coalesce("input", F.lit("")) != "", F.concat(F.lit(" "), "input")).otherwise(F.lit(""))
+    question = F.concat(F.coalesce("instruction", F.lit("")), more)
+    return rows.select("id", F.col("id").alias("owner"), question.alias("question"), F.coalesce("output", F.lit("")).alias("answer"), F.lit("").alias("context"))
+
+
+def parse_rendered(rendered: Column) -> Column:
+    """Messages (role, text) of a rendering in blocks ``User: ...``, ``AI: ...``, parted by empty lines; null if it isn't one.
+
+    It reads what is written, not how it was made, so it can check a rendering.
+    """
+    blocks = F.transform(F.split(rendered, "\n\n"), lambda b: F.split(b, "\n"))
+    good = F.forall(blocks, lambda x: (F.size(x) == 2) & F.get(x, F.lit(0)).startswith("User: ") & F.get(x, F.lit(1)).startswith("AI: "))
+    message = lambda role, line, label: F.struct(F.lit(role).alias("role"), F.substring(line, F.lit(len(label) + 1), F.length(line)).alias("text"))
+    pairs = F.transform(blocks, lambda x: F.array(message("user", F.get(x, F.lit(0)), "User: "), message("assistant", F.get(x, F.lit(1)), "AI: ")))
+    return F.when(good, F.flatten(pairs))
+
+
+def assemble(messages: DataFrame, depends: DataFrame) -> DataFrame:
+    """Training samples with what their rendering keeps of the conversation.
+
+    ``depends`` has conv_id, turn, on (places that the turn goes back to) and
+    depth. Of each assistant turn: sample_id (``conversation#R2#turn``), the
+    rendering of the last exchange, whether a declared dependency is covered by
+    what is rendered and which places are missing, the messages that were cut
+    and by how much (``history_truncation``), and ``lossless``: nothing cut and
+    no dependency missing.
+    """
+    w = by_turn()
+    cut = lambda k, most: F.greatest(F.length(T.strip(F.col(f"text{k}"))) - most, F.lit(0))
+    rendered = last_exchange(messages)
+    back = messages.select("conv_id", "turn", *[F.lag("text", k).over(w).alias(f"text{k}") for k in (2, 3)])
+    out = rendered.join(back, ["conv_id", "turn"]).join(depends.select("conv_id", "turn", "on", "depth"), ["conv_id", "turn"], "left")
+    present = F.when(F.col("has_context"), F.array(F.col("turn") - 3, F.col("turn") - 2, F.col("turn") - 1)).otherwise(F.array(F.col("turn") - 1))
+    missing = F.when(F.col("on").isNotNull(), F.sort_array(F.array_except(F.transform("on", lambda x: x.cast("long")), present)))
+    part = lambda k, role, most: F.when(
+        F.col("has_context") & (cut(k, most) > 0), F.struct((F.col("turn") - k).alias("turn"), F.lit(role).alias("role"), F.length(F.col(f"text{k}")).alias("original_chars"), cut(k, most).alias("lost_chars"))
+    )
+    truncation = F.array_compact(F.array(part(3, "user", PROMPT_USER), part(2, "assistant", PROMPT_REPLY)))
+    covered = F.when(missing.isNotNull(), F.size(missing) == 0)
+    return out.select(
+        F.concat_ws("#", F.col("conv_id").cast("string"), F.lit("R2"), F.col("turn").cast("string")).alias("sample_id"),
+        "conv_id",
+        "turn",
+        "rendered",
+        covered.alias("covered"),
+        missing.alias("missing"),
+        truncation.alias("history_truncation"),
+        ((F.size(truncation) == 0) & F.coalesce(covered, F.lit(True))).alias("lossless"),
+    )
+
+
+def with_depends(messages: DataFrame, depends: DataFrame) -> DataFrame:
+    """Samples whose context holds the exchange before and all messages that the turn depends on, in order, but the question."""
+    base = samples(messages).drop("context")
+    before = base.select("conv_id", "turn", F.explode(F.array(F.col("turn") - 3, F.col("turn") - 2)).alias("at"))
+    named = depends.select("conv_id", "turn", F.explode(F.transform("on", lambda x: x.cast("long"))).alias("at"))
+    wanted = before.union(named.join(base.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")).where("at <> turn - 1 AND at >= 0").distinct()
+    said = messages.select("conv_id", F.col("turn").alias("at"), "role", "text")
+    label = F.when(F.col("role") == "user", "User: ").otherwise("AI: ")
+    context = wanted.join(said, ["conv_id", "at"]).groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.concat(label, F.coalesce("text", F.lit(""))).alias("l")))), lambda x: x["l"]), "\n").alias("context"))
+    return base.join(context, ["conv_id", "turn"], "left").withColumn("context", F.coalesce("context", F.lit("")))
+
+
+def mask_is_right(mask: Column, start: Column, end: Column, length: Column) -> Column:
+    """An independent check of a target mask: its length, its sum, and where its ones begin and end."""
+    ones = F.aggregate(mask, F.lit(0), lambda a, x: a + x)
+    first, last = F.array_position(mask, F.lit(1)), F.size(mask) - F.array_position(F.reverse(mask), F.lit(1)) + 1
+    most = F.greatest(F.least(end, length) - F.greatest(start, F.lit(1)), F.lit(0))
+    here = F.when(most == 0, ones == 0).otherwise((first == F.greatest(start, F.lit(1))) & (last == F.least(end, length) - 1))
+    return (F.size(mask) == F.greatest(length - 1, F.lit(0))) & (ones == most) & here

@@ -347,3 +347,37 @@ def shared_answers(samples: DataFrame) -> DataFrame:
     met = classes.join(near, "x").join(heads.select(F.col("x").alias("y"), "h"), "y").where("id <> h.id AND owner <> h.owner")
     far = ratio_column(F.when(F.col("id") < F.col("h.id"), F.col("q")).otherwise(F.col("h.q")), F.when(F.col("id") < F.col("h.id"), F.col("h.q")).otherwise(F.col("q"))) < 0.90
     return met.where(far).groupBy(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).agg(F.max("ratio").alias("score"))
+
+
+def masked_findings(samples: DataFrame, masked: DataFrame, named: DataFrame, decided: DataFrame, inclusive: bool = False) -> DataFrame:
+    """(a, b, type, status, score): findings that only texts without names show, for review.
+
+    ``masked`` are the samples with names masked, ``named`` the ids of those that
+    had any. Pairs of which neither side has names, and pairs that already have a
+    decision (``decided``: a, b, status), are left out; what is left is
+    ``sample_name_swapped``, to be reviewed. ``samples`` gives the owners.
+    """
+    ids = named.select("id").distinct()
+    found = sample_findings(masked, inclusive).where(F.col("status").isin("reject", "review"))
+    sided = found.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").select(found.columns).union(found.join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select(found.columns)).distinct()
+    done = decided.where(F.col("status").isin("reject", "review")).select("a", "b").distinct()
+    left = sided.join(done, ["a", "b"], "left_anti")
+    known = samples.select("id")
+    left = left.join(known.withColumnRenamed("id", "a"), "a", "left_semi").join(known.withColumnRenamed("id", "b"), "b", "left_semi")
+    return left.select("a", "b", F.lit("sample_name_swapped").alias("type"), F.lit("review").alias("status"), "score")
+
+
+def near_conversations(messages: DataFrame, info: float = 0.80) -> DataFrame:
+    """(a, b, score, status) of conversation classes that are near each other, message by message.
+
+    Candidates are conversations whose whole texts can reach ``info`` by length
+    and letters; the score matches messages of equal place and role. Above 0.95
+    is rejected, above 0.90 reviewed, the rest is information.
+    """
+    first = conversation_classes(messages).where("conv_id = class_id").select("conv_id")
+    mine = messages.join(first, "conv_id", "left_semi")
+    line = F.struct("turn", T.normalise(F.col("text")).alias("t"))
+    whole = mine.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda m: m["t"]), "").alias("text")).select(F.col("conv_id").alias("id"), "text")
+    pairs = materialise(bounded_pairs(whole, whole, info), "pairs").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    scored = positional_score(mine, pairs).where(F.col("score") >= info)
+    return scored.select("a", "b", "score", F.coalesce(decide(F.col("score")), F.lit("info")).alias("status"))

@@ -11,7 +11,7 @@ from textloom.functions import classify as C
 from textloom.functions import documents as D
 from textloom.functions import score as S
 from textloom.functions import text as T
-from textloom.operators import grouping, joins, names, retrieval, rules, similarity, split_plan, windows
+from textloom.operators import grouping, joins, names, records, reports, retrieval, rules, similarity, split_plan, windows
 from textloom.operators import samples as SM
 from textloom.plans import sql as Q
 from textloom.session import table
@@ -339,12 +339,15 @@ def split_stats(spark, d):
     return a.groupingSets([["split"], ["split", "source"], ["split", "lang"]], "split", "source", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {STRATIFIED} SELECT source, sha256(string_agg(doc_id || chr(9) || split, chr(10) ORDER BY doc_id)) AS checksum FROM a GROUP BY source")
+@query(
+    f"""WITH {STRATIFIED}, p AS (SELECT source, doc_id, split, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // {reports.PIECE_ROWS} AS piece FROM a),
+h AS (SELECT source, piece, sha256(string_agg(doc_id || chr(9) || split, chr(10) ORDER BY doc_id)) AS digest, count(*) AS c FROM p GROUP BY source, piece)
+SELECT source, sha256(string_agg(digest, chr(10) ORDER BY piece)) AS checksum, CAST(sum(c) AS BIGINT) AS n FROM h GROUP BY source"""
+)
 def assignment_checksum(spark, d):
+    """Checksum of each source's assignments in order, from the digests of pieces."""
     a = windows.stratified_split(docs(spark, d).select("doc_id", "source"), "doc_id", "source", 0.1, SEED)
-    line = F.concat(F.col("doc_id").cast("string"), F.lit("\t"), "split")
-    lines = F.sort_array(F.collect_list(F.struct("doc_id", line.alias("l"))))
-    return a.groupBy("source").agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["l"]), "\n"), 256).alias("checksum"))
+    return reports.piecewise_checksum(a, "source", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("\t"), "split"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) AS row_number FROM documents")
@@ -454,24 +457,24 @@ def benchmark_contamination(spark, d):
 # similarity and groups
 
 
-def _ascii(spark, d):
-    short = docs(spark, d).where("n_chars BETWEEN 1 AND 400").select(F.col("doc_id").alias("id"), F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("text"), "lang")
-    return short.groupBy("text", "lang").agg(F.min("id").alias("id"))
+_ALPHABET = ", ".join(f"'{x}'" for x in T.COUNTED)
 
 
 @query(
-    """WITH c AS (SELECT regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS t, lang, min(doc_id) AS id FROM documents WHERE n_chars BETWEEN 1 AND 400 GROUP BY 1, 2)
-SELECT a.id AS a_id, b.id AS b_id FROM c a JOIN c b ON a.lang = b.lang AND a.id < b.id AND 2.0 * least(length(a.t), length(b.t)) >= 0.9 * (length(a.t) + length(b.t))
-WHERE levenshtein(a.t, b.t) <= CAST(floor((1 - 0.9) * (length(a.t) + length(b.t)) + 1e-9) AS INTEGER)"""
+    f"""WITH c AS (SELECT text, min(doc_id) AS id FROM documents WHERE text <> '' GROUP BY text),
+k AS (SELECT id, length(text) AS n, list_append(list_transform([{_ALPHABET}], lambda x: length(lower(text)) - length(replace(lower(text), x, ''))), length(translate(lower(text), '{T.COUNTED}', ''))) AS v FROM c)
+SELECT a.id AS a_id, b.id AS b_id FROM k a JOIN k b ON a.id < b.id AND 2.0 * least(a.n, b.n) >= 0.9 * (a.n + b.n)
+WHERE 2.0 * list_sum(list_transform(list_zip(a.v, b.v), lambda z: least(z[1], z[2]))) >= 0.9 * (a.n + b.n)"""
 )
 def near_dup_candidates(spark, d):
-    c = _ascii(spark, d)
-    return similarity.candidates(c, c, 0.9, ["lang"]).select("a_id", "b_id")
+    """Pairs of different texts whose lengths and letters allow a ratio of 0.9; all texts, whole."""
+    c = docs(spark, d).groupBy("text").agg(F.min("doc_id").alias("id"))
+    return similarity.bounded_pairs(c, c, 0.9)
 
 
 @query()
 def near_dup_candidates_all(spark, d):
-    """Candidates among all texts, of any length and language; the self-join is too slow for SQL on whole tables."""
+    """Of these candidates, those with a common subsequence that is long enough; too slow for SQL on whole tables."""
     c = docs(spark, d).groupBy("text").agg(F.min("doc_id").alias("id"))
     return similarity.candidates(c, c, 0.9).select("a_id", "b_id")
 
@@ -494,16 +497,49 @@ def paraphrase_pairs(spark, d):
     return similarity.stem_jaccard(chats(spark, d).select(F.col("conv_id").alias("id"), "text"))
 
 
-@query(
-    f"""WITH m AS (SELECT conv_id, turn, role, {Q.normalise('text')} AS t FROM conversations)
-SELECT x.conv_id AS a, y.conv_id AS b, count(*) AS shared, count(*) FILTER (x.turn = y.turn AND x.role = y.role) AS same_pos,
+def _overlaps(messages: str) -> str:
+    """Conversation classes of a table m (conv_id, turn, role, t), and the pairs that share moved messages."""
+    return f"""WITH m AS ({messages}),
+w AS (SELECT conv_id, list([role, t] ORDER BY turn) AS h, count(*) AS n FROM m GROUP BY conv_id),
+f AS (SELECT min(conv_id) AS conv_id, any_value(n) AS n FROM w GROUP BY h),
+p AS (SELECT x.conv_id AS a, y.conv_id AS b, count(*) AS shared, count(*) FILTER (x.turn = y.turn AND x.role = y.role) AS same_pos,
 count(*) FILTER (x.role <> y.role) AS cross_role, count(*) FILTER (x.role = y.role AND x.turn <> y.turn) AS moved
-FROM m x JOIN m y ON x.t = y.t AND x.conv_id < y.conv_id WHERE length(x.t) >= 20 GROUP BY 1, 2"""
-)
+FROM m x JOIN m y ON x.t = y.t AND x.conv_id < y.conv_id WHERE length(x.t) >= 20 GROUP BY 1, 2)
+SELECT a, b, shared, same_pos, cross_role, moved, CASE WHEN cross_role >= moved THEN 'roles_swapped_messages' ELSE 'messages_reordered' END AS type
+FROM p JOIN f fa ON fa.conv_id = a JOIN f fb ON fb.conv_id = b
+WHERE shared >= greatest(2, (3 * least(fa.n, fb.n) + 4) // 5) AND cross_role + moved >= greatest(2, (shared + 3) // 4)"""
+
+
+@query(_overlaps(f"SELECT conv_id, turn, coalesce(role, '') AS role, {Q.normalise('text')} AS t FROM conversations"))
 def message_overlap(spark, d):
     return similarity.message_overlap(chats(spark, d))
 
 
+def _sentences(spark, d):
+    """Documents as conversations of their sentences, by turns."""
+    s = docs(spark, d).select(F.col("doc_id").alias("conv_id"), F.posexplode(T.sentences(F.col("text"))).alias("turn", "text"))
+    return s.withColumn("role", F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant"))
+
+
+@query(_overlaps(f"SELECT conv_id, i - 1 AS turn, CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END AS role, {Q.normalise('s')} AS t FROM (SELECT doc_id AS conv_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, {Q.sentences('text')} AS s FROM documents))"))
+def sentence_overlap(spark, d):
+    """Documents that share sentences in other places: the message overlap on a table where copies have been cut and moved."""
+    return similarity.message_overlap(_sentences(spark, d))
+
+
+@query(
+    f"""WITH w AS (SELECT conv_id, list([coalesce(role, ''), {Q.normalise('text')}] ORDER BY turn) AS h FROM conversations GROUP BY conv_id)
+SELECT conv_id, min(conv_id) OVER (PARTITION BY h) AS class_id, count(*) OVER (PARTITION BY h) AS class_size FROM w"""
+)
+def conversation_classes(spark, d):
+    return similarity.conversation_classes(chats(spark, d))
+
+
+@query()
+def near_conversations(spark, d):
+    return similarity.near_conversations(chats(spark, d))
+
+
 def _samples(spark, d):
     s = SM.samples(chats(spark, d))
     return s.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("owner"), "question", "answer", "context")
@@ -522,6 +558,18 @@ def shared_answers(spark, d):
 BANK = {"approved": ["And", "The"], "blocked_given": ["Er"], "surname": ["Ist"], "allowed": []}
 
 
+@query()
+def masked_findings(spark, d):
+    """Sample findings that only texts with masked names show."""
+    known, plain = names.forms(spark, BANK), _samples(spark, d)
+    masked, named = plain, None
+    for c in ("question", "answer", "context"):
+        m = names.mask(plain, known, "id", c).toDF("id", f"{c}_masked", f"{c}_has")
+        masked = masked.join(m, "id").drop(c).withColumnRenamed(f"{c}_masked", c)
+    named = masked.where("question_has OR answer_has").select("id")
+    return similarity.masked_findings(plain, masked.select(plain.columns), named, similarity.sample_findings(plain))
+
+
 @query()
 def name_issues(spark, d):
     known = names.forms(spark, BANK)
@@ -530,7 +578,7 @@ def name_issues(spark, d):
 
 
 def _links(spark, d):
-    """Links of documents with equal texts, and of documents with equal first lines."""
+    """Links of documents with equal texts, and of documents with equal first 60 characters; ``near_duplicate_groups`` links whole texts."""
     x = docs(spark, d).select("doc_id", F.sha2("text", 256).alias("k1"), F.sha2(F.substring("text", 1, 60), 256).alias("k2"))
     out = None
     for k in ("k1", "k2"):
@@ -574,10 +622,63 @@ def group_split_plan(spark, d):
     return split_plan.assign(g, "group_id")
 
 
-@query("SELECT unnest(['unknown_split', 'unit_in_several_parts', 'record_assigned_twice', 'record_missing', 'record_unknown', 'unit_changed']) AS \"check\", CAST(0 AS BIGINT) AS failures")
-def split_verification(spark, d):
+@query()
+def near_duplicate_groups(spark, d):
+    """Groups over links that were found on whole texts: copies, near duplicates and overlaps of sentences."""
+    near = similarity.near_duplicates(docs(spark, d).select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("a"), F.col("kept_id").alias("b"))
+    links = near.union(similarity.message_overlap(_sentences(spark, d)).select("a", "b"))
+    return grouping.groups(docs(spark, d).select("doc_id"), links, "doc_id")
+
+
+@query()
+def stratified_group_split(spark, d):
+    """A group-atomic split whose parts have languages and sources in equal shares."""
+    g = grouping.groups(docs(spark, d).select("doc_id"), _links(spark, d), "doc_id").join(docs(spark, d).select("doc_id", "lang", "source"), "doc_id")
+    return split_plan.assign(g, "group_id", features=["lang", "source"]).select("doc_id", "group_id", "split")
+
+
+_SHARES = """r AS (SELECT * FROM (VALUES ('train', 0.8, 0), ('validation', 0.1, 1), ('test', 0.1, 2)) t(split, share, place)),
+x AS (SELECT split, place, n * CAST(share AS DOUBLE) AS exact, n FROM r, (SELECT count(*) AS n FROM documents)),
+y AS (SELECT split, CAST(floor(exact) AS BIGINT) AS low, row_number() OVER (ORDER BY floor(exact) - exact, place) AS k, n - sum(CAST(floor(exact) AS BIGINT)) OVER () AS missing FROM x)"""
+
+
+@query(f"WITH {_SHARES} SELECT split, low + CASE WHEN k <= missing THEN 1 ELSE 0 END AS n FROM y")
+def group_split_counts(spark, d):
+    """Records of each part of the group-atomic split: the ideal counts, by largest remainders."""
     g = grouping.groups(docs(spark, d).select("doc_id"), _links(spark, d), "doc_id")
-    return split_plan.verify(g, split_plan.assign(g, "group_id"), "doc_id", "group_id")
+    return split_plan.assign(g, "group_id").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+_VERIFIED = f"""r AS (SELECT doc_id, sha256(coalesce(text, '')) AS unit, {UNIFORM} AS u FROM documents),
+h AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), t AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+a0 AS (SELECT r.doc_id, CASE WHEN t.doc_id IS NULL THEN unit ELSE 'moved' END AS unit, CASE WHEN u < 0.1 THEN 'validation' WHEN u < 0.2 THEN 'test' WHEN u >= 0.97 THEN 'spare' ELSE 'train' END AS split, u
+ FROM r LEFT JOIN t USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM h)),
+a AS (SELECT doc_id, unit, split FROM a0 UNION ALL SELECT doc_id, unit, 'train' FROM a0 WHERE u < 0.02 UNION ALL SELECT -1, 'none', 'train')"""
+
+
+@query(
+    f"""WITH {_VERIFIED}
+SELECT 'unknown_split' AS "check", count(*) AS failures FROM a WHERE split NOT IN ('train', 'validation', 'test')
+UNION ALL SELECT 'unit_in_several_parts', count(*) FROM (SELECT unit FROM a GROUP BY unit HAVING count(DISTINCT split) > 1)
+UNION ALL SELECT 'record_assigned_twice', count(*) FROM (SELECT doc_id FROM a GROUP BY doc_id HAVING count(*) > 1)
+UNION ALL SELECT 'record_missing', count(*) FROM r WHERE doc_id NOT IN (SELECT doc_id FROM a)
+UNION ALL SELECT 'record_unknown', count(*) FROM a WHERE doc_id NOT IN (SELECT doc_id FROM r)
+UNION ALL SELECT 'unit_changed', count(*) FROM (SELECT doc_id, unit FROM a EXCEPT ALL SELECT doc_id, unit FROM r)
+UNION ALL SELECT 'blocked_assigned', count(*) FROM a WHERE doc_id IN (SELECT doc_id FROM t)
+UNION ALL SELECT 'member_of_blocked_unit_assigned', count(*) FROM a WHERE unit IN (SELECT unit FROM r WHERE doc_id IN (SELECT doc_id FROM t))
+UNION ALL SELECT 'listed_assigned', count(*) FROM a WHERE doc_id IN (SELECT doc_id FROM h)"""
+)
+def split_verification(spark, d):
+    """Checks of a split that breaks most of them: rows dealt one by one, some twice, some moved, one unknown, those of poor quality missing."""
+    u = windows.uniform(SEED, F.col("doc_id"))
+    r = docs(spark, d).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("unit"))
+    poor, toxic = _listed(spark, d).distinct(), table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct()
+    moved = r.join(poor, "doc_id", "left_anti").join(toxic.withColumn("t", F.lit(True)), "doc_id", "left").withColumn("u", u)
+    split = F.when(F.col("u") < 0.1, "validation").when(F.col("u") < 0.2, "test").when(F.col("u") >= 0.97, "spare").otherwise("train")
+    a0 = moved.select("doc_id", F.when(F.col("t").isNull(), F.col("unit")).otherwise("moved").alias("unit"), split.alias("split"), "u")
+    one = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("none").alias("unit"), F.lit("train").alias("split"))
+    a = a0.drop("u").union(a0.where("u < 0.02").select("doc_id", "unit", F.lit("train"))).union(one)
+    return split_plan.verify(r, a, "doc_id", "unit", blocked=toxic, listed=poor)
 
 
 # loader
@@ -716,3 +817,272 @@ SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id,
 )
 def events_sessions(spark, d):
     return state.sessions(table(spark, d, "events"))
+
+
+# records, reports and guards
+
+_PROP_KEYS = ("device", "page")
+
+
+@query(
+    """WITH k AS (SELECT event_id, json_keys(props) AS k FROM events),
+i AS (SELECT event_id, list_concat(list_transform(list_sort(list_filter(k, lambda x: x NOT IN ('device', 'page'))), lambda x: 'unknown_field:' || x),
+ list_transform(list_filter(['device', 'page'], lambda x: NOT list_contains(k, x)), lambda x: 'missing_field:' || x)) AS issues FROM k)
+SELECT event_id, array_to_string(issues, ',') AS issues FROM i WHERE len(issues) > 0"""
+)
+def record_field_issues(spark, d):
+    """Unknown and missing keys of the events' properties."""
+    e = table(spark, d, "events").select("event_id", records.field_issues(F.col("props"), _PROP_KEYS).alias("i"))
+    return e.where(F.size("i") > 0).select("event_id", F.array_join("i", ",").alias("issues"))
+
+
+_EXACT = "SELECT doc_id AS b, first AS a FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first"
+_START = "SELECT doc_id AS b, first AS a FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY substr(text, 1, 60)) AS first FROM documents WHERE text IS NOT NULL) WHERE doc_id <> first"
+FINDINGS = f"""fi AS (SELECT a, b, 'exact_text' AS type, 'reject' AS status FROM ({_EXACT})
+UNION ALL SELECT a, b, 'same_start', CASE WHEN b % 3 = 0 THEN 'info' ELSE 'review' END FROM (SELECT a, b FROM ({_START}) EXCEPT SELECT a, b FROM ({_EXACT})))"""
+
+
+def _findings(spark, d):
+    """Findings of documents: copies, and other texts that begin alike (a third of them information)."""
+    x = docs(spark, d)
+    exact = similarity.exact_duplicates(x.select(F.col("doc_id").alias("id"), "text")).select(F.col("kept_id").alias("a"), F.col("id").alias("b"))
+    start = similarity.exact_duplicates(x.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("text"))).select(F.col("kept_id").alias("a"), F.col("id").alias("b"))
+    other = start.join(exact, ["a", "b"], "left_anti").select("a", "b", F.lit("same_start").alias("type"), F.when(F.col("b") % 3 == 0, "info").otherwise("review").alias("status"))
+    return exact.select("a", "b", F.lit("exact_text").alias("type"), F.lit("reject").alias("status")).union(other)
+
+
+@query(
+    f"""WITH {FINDINGS}, o AS (SELECT *, row_number() OVER (ORDER BY CASE status WHEN 'reject' THEN 0 WHEN 'review' THEN 1 ELSE 3 END, type, a, b) AS n FROM fi)
+SELECT a, b, type, status, 'f' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS finding_id FROM o"""
+)
+def finding_ids(spark, d):
+    return reports.number_findings(_findings(spark, d), ["type", "a", "b"])
+
+
+@query(
+    f"""WITH {FINDINGS}, e AS (SELECT unnest([a, b]) AS doc_id FROM fi WHERE status IN ('reject', 'review')), c AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n IS NULL THEN 'clear_of_duplicate_findings' ELSE 'blocked' END AS progression, coalesce(n, 0) AS n_blocking FROM documents LEFT JOIN c USING (doc_id)"""
+)
+def record_states(spark, d):
+    return reports.record_states(docs(spark, d), _findings(spark, d), "doc_id")
+
+
+@query(f"WITH {FINDINGS} SELECT status, type, count(*) AS n FROM fi GROUP BY GROUPING SETS ((status, type), (status), ())")
+def findings_summary(spark, d):
+    return reports.findings_summary(_findings(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {GROUPS}, {FINDINGS}, s AS (SELECT root, count(*) AS n FROM g GROUP BY root), e AS (SELECT DISTINCT unnest([a, b]) AS doc_id FROM fi WHERE status IN ('reject', 'review')),
+x AS (SELECT (SELECT count(*) FROM documents) AS records, (SELECT count(*) FROM fi) AS findings_total, (SELECT count(*) FROM e) AS blocked_records, count(*) AS groups,
+ count(*) FILTER (n >= 2) AS groups_with_2_or_more, max(n) AS largest_group, CAST(coalesce(sum(n) FILTER (n >= 2), 0) AS BIGINT) AS in_groups FROM s)
+SELECT records, findings_total, blocked_records, records - blocked_records AS clear_records, groups, groups_with_2_or_more, largest_group, in_groups,
+round_even(CAST(in_groups AS DOUBLE) / records, 4) AS variant_share, CAST(in_groups AS DOUBLE) / records > {reports.MAX_VARIANT_SHARE} AS variant_share_over_plan FROM x""".replace("e AS (SELECT DISTINCT", "ends AS (SELECT DISTINCT").replace("FROM e) AS blocked", "FROM ends) AS blocked")
+)
+def dedupe_summary(spark, d):
+    g = grouping.groups(docs(spark, d).select("doc_id"), _links(spark, d), "doc_id")
+    return reports.dedupe_summary(docs(spark, d), _findings(spark, d), g, "doc_id")
+
+
+@query(f"WITH RECURSIVE {GROUPS} SELECT 'group_' || root AS group_id, f AS feature, count(*) AS n FROM (SELECT root, unnest(['lang=' || coalesce(lang, '(none)'), 'source=' || coalesce(source, '(none)')]) AS f FROM g JOIN documents USING (doc_id)) GROUP BY 1, 2")
+def unit_features(spark, d):
+    g = grouping.groups(docs(spark, d).select("doc_id"), _links(spark, d), "doc_id").join(docs(spark, d).select("doc_id", "lang", "source"), "doc_id")
+    return reports.unit_features(g, "group_id", ["lang", "source"])
+
+
+@query(f"WITH RECURSIVE {GROUPS} SELECT lang || '/' || source AS persona, count(*) AS n, count(DISTINCT root) AS n_groups, count(*) > 3 AS over, count(DISTINCT root) > 1 AS merged FROM g JOIN documents USING (doc_id) WHERE lang || '/' || source IS NOT NULL GROUP BY 1")
+def label_limits(spark, d):
+    g = grouping.groups(docs(spark, d).select("doc_id"), _links(spark, d), "doc_id").join(docs(spark, d).select("doc_id", F.concat("lang", F.lit("/"), "source").alias("persona")), "doc_id")
+    return reports.label_limits(g, "persona")
+
+
+MERGED = """wp AS (SELECT x.root AS a, y.root AS b FROM labels l JOIN g x ON x.doc_id = l.doc_id JOIN g y ON y.doc_id = l.doc_id + 1 WHERE l.toxic = 1),
+we AS (SELECT a, b FROM wp UNION SELECT b, a FROM wp), wc(n, m) AS (SELECT root, root FROM g UNION SELECT we.b, wc.m FROM wc JOIN we ON wc.n = we.a), wg AS (SELECT n AS root, min('group_' || m) AS unit FROM wc GROUP BY n)"""
+
+
+@query(f"WITH RECURSIVE {GROUPS}, {MERGED} SELECT doc_id, unit FROM g JOIN wg USING (root)")
+def merged_units(spark, d):
+    """Groups that waived pairs join: here toxic documents and the ones after them."""
+    g = grouping.groups(docs(spark, d).select("doc_id"), _links(spark, d), "doc_id")
+    pairs = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    return reports.merge_units(g, pairs, "doc_id")
+
+
+_HITS = f"""bl AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, unnest({Q.sentences('text')}) AS s FROM benchmark)), dl AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest({Q.sentences('text')}) AS s FROM documents)),
+hi AS (SELECT item_id AS row, doc_id AS record, count(*) AS c FROM bl JOIN dl USING (s) GROUP BY 1, 2),
+li AS (SELECT row, record, CASE WHEN c > 1 THEN 'sample_near' ELSE 'same_sentence' END AS type, CASE WHEN c > 1 THEN 'duplicate_like' ELSE 'partial_overlap' END AS strength, x.doc_id AS unit, coalesce(x.split, 'held_back') AS split
+ FROM hi LEFT JOIN (SELECT doc_id, CASE WHEN {UNIFORM} < 0.1 THEN 'validation' ELSE 'train' END AS split FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)) x ON record = x.doc_id)"""
+
+
+def _export_links(spark, d):
+    lines = lambda t, k: table(spark, d, t).select(F.col(k), F.explode(T.sentences(F.col("text"))).alias("s")).select(k, F.sha2("s", 256).alias("h")).distinct()
+    hits = lines("benchmark", "item_id").join(lines("documents", "doc_id"), "h").groupBy(F.col("item_id").alias("row"), F.col("doc_id").alias("record")).agg(F.count(F.lit(1)).alias("c"))
+    assigned = joins.exclude(hash_split(spark, d), _listed(spark, d), "doc_id").withColumn("unit", F.col("doc_id"))
+    return reports.export_links(hits.withColumn("type", F.when(F.col("c") > 1, "sample_near").otherwise("same_sentence")), assigned, "doc_id", "unit")
+
+
+@query(f"WITH {_HITS} SELECT * FROM li")
+def export_links(spark, d):
+    """Documents that hold sentences of benchmark rows, with their parts; two sentences or more are like a duplicate."""
+    return _export_links(spark, d)
+
+
+@query(
+    f"""WITH {_HITS}, q AS (SELECT row, count(*) AS links, list_distinct(list(split) FILTER (strength = 'duplicate_like' AND split <> 'held_back')) AS parts, count(DISTINCT record) FILTER (strength = 'duplicate_like' AND split = 'held_back') AS pending_units FROM li GROUP BY row)
+SELECT row, links, CASE WHEN len(parts) = 1 THEN parts[1] END AS required_split, coalesce(len(parts) > 1, false) AS conflict, pending_units FROM q"""
+)
+def export_required_splits(spark, d):
+    return reports.required_splits(_export_links(spark, d))
+
+
+@query(
+    f"""WITH x AS (SELECT {Q.strip('text')} AS t, min(doc_id) AS owner FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AND {Q.strip('text')} <> '' GROUP BY 1)
+SELECT doc_id, owner, 'text' AS field FROM documents JOIN x ON {Q.strip('text')} = t WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)"""
+)
+def excluded_text_hits(spark, d):
+    """Rows that stay although their text is that of an excluded row."""
+    out = joins.excluded(docs(spark, d), _listed(spark, d), "doc_id").select(F.col("doc_id").alias("id"), "text")
+    return reports.excluded_texts(joins.exclude(docs(spark, d), _listed(spark, d), "doc_id"), out, ["text"], "doc_id")
+
+
+@query("SELECT 'documents' AS corpus, CAST(doc_id AS VARCHAR) AS id, sha256(text) AS text_sha256 FROM documents UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR), sha256(text) FROM benchmark UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), sha256(html) FROM pages")
+def corpora_concatenated(spark, d):
+    parts = {"documents": ("doc_id", "text"), "benchmark": ("item_id", "text"), "pages": ("page_id", "html")}
+    return reports.concatenated({t: table(spark, d, t).select(F.col(k).alias("id"), F.col(x).alias("text")) for t, (k, x) in parts.items()}).select("corpus", "id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(
+    f"""WITH e AS (SELECT b AS id, 'exact' AS c FROM ({_EXACT}) UNION ALL SELECT b, 'start' FROM ({_START}) UNION ALL SELECT doc_id, 'length' FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, n_chars ORDER BY doc_id) AS r FROM documents) WHERE r > 1)
+SELECT id, string_agg(DISTINCT c, ',' ORDER BY c) AS criteria FROM e GROUP BY id"""
+)
+def duplicate_union(spark, d):
+    """Rows that one of three criteria calls a duplicate: an equal text, an equal start, or an equal length in one source."""
+    x = docs(spark, d)
+    exact = similarity.exact_duplicates(x.select(F.col("doc_id").alias("id"), "text"))
+    start = similarity.exact_duplicates(x.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("text")))
+    first = x.groupBy("source", "n_chars").agg(F.min("doc_id").alias("first"))
+    size = x.join(first, x.source.eqNullSafe(first.source) & x.n_chars.eqNullSafe(first.n_chars)).where("doc_id <> first").select(F.col("doc_id").alias("id"))
+    return reports.union_of_duplicates({"exact": exact, "start": start, "length": size})
+
+
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('s1|order|' || doc_id), doc_id) AS n, count(*) OVER () AS total FROM documents) SELECT doc_id, CASE WHEN n <= greatest(1, CAST(floor(total * CAST(0.1 AS DOUBLE)) AS BIGINT)) THEN 'validation' ELSE 'train' END AS split FROM r")
+def block_split(spark, d):
+    return reports.block_split(docs(spark, d).select("doc_id"), "doc_id", 0.1, SEED)
+
+
+# samples and edits
+
+
+@query(f"WITH {SAMPLES} SELECT conv_id, turn, {Q.strip('question')} || ' || ' || {Q.strip('context')} AS task FROM s")
+def task_texts(spark, d):
+    return SM.samples(chats(spark, d)).select("conv_id", "turn", SM.task_text(F.col("question"), F.col("context")).alias("task"))
+
+
+@query(f"WITH {SAMPLES} SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn AS owner, question || CASE WHEN context <> '' THEN ' ' || context ELSE '' END AS question, answer, '' AS context FROM s")
+def pseudo_samples(spark, d):
+    s = SM.samples(chats(spark, d)).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("question").alias("instruction"), F.col("context").alias("input"), F.col("answer").alias("output"))
+    return SM.pseudo_samples(s)
+
+
+@query(
+    f"""WITH {LAST}, b AS (SELECT conv_id, turn, string_split(rendered, chr(10) || chr(10)) AS blocks FROM q),
+g AS (SELECT *, len(list_filter(blocks, lambda b: len(string_split(b, chr(10))) <> 2 OR NOT starts_with(string_split(b, chr(10))[1], 'User: ') OR NOT starts_with(string_split(b, chr(10))[2], 'AI: '))) = 0 AS good FROM b)
+SELECT conv_id, turn, CASE WHEN good THEN CAST(2 * len(blocks) AS INTEGER) END AS n_messages, CASE WHEN good THEN substr(string_split(blocks[-1], chr(10))[1], 7) END AS question, CASE WHEN good THEN substr(string_split(blocks[-1], chr(10))[2], 5) END AS answer FROM g"""
+)
+def rendered_messages(spark, d):
+    """What the renderings of last exchanges say when they are read back; null where texts have line ends of their own."""
+    m = SM.last_exchange(chats(spark, d)).select("conv_id", "turn", SM.parse_rendered(F.col("rendered")).alias("m"))
+    n = F.when(F.col("m").isNotNull(), F.size("m"))
+    return m.select("conv_id", "turn", n.alias("n_messages"), F.get("m", F.size("m") - 2)["text"].alias("question"), F.get("m", F.size("m") - 1)["text"].alias("answer"))
+
+
+_DEPENDS = "dp AS (SELECT conv_id, turn, [turn - 3, greatest(turn - 5, 0)] AS o FROM conversations WHERE role = 'assistant' AND turn >= 5)"
+
+
+@query(
+    f"""WITH {LAST}, {_DEPENDS}, y AS (SELECT q.*, e.t3, e.t2, o FROM q JOIN e USING (conv_id, turn) LEFT JOIN dp USING (conv_id, turn)),
+z AS (SELECT *, CASE WHEN o IS NOT NULL THEN list_sort(list_filter(list_distinct(o), lambda x: NOT (x = turn - 1 OR (has_context AND (x = turn - 2 OR x = turn - 3))))) END AS missing,
+ CASE WHEN has_context THEN greatest(length({Q.strip('t3')}) - 80, 0) ELSE 0 END AS lu, CASE WHEN has_context THEN greatest(length({Q.strip('t2')}) - 120, 0) ELSE 0 END AS la FROM y)
+SELECT conv_id || '#R2#' || turn AS sample_id, len(missing) = 0 AS covered, array_to_string(missing, ',') AS missing, CAST(CASE WHEN lu > 0 THEN 1 ELSE 0 END + CASE WHEN la > 0 THEN 1 ELSE 0 END AS INTEGER) AS n_truncated,
+lu = 0 AND la = 0 AND coalesce(len(missing) = 0, true) AS lossless FROM z"""
+)
+def assembled_samples(spark, d):
+    """Samples with dependencies declared on the exchange before and the one before that."""
+    m = chats(spark, d)
+    depends = m.where("role = 'assistant' AND turn >= 5").select("conv_id", "turn", F.array(F.col("turn") - 3, F.greatest(F.col("turn") - 5, F.lit(0))).alias("on"), F.lit(2).alias("depth"))
+    a = SM.assemble(m, depends)
+    return a.select("sample_id", "covered", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"), F.size("history_truncation").alias("n_truncated"), "lossless")
+
+
+@query(
+    f"""WITH {SAMPLES}, {_DEPENDS}, wt AS (SELECT conv_id, turn, unnest([turn - 3, turn - 2]) AS at FROM s UNION SELECT dp.conv_id, dp.turn, unnest(o) FROM dp JOIN s USING (conv_id, turn)),
+cx AS (SELECT w.conv_id, w.turn, string_agg(CASE c.role WHEN 'user' THEN 'User: ' ELSE 'AI: ' END || coalesce(c.text, ''), chr(10) ORDER BY w.at) AS context FROM wt w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.at WHERE w.at <> w.turn - 1 GROUP BY 1, 2)
+SELECT s.conv_id, s.turn, s.question, s.answer, coalesce(cx.context, '') AS context FROM s LEFT JOIN cx USING (conv_id, turn)"""
+)
+def samples_with_depends(spark, d):
+    m = chats(spark, d)
+    depends = m.where("role = 'assistant' AND turn >= 5").select("conv_id", "turn", F.array(F.col("turn") - 3, F.greatest(F.col("turn") - 5, F.lit(0))).alias("on"))
+    return SM.with_depends(m, depends)
+
+
+@query(
+    """SELECT conv_id, count(*) FILTER (role = 'assistant') AS exchanges, CASE WHEN count(*) FILTER (role = 'assistant') BETWEEN 3 AND 4 THEN '3-4' WHEN count(*) FILTER (role = 'assistant') BETWEEN 5 AND 6 THEN '5-6'
+WHEN count(*) FILTER (role = 'assistant') BETWEEN 7 AND 8 THEN '7-8' ELSE 'other' END AS length_band FROM conversations GROUP BY conv_id"""
+)
+def conversation_bands(spark, d):
+    c = chats(spark, d).groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("exchanges"))
+    return c.withColumn("length_band", SM.length_band(F.col("exchanges")))
+
+
+@query(f"WITH {SAMPLES} SELECT conv_id, turn, true AS right_mask, length(answer) = 0 AS wrong_mask FROM s WHERE length(question) + length(answer) > 0")
+def mask_checks(spark, d):
+    """The check of target masks, on the masks made for samples and on masks of nothing."""
+    s = SM.samples(chats(spark, d)).where(F.length("question") + F.length("answer") > 0)
+    n = F.length("question") + F.length("answer") + 11
+    start = n - F.length("answer")
+    made, empty = SM.target_mask(n, start, n), SM.target_mask(n, n, n)
+    return s.select("conv_id", "turn", SM.mask_is_right(made, start, n, n).alias("right_mask"), SM.mask_is_right(empty, start, n, n).alias("wrong_mask"))
+
+
+@query(f"SELECT conv_id, turn, {Q.any_of(F_TEXT, D.FILE_MENTIONS)} AND {Q.any_of(F_TEXT, D.FILE_QUESTIONS)} AS asks_file FROM conversations")
+def file_questions(spark, d):
+    return chats(spark, d).select("conv_id", "turn", D.is_file_question(F.col("text")).alias("asks_file"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256('new') WHEN doc_id % 3 = 1 THEN sha256(coalesce(text, '') || CASE WHEN coalesce(text, '') = '' OR ends_with(text, chr(10)) THEN '' ELSE chr(10) END || 'new')
+WHEN contains(coalesce(text, ''), 'the') THEN sha256(replace(text, 'the', 'new')) END AS text_sha256,
+CASE WHEN doc_id % 3 = 2 AND NOT contains(coalesce(text, ''), 'the') THEN 'find_not_found' END AS error FROM documents"""
+)
+def edited_texts(spark, d):
+    """Each document edited: a third replaced, a third appended to, in a third one word is replaced."""
+    k = F.col("doc_id") % 3
+    kind = F.when(k == 0, "replace_all").when(k == 1, "append").otherwise("find_replace")
+    e = docs(spark, d).select("doc_id", D.edited(F.col("text"), kind, F.lit("the"), F.lit("new"), F.lit(None).cast("int")).alias("e"))
+    return e.select("doc_id", F.sha2("e.text", 256).alias("text_sha256"), "e.error")
+
+
+@query(
+    """WITH p AS (SELECT doc_id AS file_id, coalesce(text, '') AS t, doc_id % 4 AS k FROM documents)
+SELECT file_id, sha256(CASE WHEN k = 1 THEN t || '!' ELSE t END) AS content_sha256, k = 1 AS has_undo, k = 2 AS refused FROM p"""
+)
+def applied_edits(spark, d):
+    """Previewed edits: a quarter fits the content, a quarter was made from another."""
+    files = docs(spark, d).select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("content"))
+    k = F.col("file_id") % 4
+    plans = files.where(k.isin(1, 2)).select("file_id", F.sha2(F.when(k == 1, F.col("content")).otherwise("other"), 256).alias("old_sha256"), F.concat("content", F.lit("!")).alias("new_content"))
+    a = D.apply_edits(files, plans)
+    return a.select("file_id", F.sha2("content", 256).alias("content_sha256"), F.col("undo").isNotNull().alias("has_undo"), "refused")
+
+
+@query("SELECT user_id, event_id, ts FROM (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5")
+def recent_events(spark, d):
+    return state.recent(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"])
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(list_filter(string_split(event_type || ',' || CASE WHEN value > 50 THEN 'high' ELSE 'low' END || ',magyar', ','), lambda t: t <> 'magyar')) AS tag FROM events) GROUP BY tag")
+def tag_counts(spark, d):
+    """Every occurrence of tags in arrays, but for the one that all rows have."""
+    tags = F.array(F.col("event_type"), F.when(F.col("value") > 50, "high").otherwise("low"), F.lit("magyar"))
+    e = table(spark, d, "events").select(F.explode(F.filter(tags, lambda t: t != "magyar")).alias("tag"))
+    return e.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))

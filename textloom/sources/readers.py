@@ -12,14 +12,16 @@ MAX_UPLOAD = 200_000
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, line_no, raw, crlf, blank) of text files, byte for byte but for line ends.
 
-    Lines are numbered within their file. A file is read whole by one task, as
-    its numbering needs; directories spread over tasks by file.
+    Lines are numbered within their file. Files of any size are read in splits:
+    a line's number is its place in the split after the lines of the splits
+    before, of which there is one row for each 128 MB or so.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.decode("content", "UTF-8").alias("t"))
-    body = F.regexp_replace("t", r"\n\z", "")
-    out = files.where("t <> ''").select("source_file", F.posexplode(F.split(body, "\n")).alias("at", "line"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("__start"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("__place"))
+    splits = lines.groupBy("source_file", "__start").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("source_file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = lines.join(F.broadcast(splits.withColumn("__before", before).drop("__n")), ["source_file", "__start"])
     raw = F.regexp_replace("line", r"\r\z", "")
-    return out.select("source_file", (F.col("at") + 1).cast("long").alias("line_no"), raw.alias("raw"), F.col("line").endswith("\r").alias("crlf"), (F.trim(raw) == "").alias("blank"))
+    return out.select("source_file", (F.col("__before") + F.col("__place") - F.col("__first") + 1).alias("line_no"), raw.alias("raw"), F.col("line").endswith("\r").alias("crlf"), (F.trim(raw) == "").alias("blank"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -49,10 +51,15 @@ def number_lines(lines: DataFrame) -> DataFrame:
     return lines.join(count.select("source_file", before.alias("__before")), "source_file").withColumn("row_number", F.col("__before") + F.col("line_no")).drop("__before")
 
 
-def require_clean_folder(path: str) -> None:
-    """Only folders named clean are sources of exports."""
+def require_clean_folder(path: str, spark: SparkSession | None = None, ending: str = ".jsonl") -> None:
+    """Only folders named clean are sources of exports; with ``spark``, there must be a file in it."""
     if path.rstrip("/").rsplit("/", 1)[-1] != "clean":
         raise ValueError(f"not a clean folder: {path}")
+    if spark is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not any(f.isFile() and f.getPath().getName().endswith(ending) for f in fs.listStatus(p)):
+            raise ValueError(f"no files in {path}")
 
 
 def read_exclusions(spark: SparkSession, path: str, allow_empty: bool = False, id_form: str = ID) -> DataFrame:
@@ -69,15 +76,47 @@ def read_exclusions(spark: SparkSession, path: str, allow_empty: bool = False, i
 def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a JSON array; a missing or broken file is an empty store."""
     try:
-        out = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-        out.limit(1).count()
+        out = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        out.agg(F.bit_xor(F.xxhash64(*out.columns))).first()
         return out
     except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+        if any(x in str(e) for x in ("PATH_NOT_FOUND", "does not exist", "MALFORMED", "Malformed")):
             return spark.createDataFrame([], schema)
         raise
 
 
+def read_names(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """A name bank: a JSON object of four lists of names; anything else is an error. A bank is configuration."""
+    fields = ("approved", "blocked_given", "surname", "allowed")
+    row = spark.read.schema(", ".join(f"{f} array<string>" for f in fields)).option("multiLine", True).option("mode", "FAILFAST").json(path).first()
+    if row is None or any(row[f] is None or any(not (n or "").strip() for n in row[f]) for f in fields):
+        raise ValueError(f"bad name bank {path}")
+    return row.asDict()
+
+
+def read_export(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
+    """(id, raw, row_sha256, source_file, source_line) of an indexed export, checked against its index and manifest.
+
+    ``manifest`` has status, rows_exported, rows_read, rows_excluded and the two
+    flags of approval, which an export can't have. Rows and index must agree line
+    by line, ids must be unique; any mismatch is an error.
+    """
+    m = manifest
+    if m.get("status") != "ok" or m.get("training_ready") is not False or m.get("content_verified") is not False:
+        raise ValueError("the manifest is not that of a finished export")
+    if m["rows_read"] != m["rows_exported"] + m["rows_excluded"]:
+        raise ValueError("counts of the manifest don't balance")
+    rows = read_lines(spark, f"{path}/rows").where("NOT blank").select(F.get_json_object("raw", "$.id").alias("id"), "raw", F.sha2("raw", 256).alias("row_sha256"))
+    index = spark.read.option("sep", "\t").option("header", True).schema("id string, source_file string, source_line long, row_sha256 string").csv(f"{path}/index")
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("d"), F.count_if(F.col("id").isNull()).alias("none")).first()
+    if n["none"] or n["d"] != n["n"] or n["n"] != m["rows_exported"]:
+        raise ValueError(f"bad rows of the export: {n.asDict()}")
+    joined = rows.join(index.withColumnRenamed("row_sha256", "indexed"), "id", "full_outer")
+    if joined.where(~F.col("row_sha256").eqNullSafe(F.col("indexed"))).limit(1).count():
+        raise ValueError("rows and index differ")
+    return joined.drop("indexed")
+
+
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of a text, which empty lines part; blank blocks are left out."""
     return spark.read.option("lineSep", "\n\n").text(path).where("trim(value) <> ''").select(F.col("value").alias("block"))

@@ -37,6 +37,51 @@ def write_split(samples: DataFrame, path: str) -> None:
     samples.write.partitionBy("split", "mode").json(path)
 
 
+def write_summary(df: DataFrame, path: str) -> None:
+    """A summary of one row as one JSON object."""
+    rows = df.limit(2).count()
+    if rows != 1:
+        raise ValueError(f"a summary has one row, not {rows}")
+    write_jsonl(df.coalesce(1), path)
+
+
+def write_block_export(rows: DataFrame, path: str, order: list[str]) -> None:
+    """Blocks of rows (id, category, source_file, source_line, raw, instruction, input, output), their index, and the rows withheld with their reasons."""
+    from textloom.operators import samples as SM
+
+    parts = [F.col(c) for c in ("instruction", "input", "output")]
+    base = rows.withColumn("reasons", SM.block_reasons(*parts)).withColumn("row_sha256", F.sha2("raw", 256))
+    kept = base.where(F.size("reasons") == 0).withColumn("block", SM.render_block(*parts))
+    write_blocks(kept, f"{path}/blocks", order)
+    about = ["id", "category", "source_file", "source_line", "row_sha256"]
+    tsv = lambda d, name: d.write.option("sep", "\t").option("header", True).csv(f"{path}/{name}")
+    flags = F.array_join(SM.block_flags(*parts), ",").alias("flags")
+    tsv(kept.select(*about, F.sha2("block", 256).alias("block_sha256"), F.length("block").alias("block_chars"), flags), "index")
+    tsv(base.where(F.size("reasons") > 0).select(*about, F.array_join("reasons", ",").alias("reasons")), "withheld")
+
+
+def write_split_outputs(assigned: DataFrame, held: DataFrame, groups: DataFrame, links: DataFrame, overlaps: DataFrame, path: str, key: str) -> None:
+    """The tables of a split: assignment, held_back, groups, ids of each part, overlaps and links."""
+    write_jsonl(assigned, f"{path}/assignment")
+    write_jsonl(held, f"{path}/held_back")
+    write_jsonl(groups, f"{path}/groups")
+    assigned.select(F.col(key).cast("string").alias("id"), "split").write.partitionBy("split").text(f"{path}/ids")
+    write_jsonl(overlaps, f"{path}/overlaps")
+    write_jsonl(links, f"{path}/links")
+
+
+def write_samples(samples: DataFrame, held: DataFrame, path: str) -> None:
+    """Samples by split and mode, an index of them, an index of conversations, and what is withheld.
+
+    ``samples`` has sample_id, conv_id, split, mode and rendered.
+    """
+    write_split(samples, f"{path}/samples")
+    tsv = lambda d, name: d.write.option("sep", "\t").option("header", True).csv(f"{path}/{name}")
+    tsv(samples.select("sample_id", "conv_id", "split", "mode", F.length("rendered").alias("chars"), F.sha2("rendered", 256).alias("sha256")), "sample_index")
+    tsv(samples.groupBy("conv_id", "split").agg(F.count(F.lit(1)).alias("samples")), "conversation_index")
+    write_jsonl(held, f"{path}/withheld")
+
+
 def append_log(df: DataFrame, path: str) -> bool:
     """Append events as JSON lines; a failing log never fails its caller."""
     try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -115,3 +115,30 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None
 def once(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
     """Events of a stream without those that repeat an id within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An append-only log of JSON lines as a stream."""
+    return spark.readStream.schema(schema).json(path)
+
+
+MAX_FILES, MAX_EXCHANGES = 5, 2
+
+
+def recent(rows: DataFrame, owner: str, order: list[str], most: int = MAX_FILES) -> DataFrame:
+    """The last ``most`` rows of each owner, the oldest being put out. Spark keeps no more than ``most`` of an owner before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(owner).orderBy(*[F.desc(c) for c in order]))
+    return rows.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+
+
+def stream_recent(rows: DataFrame, owner: str, value: str, most: int = MAX_EXCHANGES) -> DataFrame:
+    """A stream's last ``most`` values of each owner, in order of arrival: (owner, recent)."""
+
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        held = [*held, *(v for b in batches for v in b[value])][-most:]
+        state.update((held,))
+        yield pd.DataFrame({owner: [key[0]], "recent": [held]})
+
+    kind = rows.schema[owner].dataType.simpleString()
+    return rows.groupBy(owner).applyInPandasWithState(keep, f"{owner} {kind}, recent array<string>", "recent array<string>", "update", GroupStateTimeout.NoTimeout)
