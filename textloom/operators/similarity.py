@@ -60,6 +60,25 @@ def reaches(a: str, b: str, need: int) -> bool:
     return n - v.bit_count() >= need
 
 
+def common_letters(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts."""
+
+    @F.pandas_udf("int")
+    def length(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            letters, every = np.frombuffer(q.encode("utf-32-le"), np.uint32), (1 << len(q)) - 1
+            at = {c: int.from_bytes(np.packbits(letters == ord(c), bitorder="little").tobytes(), "little") for c in set(p) & set(q)}
+            v = every
+            for c in p:
+                u = v & at.get(c, 0)
+                v = (v + u | v - u) & every
+            out.append(len(q) - v.bit_count())
+        return pd.Series(out, dtype="int32")
+
+    return length(a, b)
+
+
 def bounded_pairs(left: DataFrame, right: DataFrame, threshold: float, block: list[str] | None = None, same: bool = True) -> DataFrame:
     """Pairs (a_id, b_id) whose lengths and common multisets of letters allow a ratio of ``threshold``.
 
@@ -224,17 +243,26 @@ def message_overlap(messages: DataFrame, min_chars: int = 20) -> DataFrame:
     return out.select("a", "b", "shared", "same_pos", "cross_role", "moved", kind)
 
 
-def positional_score(messages: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, score): matched characters of messages at equal places and in equal roles, over all characters."""
+def positional_score(messages: DataFrame, pairs: DataFrame, least: float = 0.0) -> DataFrame:
+    """(a, b, score): matched characters of messages at equal places and in equal roles, over all characters.
+
+    With ``least``, pairs are first measured by common subsequences, which no
+    match exceeds, and only those that can reach it are matched.
+    """
     m = messages.select("conv_id", "turn", "role", T.normalise(F.col("text")).alias("norm"))
     total = m.groupBy("conv_id").agg(F.sum(F.length("norm")).alias("n"))
-    a = m.select(F.col("conv_id").alias("a"), "turn", "role", F.col("norm").alias("x"))
-    b = m.select(F.col("conv_id").alias("b"), "turn", "role", F.col("norm").alias("y"))
-    met = pairs.select("a", "b").join(a, "a").join(b, ["b", "turn", "role"])
-    matched = (ratio_column(F.col("x"), F.col("y")) * (F.length("x") + F.length("y")) / 2).alias("m")
-    got = met.select("a", "b", matched).groupBy("a", "b").agg(F.sum("m").alias("m"))
+    x = m.select(F.col("conv_id").alias("a"), "turn", "role", F.col("norm").alias("x"))
+    y = m.select(F.col("conv_id").alias("b"), "turn", "role", F.col("norm").alias("y"))
     na, nb = total.select(F.col("conv_id").alias("a"), F.col("n").alias("na")), total.select(F.col("conv_id").alias("b"), F.col("n").alias("nb"))
-    return got.join(na, "a").join(nb, "b").select("a", "b", (2 * F.col("m") / (F.col("na") + F.col("nb"))).alias("score"))
+
+    def scored(some: DataFrame, matched) -> DataFrame:  # noqa: ANN001
+        got = some.select("a", "b").join(x, "a").join(y, ["b", "turn", "role"]).select("a", "b", matched(F.col("x"), F.col("y")).alias("m"))
+        out = got.groupBy("a", "b").agg(F.sum("m").alias("m")).join(na, "a").join(nb, "b")
+        return out.select("a", "b", F.coalesce(F.try_divide(2 * F.col("m"), F.col("na") + F.col("nb")), F.lit(0.0)).alias("score"))
+
+    if least > 0:
+        pairs = materialise(scored(pairs, common_letters).where(F.col("score") >= least - 1e-9), "possible")
+    return scored(pairs, lambda p, q: ratio_column(p, q) * (F.length(p) + F.length(q)) / 2)
 
 
 def _near_texts(texts: DataFrame, threshold: float) -> DataFrame:
@@ -379,5 +407,5 @@ def near_conversations(messages: DataFrame, info: float = 0.80) -> DataFrame:
     line = F.struct("turn", T.normalise(F.col("text")).alias("t"))
     whole = mine.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda m: m["t"]), "").alias("text")).select(F.col("conv_id").alias("id"), "text")
     pairs = materialise(bounded_pairs(whole, whole, info), "pairs").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    scored = positional_score(mine, pairs).where(F.col("score") >= info)
+    scored = positional_score(mine, pairs, info).where(F.col("score") >= info)
     return scored.select("a", "b", "score", F.coalesce(decide(F.col("score")), F.lit("info")).alias("status"))
