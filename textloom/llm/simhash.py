@@ -137,12 +137,12 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     one id a single one stays.
     """
     found = near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text_col)
-    stay = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__keep")).agg(F.count(F.lit(1)).alias("__n"))
-    stay = materialise(stay, "kept")
-    repeated = stay.where("__n > 1").select("__keep")
-    semi = lambda ids, how: df.join(ids, df[id_col] == F.col("__keep"), how)
+    found = materialise(found.select(F.col(id_col).alias("__id"), "component_id"), "members")
+    # few rows go, most stay: the ids that go are the smaller side, often small enough to be broadcast
+    gone = found.where(F.col("__id") != F.col("component_id")).select("__id").distinct()
+    repeated = found.where(F.col("__id") == F.col("component_id")).groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id")
+    on = lambda d, ids, how: d.join(ids, d[id_col] == ids["__id"], how)
+    kept = on(df, gone, "left_anti")
     if repeated.isEmpty():
-        kept = semi(stay.select("__keep"), "left_semi")
-    else:
-        kept = semi(stay.where("__n = 1").select("__keep"), "left_semi").unionByName(semi(repeated, "left_semi").dropDuplicates([id_col]))
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+        return kept
+    return on(kept, repeated, "left_anti").unionByName(on(kept, repeated, "left_semi").dropDuplicates([id_col]))
