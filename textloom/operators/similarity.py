@@ -94,7 +94,8 @@ def bounded_pairs(left: DataFrame, right: DataFrame, threshold: float, block: li
     bucket = F.floor(F.log(F.col("n").cast("double")) / F.lit(width))
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        base = df.where(F.length("text") > 0).select("id", *block, F.length("text").alias("n"), T.letter_counts(F.lower("text")).alias("c"))
+        low = df.where(F.length("text") > 0).select("id", *block, F.length("text").alias("n"), F.lower("text").alias("t"))
+        base = low.select("id", *block, "n", T.letter_counts(F.col("t")).alias("c"))
         counts = [F.col("c")[k].alias(f"{p}_c{k}") for k in range(len(T.COUNTED) + 1)]
         return base.select(F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}__{c}") for c in block], F.col("n").alias(f"{p}_n"), bucket.alias(f"{p}_bucket"), *counts)
 
@@ -108,7 +109,10 @@ def bounded_pairs(left: DataFrame, right: DataFrame, threshold: float, block: li
     both = F.col("a_n") + F.col("b_n")
     on &= 2.0 * F.least("a_n", "b_n") >= threshold * both
     on &= 2.0 * F.least(F.least("a_n", "b_n"), T.shared_letters("a_c", "b_c")) >= threshold * both
-    return a.join(b, on).select("a_id", "b_id")
+    # rows are few bytes but many pairs: partitions by number, which aren't put together for their small size
+    spark = left.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    return a.repartition(n, "a_bucket").join(b.repartition(n, "near"), on).select("a_id", "b_id")
 
 
 def candidates(left: DataFrame, right: DataFrame, threshold: float, block: list[str] | None = None, same: bool = True) -> DataFrame:
