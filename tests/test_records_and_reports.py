@@ -251,8 +251,8 @@ def test_style_chain_softens_short_texts(spark):
     got = [tuple(r["s"]) for r in df.select(D.styled(F.col("t"), ("Szólj bátran.", "Kérdezz még.")).alias("s")).collect()]
     assert got[0][0] in ("Szia szia. Szólj bátran.", "Szia szia. Kérdezz még.") and got[0][1]
     assert got[1] == ("", False, None, 0) and got[2][0] == "Ez egy elég hosszú mondat."
-    kinds = spark.createDataFrame([("a.PY",), ("b",), (None,)], "n string").select(D.file_type(F.col("n"))).collect()
-    assert [r[0] for r in kinds] == ["program", "text", "text"]
+    kinds = spark.createDataFrame([(".PY",), (".b",), (None,)], "n string").select(D.file_type(F.col("n"))).collect()
+    assert [r[0] for r in kinds] == [D.FILE_TYPES[".py"], D.ANY_FILE, D.ANY_FILE]
 
 
 def test_hard_conversations_and_masks(spark):

@@ -38,7 +38,10 @@ def test_stores_blocks_uploads(spark, tmp_path):
     (tmp_path / "t.txt").write_text("a\nb\n\n \n\nc")
     assert [r[0] for r in readers.read_blocks(spark, str(tmp_path / "t.txt")).collect()] == ["a\nb", "c"]
     files = spark.createDataFrame([("a.txt", b"x"), ("a.exe", b"x"), ("a.txt", b"x\0"), ("a.md", b"\xff"), ("b.txt", b"x" * 200_001)], "name string, content binary")
-    assert [r["error_code"] for r in readers.check_uploads(files).collect()] == [None, "bad_extension", "binary", "binary", "too_large"]
+    assert [r["error_code"] for r in readers.check_uploads(files).collect()] == [None, "unsupported_type", "binary_not_supported", "binary_not_supported", "file_too_large"]
+    odd = [("..\\\\x/.a\t.txt", b"x", "a.txt", None), ("my secret.txt", b"x", "my secret.txt", "blocked_filename"), ("a.txt", b"", "a.txt", "empty_file"), (None, b"x", "feltoltott_fajl", "unsupported_type"), (".env", b"x", "env", "unsupported_type")]
+    files = spark.createDataFrame([(n, c) for n, c, _, _ in odd], "name string, content binary")
+    assert [(r["display_name"], r["error_code"]) for r in readers.check_uploads(files).collect()] == [(d, e) for _, _, d, e in odd]
     readers.require_clean_folder("/x/clean/")
     with pytest.raises(ValueError):
         readers.require_clean_folder("/x/raw")

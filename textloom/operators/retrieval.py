@@ -14,15 +14,19 @@ def search(queries: DataFrame, records: DataFrame, k: int = 5, most: int = 5) ->
 
     ``queries`` has query_id and text, ``records`` record_id and text. Words of
     fewer than three letters don't count; a query word that occurs twice counts
-    twice. Candidates meet on their first three letters, which any shared stem
-    of longer words has in common. Ties go to the smaller record_id; ``k`` is
-    held below ``most``.
+    twice. Different words are matched first, each once: longer ones meet on
+    their first four letters, words of three with any that begin so. Ties go to
+    the smaller record_id; ``k`` is held below ``most``.
     """
     long = lambda c: F.array_distinct(F.filter(T.words(T.fold(c)), lambda w: F.length(w) >= 3))
     every = F.filter(T.words(T.fold(F.col("text"))), lambda w: F.length(w) >= 3)
     q = queries.select("query_id", F.explode(every).alias("qw")).groupBy("query_id", "qw").agg(F.count(F.lit(1)).alias("times"))
     r = records.select("record_id", F.explode(long(F.col("text"))).alias("rw"))
-    met = q.withColumn("p", F.left("qw", F.lit(3))).join(r.withColumn("p", F.left("rw", F.lit(3))), "p").where(T.shares_stem(F.col("qw"), F.col("rw")))
+    asked, held = q.select("qw").distinct(), r.select("rw").distinct()
+    begin = lambda k: F.left("qw", F.lit(k)) == F.left("rw", F.lit(k))
+    short = (F.length("qw") == 3) | (F.length("rw") == 3)
+    stems = asked.where(F.length("qw") > 3).join(held.where(F.length("rw") > 3), begin(4)).union(asked.join(held, begin(3)).where(short))
+    met = q.join(stems, "qw").join(r, "rw")
     scored = met.select("query_id", "record_id", "qw", "times").distinct().groupBy("query_id", "record_id").agg(F.sum("times").alias("overlap"))
     return top_k(scored, ["query_id"], [F.desc("overlap"), F.asc("record_id")], max(0, min(k, most))).select("query_id", "rank", "record_id", "overlap")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
+
 ID = r"^[A-Za-z0-9_.-]+$"
 MAX_UPLOAD = 200_000
 
@@ -122,14 +124,36 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n\n").text(path).where("trim(value) <> ''").select(F.col("value").alias("block"))
 
 
+# Endings that are taken, and what a name must not hold once all but letters, digits and dots are gone.
+ENDINGS = ".txt .md .json .jsonl .csv .py .js .html .css .log".split()
+BLOCKED_NAMES = "env secret titok kulcs token jelszo password credential private_key id_rsa .git wallet apikey api_key".split()
+UNNAMED = "feltoltott_fajl"
+
+
+def display_name(name: Column) -> Column:
+    """A file's name without folders, unprintable characters and dots before it, of 150 characters at most."""
+    base = F.element_at(F.split(F.replace(T.strip(F.coalesce(name, F.lit(""))), F.lit("\\"), F.lit("/")), "/"), -1)
+    plain = T.strip(F.regexp_replace(base, r"[\p{C}\p{Zl}\p{Zp}]|(?! )\p{Zs}", ""))
+    cut = F.substring(F.regexp_replace(plain, r"^\.+", ""), 1, 150)
+    return F.when(cut == "", UNNAMED).otherwise(cut)
+
+
 def check_uploads(files: DataFrame) -> DataFrame:
-    """``files`` (name, content) with error_code: too_large, bad_extension, blocked_name, binary, or null."""
-    extension = F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1))
-    binary = F.col("content").cast("string").contains("\x00") | (F.try_validate_utf8(F.col("content").cast("string")).isNull())
+    """``files`` (name, content) with display_name and error_code, null if the file is taken.
+
+    Codes, the first that applies: empty_file, file_too_large, unsupported_type,
+    blocked_filename, binary_not_supported (a NUL byte or broken UTF-8).
+    """
+    out = files.withColumn("display_name", display_name(F.col("name")))
+    shown = F.col("display_name")
+    ending = F.lower(F.regexp_extract(shown, r"^.+(\.[^.]*)$", 1))
+    letters = F.regexp_replace(T.fold(shown), r"[^a-z0-9.]+", "")
+    body = F.col("content").cast("string")
     code = (
-        F.when(F.octet_length("content") > MAX_UPLOAD, "too_large")
-        .when(~extension.isin(*"txt md html css js py json csv log".split()), "bad_extension")
-        .when(F.lower("name").rlike(r"\.\.|/|\\|\.env|id_rsa|secret|password"), "blocked_name")
-        .when(binary, "binary")
+        F.when(F.coalesce(F.octet_length("content"), F.lit(0)) == 0, "empty_file")
+        .when(F.octet_length("content") > MAX_UPLOAD, "file_too_large")
+        .when(~ending.isin(*ENDINGS), "unsupported_type")
+        .when(T.contains_any(letters, BLOCKED_NAMES), "blocked_filename")
+        .when(body.contains("\x00") | F.try_validate_utf8(body).isNull(), "binary_not_supported")
     )
-    return files.withColumn("error_code", code)
+    return out.withColumn("error_code", code)
