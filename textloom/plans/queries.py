@@ -570,7 +570,22 @@ def masked_findings(spark, d):
     return similarity.masked_findings(plain, masked.select(plain.columns), named, similarity.sample_findings(plain))
 
 
-@query()
+_FORMS = ", ".join(f"({Q.lit(f)}, {Q.lit(k)}, {Q.lit(n)})" for f, (k, n) in names.inflected(BANK).items())
+_GIVEN = "coalesce({} IN ('approved', 'blocked_given'), false)"
+NAMED = f"""l AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(coalesce(text, ''), '\\p{{L}}+|[^\\p{{L}}]+') AS l FROM conversations),
+p AS (SELECT *, length(piece) >= 2 AND regexp_matches(piece, '^\\p{{Lu}}') AND upper(piece) <> piece AS capital FROM (SELECT id, unnest(l) AS piece, generate_subscripts(l, 1) - 1 AS place FROM l)),
+k AS (SELECT p.*, kind, name FROM p LEFT JOIN (VALUES {_FORMS}) b(form, kind, name) ON capital AND piece = form),
+w AS (SELECT *, lead(piece, 1) OVER o AS gap, lead(piece, 2) OVER o AS next, lead(kind, 2) OVER o AS next_kind, coalesce(lead(capital, 2) OVER o, false) AS next_capital, lag(piece) OVER o AS before FROM k WINDOW o AS (PARTITION BY id ORDER BY place)),
+v AS (SELECT *, before IS NULL OR regexp_matches(regexp_replace(before, '[{Q.WS}]+$', ''), '[.!?…:;„"”“(»«–—-]$') OR (place = 1 AND {Q.strip('before')} = '') AS initial FROM w)"""
+
+
+@query(
+    f"""WITH {NAMED} SELECT id, 'error' AS severity, 'name_not_declared' AS code, piece AS token FROM v WHERE kind = 'approved' AND name <> 'And'
+UNION ALL SELECT id, 'error', 'name_not_approved', piece FROM v WHERE kind = 'blocked_given'
+UNION ALL SELECT id, 'warning', 'capitalized_token_review', piece FROM v WHERE capital AND kind IS NULL AND NOT initial
+UNION ALL SELECT id, 'error', 'full_name_pattern', piece || ' ' || next FROM v WHERE gap = ' ' AND next_capital
+ AND (({_GIVEN.format('kind')} AND coalesce(next_kind = 'surname', false)) OR (coalesce(kind = 'surname', false) AND {_GIVEN.format('next_kind')}))"""
+)
 def name_issues(spark, d):
     known = names.forms(spark, BANK)
     m = chats(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.array(F.lit("And")).alias("declared"))
@@ -777,7 +792,28 @@ def page_summaries(spark, d):
     return p.select("page_id", D.source_summary(F.col("url"), F.col("html"), F.col("body")).alias("s")).select("page_id", "s.*")
 
 
-@query()
+_LETTER = "a-zA-ZáéíóöőúüűÁÉÍÓÖŐÚÜŰ"
+_PIECES = f"regexp_extract_all(x, '[^{Q.WS}]+|[{Q.WS}]+')"
+_SURE = "MAP {" + ", ".join(f"{Q.lit(w)}: {p}::DOUBLE" for w, (_, p) in D.TYPOS.items()) + "}"
+_UNSAFE = r"[0-9@/\\\\_<>{}\[\]=;#]|https?:|www\."
+_UNITS = lambda k: f"regexp_extract_all(t, '([^\\s{D.MARKS}]*)((?:\\s*[{D.MARKS}])*)(\\s*)', {k})"
+TIDIED = f"""r AS (SELECT conv_id, turn, text AS x, {Q.strip("coalesce(text, '')")} AS t FROM conversations WHERE role = 'assistant'),
+u AS (SELECT *, list_zip({_UNITS(1)}, {_UNITS(2)}, {_UNITS(3)}, list_prepend('.', {_UNITS(2)})) AS z FROM r),
+j AS (SELECT conv_id, turn, x, t, {Q.strip("""array_to_string(list_transform(list_filter(z, lambda e: e[1] IS NOT NULL AND (e[1] <> '' OR e[2] <> '')), lambda e:
+ (CASE WHEN regexp_matches(e[4], '[.!?]\\s*$') AND regexp_matches(e[1], '^[a-záéíóöőúüű]') THEN upper(e[1][1]) || e[1][2:] ELSE e[1] END)
+ || array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(e[2], '\\s', '', 'g'), '!+', '!', 'g'), '\\?+', '?', 'g'), '\\.+|[^.]'), lambda m: CASE WHEN m = '..' THEN '.' ELSE m END), '')
+ || (CASE WHEN e[3] <> '' THEN regexp_replace(e[3], '[ \\t]+', ' ', 'g') WHEN e[2] <> '' THEN ' ' ELSE '' END)), '')""")} AS o FROM u),
+d AS (SELECT *, CASE WHEN t = '' OR regexp_matches(o, '[.!?…]$') THEN o ELSE o || '.' END AS tidy FROM j),
+n AS (SELECT *, {Q.sentences('tidy')} AS s FROM d),
+f AS (SELECT *, list_filter(s, lambda y, i: list_position(list_transform(s, lambda q: lower(q)), lower(y)) = i) AS kept FROM n),
+h AS (SELECT *, regexp_matches(coalesce(x, ''), '[(){{}}\\[\\];]|==|!=|->|=>|::') OR t = '' AS code,
+ list_filter(list_transform({_PIECES}, lambda w: CASE WHEN NOT regexp_matches(w, '{_UNSAFE}') THEN {_SURE}[regexp_replace(w, '^[^{_LETTER}]+|[^{_LETTER}]+$', '', 'g')] END), lambda v: v IS NOT NULL) AS hits FROM f)"""
+
+
+@query(
+    f"""WITH {TIDIED} SELECT conv_id, turn, CASE WHEN len(kept) = len(s) THEN tidy ELSE array_to_string(kept, ' ') END AS text,
+CASE WHEN code THEN 1.0::DOUBLE ELSE coalesce(list_min(hits), 1.0::DOUBLE) END AS confidence, CAST(CASE WHEN code THEN 0 ELSE len(hits) END AS INTEGER) AS n_typos FROM h"""
+)
 def tidied_replies(spark, d):
     t = D.tidy(F.col("text"))
     return chats(spark, d).where("role = 'assistant'").select("conv_id", "turn", D.drop_repeated_sentences(t).alias("text"), D.correct_typos(F.col("text")).alias("c")).select("conv_id", "turn", "text", "c.confidence", "c.n_typos")
@@ -786,7 +822,21 @@ def tidied_replies(spark, d):
 # state and events
 
 
-@query()
+_PLAIN_WORDS = Q.words(PLAIN.format(F_TEXT))
+_FOLLOWS = f"({' OR '.join(Q.all_of(F_TEXT, g) for g in C.CONTEXT_REFERENCES)} OR (len({_PLAIN_WORDS}) BETWEEN 1 AND 5 AND len(list_intersect(list_distinct({_PLAIN_WORDS}), [{Q.listed(C.DEICTIC_WORDS)}])) > 0))"
+# conversations of the sample tables are too short for a question to be put out and asked again
+STATE = f"""m AS (SELECT conv_id, turn, role, {Q.trim_to('text', state.FIELD)} AS field, {Q.strip("coalesce(text, '')")} AS s, {F_TEXT} AS f, {_FOLLOWS} AS follows FROM conversations),
+k AS (SELECT *, role = 'user' AND NOT follows AND s <> '' AS new_topic, role = 'user' AND {Q.any_of('f', state.GOALS)} AS goal, role = 'user' AND {Q.any_of('f', state.CLOSURES)} AS closes,
+ role = 'user' AND ends_with(s, '?') AS asks, role = 'user' AND {Q.any_of('f', state.TASKS)} AS task, role = 'assistant' AND s <> '' AS decides FROM m),
+c AS (SELECT conv_id, max(turn) AS turn, arg_max(field, turn) FILTER (new_topic) AS topic, arg_max(field, turn) FILTER (goal) AS goal, arg_max(field, turn) FILTER (decides) AS decision, coalesce(max(turn) FILTER (closes), -1) AS closed FROM k GROUP BY conv_id),
+q AS (SELECT conv_id, list(field ORDER BY first)[-3:] AS v FROM (SELECT k.conv_id, field, min(k.turn) AS first FROM k JOIN c USING (conv_id) WHERE asks AND k.turn > closed GROUP BY 1, 2) GROUP BY conv_id),
+w AS (SELECT conv_id, list(field ORDER BY first)[-3:] AS v FROM (SELECT k.conv_id, field, min(k.turn) AS first FROM k JOIN c USING (conv_id) WHERE task AND k.turn > closed GROUP BY 1, 2) GROUP BY conv_id)"""
+
+
+@query(
+    f"""WITH {STATE} SELECT c.conv_id, c.turn, c.topic, c.goal, coalesce(array_to_string(q.v, ' | '), '') AS questions, coalesce(array_to_string(w.v, ' | '), '') AS tasks, c.decision
+FROM c LEFT JOIN q USING (conv_id) LEFT JOIN w USING (conv_id)"""
+)
 def conv_state(spark, d):
     return state.conversation_state(chats(spark, d))
 
