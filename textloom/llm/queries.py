@@ -17,7 +17,9 @@ from textloom.llm import (
     simhash,
     soft_mixing,
     toxicity,
+    vp_tree,
     warc_archive,
+    whitening,
 )
 from textloom.llm.labelled import remainder
 from textloom.session import scratch_path, table
@@ -91,6 +93,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality_fm.score_column(machine, F.col("text")), quality_fm.THRESHOLD)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first negatives in the score window of every anchor and positive, over all rows of ``embeddings``."""
+    return vp_tree.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector of ``embeddings`` on its four leading components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_toxicity": op2_toxicity,
@@ -102,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ctw": op8_ctw,
     "op9_html": op9_html,
     "op10_quality": op10_quality,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_whitening": op13_whitening,
 }
 
 OP6_SQL = """
@@ -113,7 +127,22 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f"""
 
+OP12_SQL = """
+WITH r AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.id AS aid, b.id AS bid, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY aid ORDER BY score DESC, bid) <= 5),
+n AS (SELECT p.aid AS anchor_id, p.bid AS positive_id, s.bid AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.aid = s.aid AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INTEGER) AS rank,
+    negative_id, positive_score, negative_score
+FROM n QUALIFY rank <= 5"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": OP6_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op3_quality_rules": quality_rules.oracle_sql(),
 }
