@@ -14,6 +14,7 @@ from textloom.llm import (
     quality_fm,
     quality_rules,
     sentencepiece_bpe,
+    shingle_join,
     simhash,
     soft_mixing,
     toxicity,
@@ -93,6 +94,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality_fm.score_column(machine, F.col("text")), quality_fm.THRESHOLD)
 
 
+def op11_near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of ``documents`` whose sets of five-word shingles have a Jaccard similarity of 0.8."""
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first negatives in the score window of every anchor and positive, over all rows of ``embeddings``."""
     return vp_tree.hard_negatives(table(spark, sf_dir, "embeddings"))
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ctw": op8_ctw,
     "op9_html": op9_html,
     "op10_quality": op10_quality,
+    "op11_near_groups": op11_near_groups,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_whitening": op13_whitening,
 }
@@ -127,6 +134,17 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f"""
 
+OP11_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END, ' ') AS s
+  FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT l.b, r.root FROM r JOIN l ON r.doc_id = l.a)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
 OP12_SQL = """
 WITH r AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
     list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
@@ -143,6 +161,7 @@ FROM n QUALIFY rank <= 5"""
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": OP6_SQL,
+    "op11_near_groups": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
     "op3_quality_rules": quality_rules.oracle_sql(),
 }
