@@ -86,11 +86,18 @@ def repeated_run(c: Column) -> Column:
     return c.rlike(r"(?d)(.)\1{3,}")
 
 
+#: A listed word that is no technical term, between other characters than letters. The Kelvin sign is a k in lower case.
+ENGLISH = r"(?i)(?<!\p{L})(" + "|".join(w for w in ENGLISH_WORDS if w not in TECHNICAL_WORDS).replace("k", "[k\u212a]") + r")(?!\p{L})"
+
+
+def english(c: Column) -> Column:
+    """Whether a word is on the English list and no technical term."""
+    return c.rlike(ENGLISH)
+
+
 def english_word(c: Column) -> Column:
-    """The first word that is on the English list and no technical term; null if there is none."""
-    listed = [w for w in ENGLISH_WORDS if w not in TECHNICAL_WORDS]
-    found = F.transform(F.regexp_extract_all(c, F.lit(r"\p{L}+"), F.lit(0)), F.lower)
-    return F.get(F.filter(found, lambda w: w.isin(*listed)), F.lit(0))
+    """The first such word in lower case; null if there is none."""
+    return F.nullif(F.lower(F.regexp_extract(c, ENGLISH, 0)), F.lit(""))
 
 
 def overclaims(c: Column) -> Column:
@@ -107,17 +114,28 @@ def penalised(names: Column, penalties: dict[str, int]) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.lit(100) - lost))
 
 
-def row_flags(output: Column, instruction: Column | None = None) -> Column:
-    """Flags of an answer; an empty answer has that flag alone."""
+#: What the rules of rows and the scorer of rows both ask of an answer.
+MEASURES = ("answer", "n_words", "too_long", "garbled", "repeated", "english", "overclaims")
+
+
+def measures(output: Column) -> dict[str, Column]:
+    """The measures of an answer by name; as columns of one projection they are evaluated once for all rules on them."""
     o = T.strip(F.coalesce(output, F.lit("")))
-    n = F.size(T.words(o))
+    found = (o, F.size(T.words(o)), F.length(o) > MAX_CHARS, garbled(o), repeated_run(o), english(o), overclaims(o))
+    return dict(zip(MEASURES, found, strict=True))
+
+
+def row_flags(output: Column, instruction: Column | None = None, known: dict[str, Column] | None = None) -> Column:
+    """Flags of an answer; an empty answer has that flag alone. ``known`` are its measures where they are columns already."""
+    m = known or measures(output)
+    o, n = m["answer"], m["n_words"]
     rules = [
         ("too_short", n < MIN_WORDS),
-        ("too_long", F.length(o) > MAX_CHARS),
-        ("garbled_token", garbled(o)),
-        ("repeated_char_run", repeated_run(o)),
-        ("english_mixing", english_word(o).isNotNull()),
-        ("overclaiming", overclaims(o)),
+        ("too_long", m["too_long"]),
+        ("garbled_token", m["garbled"]),
+        ("repeated_char_run", m["repeated"]),
+        ("english_mixing", m["english"]),
+        ("overclaiming", m["overclaims"]),
         ("no_terminal_punctuation", ~o.rlike(r"[.!?…]$")),
         ("generic_template", T.contains_any(F.lower(o), GENERIC_PHRASES)),
     ]

@@ -84,18 +84,21 @@ def parse_rows(lines: DataFrame) -> DataFrame:
     return out.withColumn("issues", issues).drop("v", "stop", "again", "row")
 
 
-def content_rules(output: Column, scanned: list[Column]) -> list[tuple[str, Column]]:
-    """Rules over an answer, and over all fields that are scanned for data that must not be there."""
-    o = T.strip(F.coalesce(output, F.lit("")))
-    has = o != ""
+def content_rules(output: Column, scanned: list[Column], known: dict[str, Column] | None = None) -> list[tuple[str, Column]]:
+    """Rules over an answer, and over all fields that are scanned for data that must not be there.
+
+    ``known`` are the answer's measures where they are columns already.
+    """
+    m = known or S.measures(output)
+    has = m["answer"] != ""
     held = lambda patterns: F.coalesce(*[S.first_label(F.coalesce(c, F.lit("")), patterns) for c in scanned]).isNotNull()
     return [
-        ("output_too_short", has & (F.size(T.words(o)) < S.MIN_WORDS)),
-        ("output_too_long", has & (F.length(o) > S.MAX_CHARS)),
-        ("repeated_char_run", has & S.repeated_run(o)),
-        ("garbled_output", has & S.garbled(o)),
-        ("english_mixing", has & S.english_word(o).isNotNull()),
-        ("overclaiming", has & S.overclaims(o)),
+        ("output_too_short", has & (m["n_words"] < S.MIN_WORDS)),
+        ("output_too_long", has & m["too_long"]),
+        ("repeated_char_run", has & m["repeated"]),
+        ("garbled_output", has & m["garbled"]),
+        ("english_mixing", has & m["english"]),
+        ("overclaiming", has & m["overclaims"]),
         ("personal_data_suspected", held(S.PERSONAL_PATTERNS)),
         ("dangerous_content_suspected", held(S.DANGER_PATTERNS)),
     ]
@@ -106,6 +109,15 @@ def text_issues(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("issues", T.flags(content_rules(F.col(text_col), [F.col(text_col)])))
 
 
+def text_issues_and_flags(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep``, with issues and the scorer's flags of one text column; what both ask is evaluated once."""
+    text = F.col(text_col)
+    measured = df.select(*keep, text.alias("__text"), *[c.alias(f"__{name}") for name, c in S.measures(text).items()])
+    known = {name: F.col(f"__{name}") for name in S.MEASURES}
+    scanned = F.col("__text")
+    return measured.select(*keep, T.flags(content_rules(scanned, [scanned], known)).alias("issues"), S.row_flags(scanned, known=known).alias("flags"))
+
+
 def reject_report(df: DataFrame, id_col: str) -> DataFrame:
     """One row for each issue: id, reason_code, auto_fixable, needs_manual_review."""
     fixable = F.col("reason_code").isin(*AUTO_FIXABLE)
@@ -131,7 +143,7 @@ def turn_rules(role: Column, text: Column, place: Column) -> list[tuple[str, Col
         ("assistant_too_short", (role == "assistant") & (F.size(T.words(x)) < S.MIN_WORDS)),
         ("repeated_char_run", S.repeated_run(x)),
         ("garbled_output", S.garbled(x)),
-        ("english_mixing", S.english_word(x).isNotNull()),
+        ("english_mixing", S.english(x)),
         ("overclaiming", S.overclaims(x)),
         ("personal_data_suspected", S.first_label(x, S.PERSONAL_PATTERNS).isNotNull()),
         ("dangerous_content_suspected", S.first_label(x, S.DANGER_PATTERNS).isNotNull()),

@@ -64,7 +64,7 @@ SELECT source, count(*) AS n_rows, count(*) FILTER (len(issues) = 0) AS accepted
 FROM c JOIN i USING (doc_id) GROUP BY source"""
 )
 def source_quality_summary(spark, d):
-    f = rules.text_issues(docs(spark, d)).select("source", "issues", S.row_flags(F.col("text")).alias("f"))
+    f = rules.text_issues_and_flags(docs(spark, d), ["source"]).withColumnRenamed("flags", "f")
     f = f.select("source", "issues", "f", S.row_score(F.col("f")).alias("score"))
     return f.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_rows"),
