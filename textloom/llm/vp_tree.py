@@ -52,7 +52,7 @@ from textloom.session import materialise, scratch_path
 
 SAMPLE_ROWS = 8192
 BLOCK_ROWS = 4096
-BUCKET_ROWS = 64
+BUCKET_ROWS = 256
 MAX_LEAVES = 1024
 BLOCKS_A_TASK = 16
 QUERY_BLOCK = 2048
@@ -179,7 +179,8 @@ class Walk:
     """Nearest-first walks of one block by the queries of one anchor."""
 
     def __init__(self, block: Block, points: np.ndarray, firsts: np.ndarray, anchor: np.ndarray, m2: int) -> None:
-        self.block, self.points, self.firsts, self.anchor = block, points, firsts, anchor
+        self.block, self.points, self.firsts = block, points, firsts
+        self.nodes, self.bounds = block.nodes.tolist(), block.bounds.tolist()
         self.a = np.append(anchor.astype(np.float64), 0.0)
         self.total = float((self.a * self.a).sum() + m2)
         self.margin = MARGIN * (1.0 + float(np.sqrt(m2)) + float(np.sqrt((self.a * self.a).sum())))
@@ -196,8 +197,8 @@ class Walk:
 
     def bucket(self, node: int) -> np.ndarray:
         if node not in self.scores:
-            start, end = self.block.nodes[node, :2]
-            self.scores[node] = self.block.x[start:end].astype(np.float64) @ self.anchor.astype(np.float64)  # exact below 2^53
+            start, end = self.nodes[node][:2]
+            self.scores[node] = self.points[start:end] @ self.a  # the anchor's last component is zero; exact below 2^53
         return self.scores[node]
 
     def nearest(self, k: int, label: int, same: bool, not_id: int | None, low: float, high: float, floor: float) -> list[tuple[int, int]]:
@@ -211,7 +212,7 @@ class Walk:
         delta = self.to(b.root_vantage())
 
         def bound(node: int, delta: float) -> tuple[float, float]:
-            near, far = b.bounds[node]
+            near, far = self.bounds[node]
             return max(delta - far, near - delta, 0.0), delta + far
 
         queue: list[tuple[float, int, int]] = []  # (distance, 0, node): nodes before rows at the same distance
@@ -228,11 +229,15 @@ class Walk:
             if len(out) == k or not queue:
                 continue
             _, node = heapq.heappop(queue)
-            start, end, vantage, *children = b.nodes[node].tolist()
+            start, end, vantage, *children = self.nodes[node]
             if children[0] < 0:
                 score = self.bucket(node)
-                fits = (score >= low) & (score <= high) & ((b.labels[start:end] == label) == same)
-                for at in np.flatnonzero(fits).tolist():
+                labelled = b.labels[start:end] == label if same else b.labels[start:end] != label
+                fits = np.flatnonzero((score >= low) & (score <= high) & labelled)
+                if len(fits) > k + 1:
+                    # the best of a bucket, and one more for the anchor's own row; ties all stay
+                    fits = fits[score[fits] >= np.partition(score[fits], len(fits) - k - 1)[len(fits) - k - 1]]
+                for at in fits.tolist():
                     for i in b.ids[self.firsts[start + at] : self.firsts[start + at + 1]].tolist():
                         if i != not_id:
                             heapq.heappush(rows, (-float(score[at]), i))
