@@ -121,7 +121,9 @@ def text_issues_and_flags(df: DataFrame, keep: list[str], text_col: str = "text"
 def reject_report(df: DataFrame, id_col: str) -> DataFrame:
     """One row for each issue: id, reason_code, auto_fixable, needs_manual_review."""
     fixable = F.col("reason_code").isin(*AUTO_FIXABLE)
-    return df.select(F.col(id_col), F.explode("issues").alias("reason_code")).select(id_col, "reason_code", fixable.alias("auto_fixable"), (~fixable).alias("needs_manual_review"))
+    # the outer form: the inner one would evaluate all rules once more, to leave out empty arrays beforehand
+    each = df.select(F.col(id_col), F.explode_outer("issues").alias("reason_code")).where("reason_code IS NOT NULL")
+    return each.select(id_col, "reason_code", fixable.alias("auto_fixable"), (~fixable).alias("needs_manual_review"))
 
 
 def turn_rules(role: Column, text: Column, place: Column) -> list[tuple[str, Column]]:

@@ -14,7 +14,7 @@ from textloom.functions import text as T
 from textloom.operators import grouping, joins, names, records, reports, retrieval, rules, similarity, split_plan, windows
 from textloom.operators import samples as SM
 from textloom.plans import sql as Q
-from textloom.session import table
+from textloom.session import dealt, table
 from textloom.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,12 +48,12 @@ SCORED = f"{STRIPPED}, f AS (SELECT doc_id, source, {Q.row_flags('o')} AS flags
 
 @query(f"{ISSUES} SELECT doc_id, array_to_string(issues, ',') AS issues FROM i")
 def doc_rule_flags(spark, d):
-    return rules.text_issues(docs(spark, d)).select("doc_id", F.array_join("issues", ",").alias("issues"))
+    return rules.text_issues(dealt(docs(spark, d).select("doc_id", "text"))).select("doc_id", F.array_join("issues", ",").alias("issues"))
 
 
 @query(f"{SCORED} SELECT doc_id, score, array_to_string(flags, ',') AS flags FROM c")
 def doc_quality_score(spark, d):
-    f = docs(spark, d).select("doc_id", S.row_flags(F.col("text")).alias("f"))
+    f = dealt(docs(spark, d).select("doc_id", "text")).select("doc_id", S.row_flags(F.col("text")).alias("f"))
     return f.select("doc_id", S.row_score(F.col("f")).alias("score"), F.array_join("f", ",").alias("flags"))
 
 
@@ -64,7 +64,7 @@ SELECT source, count(*) AS n_rows, count(*) FILTER (len(issues) = 0) AS accepted
 FROM c JOIN i USING (doc_id) GROUP BY source"""
 )
 def source_quality_summary(spark, d):
-    f = rules.text_issues_and_flags(docs(spark, d), ["source"]).withColumnRenamed("flags", "f")
+    f = rules.text_issues_and_flags(dealt(docs(spark, d).select("source", "text")), ["source"]).withColumnRenamed("flags", "f")
     f = f.select("source", "issues", "f", S.row_score(F.col("f")).alias("score"))
     return f.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -81,7 +81,7 @@ def source_quality_summary(spark, d):
 FROM (SELECT doc_id, unnest(issues) AS reason_code FROM i)"""
 )
 def reject_report(spark, d):
-    return rules.reject_report(rules.text_issues(docs(spark, d)), "doc_id")
+    return rules.reject_report(rules.text_issues(dealt(docs(spark, d).select("doc_id", "text"))), "doc_id")
 
 
 @query("SELECT doc_id AS id, first AS kept_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first")

@@ -76,5 +76,15 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, f)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, at least.
+
+    For row-wise work that is dear beside reading: a file of one row group is one
+    partition, however many cores wait. Larger inputs stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
