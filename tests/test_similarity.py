@@ -1,5 +1,6 @@
 """The filtered similarity join equals the comparison of all pairs."""
 
+import math
 import random
 from difflib import SequenceMatcher
 
@@ -42,6 +43,77 @@ def test_near_duplicates_equal_all_pairs(spark, noise, threshold):
         assert sorted((r["id"], r["kept_id"], round(r["ratio"], 9)) for r in got) == want
 
 
+def prose(r, n, rare):
+    """Words of few letters, of which long texts have more than one in a hundred, and some rarer ones."""
+    t = "".join(r.choice("aaeeiinnorstl    ") for _ in range(n))
+    return "".join(r.choice("QXZ.,;-") if r.random() < rare else c for c in t)
+
+
+def test_long_prose_without_frequent_letters_equals_all_pairs(spark):
+    r = random.Random(8)
+    rows = []
+    for k in range(70):
+        if rows and r.random() < 0.5:
+            t = list(r.choice(rows)[1])
+            for _ in range(int(len(t) * r.choice([0.01, 0.03, 0.05, 0.1]))):
+                at = r.randrange(len(t))
+                t[at : at + r.choice([0, 1, 2])] = r.choice(["", "e", "Q", "nn"])
+            rows.append((k, "".join(t)))
+        else:
+            rows.append((k, prose(r, r.choice([190, 205, 400, 420]), r.choice([0.0, 0.01, 0.05, 0.2]))))
+    want = []
+    for j, b in rows:
+        for i, a in rows:
+            if i < j and SequenceMatcher(None, b, a).ratio() >= 0.9:
+                want.append((j, i))
+                break
+    got = sim.near_duplicates(spark.createDataFrame(rows, "id long, text string").repartition(3)).collect()
+    assert len(want) > 5
+    assert sorted((x["id"], x["kept_id"]) for x in got) == want
+
+
+def test_blocks_of_any_size_give_equal_pairs(spark, monkeypatch):
+    from textloom.operators import text_pairs
+
+    rows = corpus(0.05)
+    df = spark.createDataFrame(rows, "id long, text string")
+    monkeypatch.setattr(text_pairs, "BLOCK_TEXTS", 7)
+    small = {(x[0], x[1]) for x in text_pairs.close_pairs(df, df, 0.8).collect()}
+    monkeypatch.setattr(text_pairs, "BLOCK_TEXTS", 512)
+    monkeypatch.setattr(text_pairs, "BLOCK_CHARS", 64)
+    assert small == {(x[0], x[1]) for x in text_pairs.close_pairs(df, df, 0.8).collect()}
+    texts = dict(rows)
+    need = lambda a, b: math.ceil(0.8 * (len(a) + len(b)) / 2 - 1e-9)
+    assert small == {(i, j) for i in texts for j in texts if i < j and texts[i] and texts[j] and text_pairs.reaches(texts[i], texts[j], need(texts[i], texts[j]))}
+    two = {(x[0], x[1]) for x in text_pairs.close_pairs(df.where("id % 2 = 0"), df.where("id % 2 = 1"), 0.8, same=False).collect()}
+    assert two == {(i, j) for a, b in small for i, j in [(a, b), (b, a)] if i % 2 == 0 and j % 2 == 1}
+
+
+def test_corpus_duplicates_name_files_and_lines(spark):
+    row = lambda n, f, line, i, task, more, out: (n, f, line, i, task, more, out)
+    rows = [
+        row(1, "a.jsonl", 1, "x1", " write a short letter to the office ", None, "Dear office, here is my letter."),
+        row(2, "a.jsonl", 3, "x2", "something else", "with input", "An answer of its own."),
+        row(3, "b.jsonl", 1, "x1", "write a short letter to the offices", "", "Dear offices, here is my letter."),
+        row(4, "b.jsonl", 2, None, None, "  ", ""),
+        row(5, "b.jsonl", 4, None, "", None, None),
+        row(6, "c.jsonl", 1, "x1", "write a short letter to the offices", "", "Nothing like it at all, really."),
+    ]
+    df = spark.createDataFrame(rows, "row_number long, source_file string, line_no long, id string, instruction string, input string, output string")
+    got = sorted(tuple(r) for r in sim.corpus_duplicates(df).collect())
+    ratio = lambda b, a: round(SequenceMatcher(None, b, a).ratio(), 3)
+    task = ratio("write a short letter to the offices || ", "write a short letter to the office || ")
+    assert got == sorted(
+        [
+            ("id_duplicates", 3, 1, None, "x1", "b.jsonl", 1, "x1", "a.jsonl", 1),
+            ("id_duplicates", 6, 1, None, "x1", "c.jsonl", 1, "x1", "a.jsonl", 1),
+            ("instruction_duplicates", 3, 1, task, "x1", "b.jsonl", 1, "x1", "a.jsonl", 1),
+            ("instruction_duplicates", 6, 1, task, "x1", "c.jsonl", 1, "x1", "a.jsonl", 1),
+            ("output_duplicates", 3, 1, ratio(rows[2][6], rows[0][6]), "x1", "b.jsonl", 1, "x1", "a.jsonl", 1),
+        ]
+    )
+
+
 def test_near_dup_pairs_of_long_texts_and_any_language(spark, tmp_path):
     from textloom.plans.queries import near_dup_pairs
 

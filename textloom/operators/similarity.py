@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.text_pairs import close_pairs
 from textloom.operators.windows import numbered
 from textloom.session import materialise
 
@@ -31,33 +32,6 @@ def ratio_column(a: Column, b: Column, junk: bool = False) -> Column:
 
 #: Length buckets to the largest ratio of two lengths that may meet.
 BUCKETS = 8
-#: Letters between two looks at whether a match can still be reached.
-STRIDE = 64
-
-
-def reaches(a: str, b: str, need: int) -> bool:
-    """Whether a and b have a common subsequence of ``need`` letters.
-
-    One row of bits for the letters of the longer text, one step for each
-    letter of the shorter; it ends as soon as too many letters are unmatched.
-    """
-    if len(a) > len(b):
-        a, b = b, a
-    allowed, n = len(a) - need, len(b)
-    if allowed < 0:
-        return False
-    letters = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    at = {c: int.from_bytes(np.packbits(letters == ord(c), bitorder="little").tobytes(), "little") for c in set(a) & set(b)}
-    every = (1 << n) - 1
-    v = every
-    for i, c in enumerate(a, 1):
-        m = at.get(c)
-        if m:
-            u = v & m
-            v = (v + u | v - u) & every
-        if i % STRIDE == 0 and i - n + v.bit_count() > allowed:
-            return False
-    return n - v.bit_count() >= need
 
 
 def common_letters(a: Column, b: Column) -> Column:
@@ -115,29 +89,12 @@ def bounded_pairs(left: DataFrame, right: DataFrame, threshold: float, block: li
     return a.repartition(n, "a_bucket").join(b.repartition(n, "near"), on).select("a_id", "b_id")
 
 
-def candidates(left: DataFrame, right: DataFrame, threshold: float, block: list[str] | None = None, same: bool = True) -> DataFrame:
-    """Pairs (a_id, b_id, a_text, b_text) that can reach a ratio of ``threshold``.
-
-    Behind the bounds of ``bounded_pairs``, whose pairs of ids are written and
-    dealt out evenly, the longest common subsequence must be long enough: the
-    matched blocks of a pair are one. Equal texts should be folded into one row
-    beforehand: copies then make no pairs of their own.
-    """
-    pairs = materialise(bounded_pairs(left, right, threshold, block, same), "pairs")
-
-    @F.pandas_udf("boolean")
-    def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([reaches(p, q, math.ceil(threshold * (len(p) + len(q)) / 2 - 1e-9)) for p, q in zip(x, y, strict=True)], dtype="bool")
-
-    a = left.select(F.col("id").alias("a_id"), F.col("text").alias("a_text"))
-    b = right.select(F.col("id").alias("b_id"), F.col("text").alias("b_text"))
-    dealt = pairs.join(a, "a_id").join(b, "b_id").repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4, "a_id", "b_id")
-    return dealt.where(close("a_text", "b_text")).select("a_id", "b_id", "a_text", "b_text")
-
-
-def near_duplicates(df: DataFrame, threshold: float = 0.9, later_first: bool = True) -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float = 0.9, later_first: bool = True, lineage: tuple[str, ...] = ()) -> DataFrame:
     """(id, kept_id, ratio): for each row the first earlier row that is as similar as ``threshold``.
 
+    ``lineage`` names columns of ``df``, such as file and line, that come along
+    for both rows, those of the kept row as kept_<name>.
+
     A row that is itself a duplicate stays in the comparison, so this isn't
     clustering. ``later_first`` compares with the later text first and without
     frequent characters, as single rows are compared; else the earlier one
@@ -147,16 +104,42 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, later_first: bool = T
     """
     full = df.where(F.length("text") > 0).select("id", "text")
     classes = materialise(full.groupBy("text").agg(F.min("id").alias("id")), "classes")
-    pairs = materialise(candidates(classes, classes, threshold), "close")
+    pairs = materialise(close_pairs(classes, classes, threshold, junk=later_first), "close")
     ratio = ratio_column(F.col("b_text"), F.col("a_text"), True) if later_first else ratio_column(F.col("a_text"), F.col("b_text"))
     found = pairs.withColumn("ratio", ratio).where(F.col("ratio") >= threshold)
     earliest = found.groupBy("b_id").agg(F.min_by(F.struct("a_id", "ratio"), "a_id").alias("x")).select("b_id", F.col("x.a_id").alias("kept_id"), F.col("x.ratio").alias("ratio"))
     # a copy's first earlier match is its text's first row, or one that is earlier still
-    known = classes.select(F.col("id").alias("first"), "text").join(earliest, F.col("first") == F.col("b_id"), "left")
-    rows = full.join(known, "text")
+    known = classes.select(F.col("id").alias("first"), F.sha2("text", 256).alias("digest")).join(earliest, F.col("first") == F.col("b_id"), "left")
+    rows = full.select("id", F.sha2("text", 256).alias("digest")).join(known, "digest")
     kept = F.when(F.col("id") == F.col("first"), F.col("kept_id")).otherwise(F.least("first", F.coalesce("kept_id", "first")))
     score = F.when(kept == F.col("first"), F.lit(1.0)).otherwise(F.col("ratio"))
-    return rows.select("id", kept.alias("kept_id"), score.alias("ratio")).where("kept_id IS NOT NULL")
+    out = rows.select("id", kept.alias("kept_id"), score.alias("ratio")).where("kept_id IS NOT NULL")
+    if not lineage:
+        return out
+    own = df.select("id", *lineage)
+    return out.join(own, "id").join(own.toDF("kept_id", *[f"kept_{c}" for c in lineage]), "kept_id").select("id", "kept_id", "ratio", *lineage, *[f"kept_{c}" for c in lineage])
+
+
+def corpus_duplicates(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(category, row_number, kept, similarity, id, source_file, line_no, kept_id, kept_source_file, kept_line_no) over a whole corpus.
+
+    ``rows`` has row_number, running on over all files (see ``number_lines``),
+    source_file, line_no, id, instruction, input and output. Repeated ids are
+    compared as they are; tasks are instruction and input, both stripped, with
+    two bars between; similarities of tasks and outputs have three places.
+    A row that repeats an earlier one stays in the comparison.
+    """
+    r = rows.withColumn("task", F.concat_ws(" || ", T.strip(F.coalesce("instruction", F.lit(""))), T.strip(F.coalesce("input", F.lit(""))))).withColumn("answer", T.strip(F.coalesce("output", F.lit(""))))
+    r = materialise(r.select("row_number", "source_file", "line_no", "id", "task", "answer"), "rows")
+    first = r.where("id IS NOT NULL").groupBy(F.col("id").alias("same")).agg(F.min("row_number").alias("kept"))
+    found = r.join(first, F.col("id") == F.col("same")).where("row_number <> kept").select(F.lit("id_duplicates").alias("category"), "row_number", "kept", F.lit(None).cast("double").alias("similarity"))
+    for category, text in (("instruction_duplicates", "task"), ("output_duplicates", "answer")):
+        held = r.select(F.col("row_number").alias("id"), F.when(F.translate(text, " |", "") != "", F.col(text)).alias("text")) if text == "task" else r.select(F.col("row_number").alias("id"), F.col(text).alias("text"))
+        near = near_duplicates(held, threshold).select(F.lit(category).alias("category"), F.col("id").alias("row_number"), F.col("kept_id").alias("kept"), F.round("ratio", 3).alias("similarity"))
+        found = found.unionByName(near)
+    own = r.select("row_number", "source_file", "line_no", "id")
+    kept = own.toDF("kept", "kept_source_file", "kept_line_no", "kept_id")
+    return found.join(own, "row_number").join(kept, "kept").select("category", "row_number", "kept", "similarity", "id", "source_file", "line_no", "kept_id", "kept_source_file", "kept_line_no")
 
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
@@ -271,7 +254,7 @@ def positional_score(messages: DataFrame, pairs: DataFrame, least: float = 0.0)
 
 def _near_texts(texts: DataFrame, threshold: float) -> DataFrame:
     """(x, y, ratio) in both orders for near texts of (id, text), and every text with itself; x comes first in the ratio."""
-    near = materialise(candidates(texts, texts, threshold).select("a_text", "b_text"), "near")
+    near = materialise(close_pairs(texts, texts, threshold).select("a_text", "b_text"), "near")
     forth = near.select(F.col("a_text").alias("x"), F.col("b_text").alias("y"), ratio_column(F.col("a_text"), F.col("b_text")).alias("ratio"))
     back = near.select(F.col("b_text").alias("x"), F.col("a_text").alias("y"), ratio_column(F.col("b_text"), F.col("a_text")).alias("ratio"))
     own = texts.where("text <> ''").select(F.col("text").alias("x"), F.col("text").alias("y"), F.lit(1.0).alias("ratio"))

@@ -11,7 +11,7 @@ from textloom.functions import classify as C
 from textloom.functions import documents as D
 from textloom.functions import score as S
 from textloom.functions import text as T
-from textloom.operators import grouping, joins, names, records, reports, retrieval, rules, similarity, split_plan, windows
+from textloom.operators import grouping, joins, names, records, reports, retrieval, rules, similarity, split_plan, text_pairs, windows
 from textloom.operators import samples as SM
 from textloom.plans import sql as Q
 from textloom.session import dealt, table
@@ -476,7 +476,7 @@ def near_dup_candidates(spark, d):
 def near_dup_candidates_all(spark, d):
     """Of these candidates, those with a common subsequence that is long enough; too slow for SQL on whole tables."""
     c = docs(spark, d).groupBy("text").agg(F.min("doc_id").alias("id"))
-    return similarity.candidates(c, c, 0.9).select("a_id", "b_id")
+    return text_pairs.close_pairs(c, c, 0.9).select("a_id", "b_id")
 
 
 @query()
