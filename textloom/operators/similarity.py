@@ -105,6 +105,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, later_first: bool = T
     full = df.where(F.length("text") > 0).select("id", "text")
     classes = materialise(full.groupBy("text").agg(F.min("id").alias("id")), "classes")
     pairs = materialise(close_pairs(classes, classes, threshold, junk=later_first), "close")
+    pairs = pairs.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "a_id", "b_id")  # few and dear
     ratio = ratio_column(F.col("b_text"), F.col("a_text"), True) if later_first else ratio_column(F.col("a_text"), F.col("b_text"))
     found = pairs.withColumn("ratio", ratio).where(F.col("ratio") >= threshold)
     earliest = found.groupBy("b_id").agg(F.min_by(F.struct("a_id", "ratio"), "a_id").alias("x")).select("b_id", F.col("x.a_id").alias("kept_id"), F.col("x.ratio").alias("ratio"))

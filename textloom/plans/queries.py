@@ -11,7 +11,7 @@ from textloom.functions import classify as C
 from textloom.functions import documents as D
 from textloom.functions import score as S
 from textloom.functions import text as T
-from textloom.operators import grouping, joins, names, records, reports, retrieval, rules, similarity, split_plan, text_pairs, windows
+from textloom.operators import grouping, joins, names, records, reports, retrieval, rules, similarity, split_plan, text_pairs, typed_links, windows
 from textloom.operators import samples as SM
 from textloom.plans import sql as Q
 from textloom.session import dealt, table
@@ -484,19 +484,6 @@ def near_dup_pairs(spark, d):
     return similarity.near_duplicates(docs(spark, d).select(F.col("doc_id").alias("id"), "text"))
 
 
-_STEMS = f"""w AS (SELECT conv_id, {Q.words(Q.normalise('text'))} AS w FROM conversations),
-st AS (SELECT DISTINCT conv_id, CASE WHEN regexp_matches(x, '^\\p{{Nd}}+$') THEN x ELSE left(x, 4) END AS s FROM (SELECT conv_id, unnest(w) AS x FROM w)
- WHERE (length(x) >= 4 AND x NOT IN ({Q.listed(T.CONTENT_STOP)}))  OR regexp_matches(x, '^\\p{{Nd}}+$')
- UNION SELECT DISTINCT conv_id, left(x, 4) FROM (SELECT conv_id, unnest(w) AS x FROM w) WHERE length(x) >= 4 AND x NOT IN ({Q.listed(T.CONTENT_STOP)})),
-sz AS (SELECT conv_id, count(*) AS n FROM st GROUP BY conv_id HAVING count(*) >= 15),
-jo AS (SELECT x.conv_id AS a, y.conv_id AS b, count(*) AS c FROM st x JOIN st y ON x.s = y.s AND x.conv_id < y.conv_id GROUP BY 1, 2)"""
-
-
-@query(f"WITH {_STEMS} SELECT a, b, CAST(c AS DOUBLE) / (p.n + q.n - c) AS jaccard FROM jo JOIN sz p ON a = p.conv_id JOIN sz q ON b = q.conv_id WHERE CAST(c AS DOUBLE) / (p.n + q.n - c) >= 0.35")
-def paraphrase_pairs(spark, d):
-    return similarity.stem_jaccard(chats(spark, d).select(F.col("conv_id").alias("id"), "text"))
-
-
 def _overlaps(messages: str) -> str:
     """Conversation classes of a table m (conv_id, turn, role, t), and the pairs that share moved messages."""
     return f"""WITH m AS ({messages}),
@@ -510,6 +497,35 @@ FROM p JOIN f fa ON fa.conv_id = a JOIN f fb ON fb.conv_id = b
 WHERE shared >= greatest(2, (3 * least(fa.n, fb.n) + 4) // 5) AND cross_role + moved >= greatest(2, (shared + 3) // 4)"""
 
 
+_MOVED = _overlaps(f"SELECT conv_id, turn, coalesce(role, '') AS role, {Q.normalise('text')} AS t FROM conversations")
+
+
+_STEMS = f"""w AS (SELECT conv_id, {Q.words(Q.normalise('text'))} AS w FROM conversations),
+st AS (SELECT DISTINCT conv_id, CASE WHEN regexp_matches(x, '^\\p{{Nd}}+$') THEN x ELSE left(x, 4) END AS s FROM (SELECT conv_id, unnest(w) AS x FROM w)
+ WHERE (length(x) >= 4 AND x NOT IN ({Q.listed(T.CONTENT_STOP)}))  OR regexp_matches(x, '^\\p{{Nd}}+$')
+ UNION SELECT DISTINCT conv_id, left(x, 4) FROM (SELECT conv_id, unnest(w) AS x FROM w) WHERE length(x) >= 4 AND x NOT IN ({Q.listed(T.CONTENT_STOP)})),
+sz AS (SELECT conv_id, count(*) AS n FROM st GROUP BY conv_id HAVING count(*) >= 15),
+jo AS (SELECT x.conv_id AS a, y.conv_id AS b, count(*) AS c FROM st x JOIN st y ON x.s = y.s AND x.conv_id < y.conv_id GROUP BY 1, 2)"""
+
+
+@query(
+    f"""WITH {_STEMS}, ch AS (SELECT conv_id, min(conv_id) OVER (PARTITION BY h) AS class_id FROM (SELECT conv_id, list([coalesce(role, ''), {Q.normalise('text')}] ORDER BY turn) AS h FROM conversations GROUP BY conv_id)),
+li AS (SELECT a, b FROM ({_MOVED}))
+SELECT a, b, CAST(c AS DOUBLE) / (p.n + q.n - c) AS jaccard FROM jo JOIN sz p ON a = p.conv_id JOIN sz q ON b = q.conv_id
+WHERE CAST(c AS DOUBLE) / (p.n + q.n - c) >= 0.35 AND a IN (SELECT class_id FROM ch) AND b IN (SELECT class_id FROM ch) AND NOT EXISTS (SELECT 1 FROM li WHERE li.a = jo.a AND li.b = jo.b)"""
+)
+def unlinked_paraphrases(spark, d):
+    """Paraphrases between classes of conversations that neither copies nor moved messages link already."""
+    m = chats(spark, d)
+    classes = similarity.conversation_classes(m)
+    return typed_links.unlinked(typed_links.paraphrases(m, classes), similarity.message_overlap(m), classes)
+
+
+@query(f"WITH {_STEMS} SELECT a, b, CAST(c AS DOUBLE) / (p.n + q.n - c) AS jaccard FROM jo JOIN sz p ON a = p.conv_id JOIN sz q ON b = q.conv_id WHERE CAST(c AS DOUBLE) / (p.n + q.n - c) >= 0.35")
+def paraphrase_pairs(spark, d):
+    return similarity.stem_jaccard(chats(spark, d).select(F.col("conv_id").alias("id"), "text"))
+
+
 @query(_overlaps(f"SELECT conv_id, turn, coalesce(role, '') AS role, {Q.normalise('text')} AS t FROM conversations"))
 def message_overlap(spark, d):
     return similarity.message_overlap(chats(spark, d))
@@ -521,7 +537,10 @@ def _sentences(spark, d):
     return s.withColumn("role", F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant"))
 
 
-@query(_overlaps(f"SELECT conv_id, i - 1 AS turn, CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END AS role, {Q.normalise('s')} AS t FROM (SELECT doc_id AS conv_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, {Q.sentences('text')} AS s FROM documents))"))
+_SENTENCES = f"SELECT conv_id, i - 1 AS turn, CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END AS role, {Q.normalise('s')} AS t FROM (SELECT doc_id AS conv_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, {Q.sentences('text')} AS s FROM documents))"
+
+
+@query(_overlaps(_SENTENCES))
 def sentence_overlap(spark, d):
     """Documents that share sentences in other places: the message overlap on a table where copies have been cut and moved."""
     return similarity.message_overlap(_sentences(spark, d))
@@ -592,18 +611,18 @@ def name_issues(spark, d):
     return names.name_issues(m, known)
 
 
+def _whole(spark, d):
+    return docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+
+
 def _links(spark, d):
-    """Links of documents with equal texts, and of documents with equal first 60 characters; ``near_duplicate_groups`` links whole texts."""
-    x = docs(spark, d).select("doc_id", F.sha2("text", 256).alias("k1"), F.sha2(F.substring("text", 1, 60), 256).alias("k2"))
-    out = None
-    for k in ("k1", "k2"):
-        first = x.groupBy(k).agg(F.min("doc_id").alias("b"))
-        e = x.join(first, k).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-        out = e if out is None else out.union(e)
-    return out
+    """Links over whole documents that SQL can say too: equal texts, and overlaps of sentences in other places."""
+    exact = similarity.exact_duplicates(_whole(spark, d)).select(F.col("id").alias("a"), F.col("kept_id").alias("b"))
+    return exact.union(typed_links.overlap_links(_whole(spark, d)).select("a", "b"))
 
 
-GROUPS = """e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY text) AS b FROM documents UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY substr(text, 1, 60)) FROM documents),
+GROUPS = f"""ov AS MATERIALIZED (SELECT a, b FROM ({_overlaps(_SENTENCES)})),
+e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY text) AS b FROM documents WHERE text IS NOT NULL UNION SELECT a, b FROM ov),
 f AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 c(n, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT f.b, c.m FROM c JOIN f ON c.n = f.a),
 g AS (SELECT n AS doc_id, min(m) AS root FROM c GROUP BY n)"""
@@ -631,24 +650,36 @@ def held_back_records(spark, d):
     return out.select("doc_id", "group_id", F.array_join("reasons", ",").alias("reasons"))
 
 
+def _all_groups(spark, d):
+    """Groups of documents over the forest of all links of whole texts: exact, near and overlap."""
+    return grouping.groups(docs(spark, d).select("doc_id"), _forest(spark, d), "doc_id")
+
+
+def _forest(spark, d):
+    return typed_links.spanning_forest(typed_links.text_links(_whole(spark, d)))
+
+
+@query()
+def link_forest(spark, d):
+    """The strongest links that hold the groups of documents together, with their kinds."""
+    return _forest(spark, d)
+
+
 @query()
 def group_split_plan(spark, d):
-    g = grouping.groups(docs(spark, d).select("doc_id"), _links(spark, d), "doc_id")
-    return split_plan.assign(g, "group_id")
+    return split_plan.assign(_all_groups(spark, d), "group_id")
 
 
 @query()
 def near_duplicate_groups(spark, d):
     """Groups over links that were found on whole texts: copies, near duplicates and overlaps of sentences."""
-    near = similarity.near_duplicates(docs(spark, d).select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("a"), F.col("kept_id").alias("b"))
-    links = near.union(similarity.message_overlap(_sentences(spark, d)).select("a", "b"))
-    return grouping.groups(docs(spark, d).select("doc_id"), links, "doc_id")
+    return _all_groups(spark, d)
 
 
 @query()
 def stratified_group_split(spark, d):
     """A group-atomic split whose parts have languages and sources in equal shares."""
-    g = grouping.groups(docs(spark, d).select("doc_id"), _links(spark, d), "doc_id").join(docs(spark, d).select("doc_id", "lang", "source"), "doc_id")
+    g = _all_groups(spark, d).join(docs(spark, d).select("doc_id", "lang", "source"), "doc_id")
     return split_plan.assign(g, "group_id", features=["lang", "source"]).select("doc_id", "group_id", "split")
 
 
@@ -887,17 +918,15 @@ def record_field_issues(spark, d):
 
 
 _EXACT = "SELECT doc_id AS b, first AS a FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first"
-_START = "SELECT doc_id AS b, first AS a FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY substr(text, 1, 60)) AS first FROM documents WHERE text IS NOT NULL) WHERE doc_id <> first"
-FINDINGS = f"""fi AS (SELECT a, b, 'exact_text' AS type, 'reject' AS status FROM ({_EXACT})
-UNION ALL SELECT a, b, 'same_start', CASE WHEN b % 3 = 0 THEN 'info' ELSE 'review' END FROM (SELECT a, b FROM ({_START}) EXCEPT SELECT a, b FROM ({_EXACT})))"""
+FINDINGS = f"""ox AS MATERIALIZED (SELECT a, b FROM ({_overlaps(_SENTENCES)})),
+fi AS (SELECT a, b, 'exact_text' AS type, 'reject' AS status FROM ({_EXACT})
+UNION ALL SELECT a, b, 'sentence_overlap', CASE WHEN b % 3 = 0 THEN 'info' ELSE 'review' END FROM ox)"""
 
 
 def _findings(spark, d):
-    """Findings of documents: copies, and other texts that begin alike (a third of them information)."""
-    x = docs(spark, d)
-    exact = similarity.exact_duplicates(x.select(F.col("doc_id").alias("id"), "text")).select(F.col("kept_id").alias("a"), F.col("id").alias("b"))
-    start = similarity.exact_duplicates(x.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("text"))).select(F.col("kept_id").alias("a"), F.col("id").alias("b"))
-    other = start.join(exact, ["a", "b"], "left_anti").select("a", "b", F.lit("same_start").alias("type"), F.when(F.col("b") % 3 == 0, "info").otherwise("review").alias("status"))
+    """Findings of documents: copies, and texts that share sentences in other places (a third of them information)."""
+    exact = similarity.exact_duplicates(_whole(spark, d).where("text IS NOT NULL")).select(F.col("kept_id").alias("a"), F.col("id").alias("b"))
+    other = typed_links.overlap_links(_whole(spark, d)).select("a", "b", F.lit("sentence_overlap").alias("type"), F.when(F.col("b") % 3 == 0, "info").otherwise("review").alias("status"))
     return exact.select("a", "b", F.lit("exact_text").alias("type"), F.lit("reject").alias("status")).union(other)
 
 
@@ -1002,17 +1031,17 @@ def corpora_concatenated(spark, d):
 
 
 @query(
-    f"""WITH e AS (SELECT b AS id, 'exact' AS c FROM ({_EXACT}) UNION ALL SELECT b, 'start' FROM ({_START}) UNION ALL SELECT doc_id, 'length' FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, n_chars ORDER BY doc_id) AS r FROM documents) WHERE r > 1)
+    f"""WITH e AS (SELECT b AS id, 'exact' AS c FROM ({_EXACT}) UNION ALL SELECT b, 'overlap' FROM ({_overlaps(_SENTENCES)}) UNION ALL SELECT doc_id, 'length' FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, n_chars ORDER BY doc_id) AS r FROM documents) WHERE r > 1)
 SELECT id, string_agg(DISTINCT c, ',' ORDER BY c) AS criteria FROM e GROUP BY id"""
 )
 def duplicate_union(spark, d):
-    """Rows that one of three criteria calls a duplicate: an equal text, an equal start, or an equal length in one source."""
+    """Rows that one of three criteria calls a duplicate: an equal text, sentences of an earlier one, or an equal length in one source."""
     x = docs(spark, d)
     exact = similarity.exact_duplicates(x.select(F.col("doc_id").alias("id"), "text"))
-    start = similarity.exact_duplicates(x.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("text")))
+    overlap = typed_links.overlap_links(_whole(spark, d)).select(F.col("b").alias("id"))
     first = x.groupBy("source", "n_chars").agg(F.min("doc_id").alias("first"))
     size = x.join(first, x.source.eqNullSafe(first.source) & x.n_chars.eqNullSafe(first.n_chars)).where("doc_id <> first").select(F.col("doc_id").alias("id"))
-    return reports.union_of_duplicates({"exact": exact, "start": start, "length": size})
+    return reports.union_of_duplicates({"exact": exact, "overlap": overlap, "length": size})
 
 
 @query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('s1|order|' || doc_id), doc_id) AS n, count(*) OVER () AS total FROM documents) SELECT doc_id, CASE WHEN n <= greatest(1, CAST(floor(total * CAST(0.1 AS DOUBLE)) AS BIGINT)) THEN 'validation' ELSE 'train' END AS split FROM r")
