@@ -18,8 +18,9 @@ largest component against another member of that component. Only then are pairs
 made, and only between different components: of every posting all members
 outside the largest component with all members. A large group of near copies
 thus costs rows in proportion to its members, and no link between components is
-lost. Pairs are tallied over all their postings; those reaching both the level
-and the bound by the last shared place are verified on their whole sets.
+lost. A pair is made at those shared values that can be its first, by what
+follows them in both sets; its prefixes are then tallied, and pairs that share as
+many values as the lower of their levels are verified on their whole sets.
 
 Defined results: null and empty texts have no shingles and link with nothing;
 fewer than five words are one shingle; rows that repeat an id are rows of their
@@ -181,11 +182,24 @@ def _alike(both: Column, na: Column, nb: Column, share: int) -> Column:
     return 100 * both >= share * (na + nb - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets are as similar; ``b`` is the rarer side."""
-    sa, sb = sets.select(F.col("node").alias("a"), F.col("values").alias("va")), sets.select(F.col("node").alias("b"), F.col("values").alias("vb"))
-    both = F.size(F.array_intersect("va", "vb"))
-    return pairs.join(sb, "b").join(sa, "a").where(_alike(both, F.size("va"), F.size("vb"), share)).select("a", "b")
+class Verifier:
+    """Verifies pairs of classes on their whole sets; texts of classes in pairs alone are fetched."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, share: int) -> None:
+        self.docs, self.share = docs.where("id IS NOT NULL").select("id", "key", "text"), share
+        self.rows = classes.select("node", F.col("first").alias("id"), "key")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar; ``pairs`` is a written table."""
+        sides = pairs.select(F.col("a").alias("node"), F.lit(True).alias("is_a")).union(pairs.select("b", F.lit(False)))
+        nodes = sides.groupBy("node").agg(F.bool_or("is_a").alias("as_a"), F.bool_or(~F.col("is_a")).alias("as_b"))
+        # written, so that Spark knows its size: few classes are broadcast to the documents, many are joined by shuffles
+        wanted = materialise(self.rows.join(nodes, "node"), "wanted")
+        texts = self.docs.join(wanted, ["id", "key"]).groupBy("node", "as_a", "as_b").agg(F.first("text").alias("text"))
+        texts = materialise(texts, "texts", "zstd")
+        va, vb = _sets(texts.where("as_a")).toDF("a", "va"), _sets(texts.where("as_b")).toDF("b", "vb")
+        both = F.size(F.array_intersect("va", "vb"))
+        return pairs.join(vb, "b").join(va, "a").where(_alike(both, F.size("va"), F.size("vb"), self.share)).select("a", "b")
 
 
 def _labelled(postings: DataFrame, edges: DataFrame | None) -> DataFrame:
@@ -202,7 +216,7 @@ def _main(labelled: DataFrame) -> DataFrame:
     return size.groupBy("value").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("value", "main")
 
 
-def links(met: DataFrame, sets: DataFrame, share: int = SHARE, long_posting: int = LONG_POSTING, rounds: int = 2) -> DataFrame:
+def links(met: DataFrame, verifier: Verifier, share: int = SHARE, long_posting: int = LONG_POSTING, rounds: int = 2) -> DataFrame:
     """Edges (a, b) that join all sets as similar as ``share``; ``met`` has value, node, n, level, at and size of the posting."""
     similar = lambda x, y: 100 * F.least(x, y) >= share * F.greatest(x, y)
     edges = None
@@ -221,23 +235,28 @@ def links(met: DataFrame, sets: DataFrame, share: int = SHARE, long_posting: int
             members = long
         pairs = members.join(centre, "value").where((F.col("node") != F.col("c.node")) & similar(F.col("n"), F.col("c.n")))
         pairs = materialise(pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-        found = _verified(pairs, sets, share)
+        found = verifier.verified(pairs)
         edges = materialise(found if edges is None else edges.union(found), "edges")
     labelled = materialise(_labelled(met, edges), "labelled")
     apart = materialise(labelled.join(_main(labelled), "value"), "apart")
     bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / share)) + 1e-9).cast("int")
-    side = lambda df, p: df.select("value", F.struct("node", "n", "level", "at").alias(p), F.col("comp").alias(f"{p}_comp"), (F.col("comp") == F.col("main")).alias(f"{p}_main"), bucket.alias(f"{p}_bucket"))
+    side = lambda df, p: df.select("value", F.struct("node", "n", "at").alias(p), F.col("comp").alias(f"{p}_comp"), (F.col("comp") == F.col("main")).alias(f"{p}_main"), bucket.alias(f"{p}_bucket"))
     rest, every = side(apart.where("comp <> main"), "x"), side(apart, "y")
     rest = rest.withColumn("y_bucket", F.explode(F.array(*[F.col("x_bucket") + k for k in (-1, 0, 1)])))
     once = F.col("y_main") | (F.col("x.node") < F.col("y.node"))
-    both = rest.join(every, ["value", "y_bucket"]).where((F.col("x_comp") != F.col("y_comp")) & once & similar(F.col("x.n"), F.col("y.n")))
-    both = both.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
-    flat = both.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "pq" for c in ("node", "n", "level", "at")])
-    tally = flat.groupBy("p_node", "q_node").agg(F.count(F.lit(1)).alias("shared"), *[F.max(c).alias(c) for s in "pq" for c in (f"{s}_n", f"{s}_level", f"{s}_at")])
-    most = F.col("shared") + F.least(F.col("p_n") - F.col("p_at"), F.col("q_n") - F.col("q_at")) - 1
-    enough = (F.col("shared") >= F.least("p_level", "q_level")) & _alike(most, F.col("p_n"), F.col("q_n"), share)
-    pairs = materialise(tally.where(enough).select(F.col("p_node").alias("a"), F.col("q_node").alias("b")), "pairs")
-    found = _verified(pairs, sets, share)
+    # a pair meets at its first shared value: what follows in both must be enough
+    follows = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    both = rest.join(every, ["value", "y_bucket"]).where((F.col("x_comp") != F.col("y_comp")) & once & _alike(follows, F.col("x.n"), F.col("y.n"), share))
+    met_once = materialise(both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "candidates")
+    # shared values of both prefixes, counted up to the lower of the two levels
+    held = met.groupBy("node").agg(F.first("n").alias("n"), F.first("level").alias("level"), F.collect_list(F.struct("at", "value")).alias("values"))
+    ca, cb = (held.select(F.col("node").alias(p), F.col("n").alias(f"n{p}"), F.col("level").alias(f"l{p}"), F.col("values").alias(f"v{p}")) for p in "ab")
+    tally = met_once.join(ca, "a").join(cb, "b").withColumn("l", F.least("la", "lb"))
+    first = lambda p: F.col(f"n{p}") - F.ceil(F.col(f"n{p}") * share / F.lit(100)) + 1
+    upto = lambda p: F.transform(F.filter(f"v{p}", lambda v: v["at"] < first(p) + F.col("l") - 1), lambda v: v["value"])
+    enough = F.size(F.array_intersect(upto("a"), upto("b"))) >= F.col("l")
+    pairs = materialise(tally.where(enough).select("a", "b"), "pairs")
+    found = verifier.verified(pairs)
     return found if edges is None else edges.union(found)
 
 
@@ -246,17 +265,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).alias("id"), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("key"), F.col(text_col).alias("text"))
     rows = materialise(marked(docs, frequencies(docs), share, levels), "prefixes")
     known = rows.where("digest IS NOT NULL AND id IS NOT NULL")
-    # a class of equal sets has one n, level and prefix; its first row stands for it
-    classes = known.groupBy("digest").agg(F.min(F.struct("id", "key")).alias("f"), F.first(F.struct("n", "level", "prefix")).alias("s"))
-    classes = classes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("f.id").alias("first"), F.col("f.key").alias("key"), "s.n", "s.level", "s.prefix")
-    classes = materialise(classes, "classes")
-    postings = classes.select("node", "n", "level", F.posexplode("prefix").alias("at", "value"))
-    shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = materialise(postings.join(shared, "value"), "postings")
-    wanted = classes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("first").alias("id"), "key")
-    texts = docs.where("id IS NOT NULL").join(wanted, ["id", "key"]).groupBy("node").agg(F.first("text").alias("text"))
-    sets = materialise(_sets(texts), "sets")
-    roots = connected_components(links(met, sets, share, long_posting), "a", "b")
+    # the first row of a class of equal sets stands for it
+    classes = known.groupBy("digest").agg(F.min(F.struct("id", "key")).alias("f"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("f.id").alias("first"), F.col("f.key").alias("key")), "classes")
+    stands = classes.select("node", F.col("digest").alias("d"), F.col("first").alias("i"), F.col("key").alias("k"))
+    heads = known.join(stands, (F.col("digest") == F.col("d")) & (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")))
+    postings = heads.select("node", "n", "level", F.posexplode("prefix").alias("at", "value"))
+    # copies count here too, which costs less than dealing prefixes out twice; then only what classes share stays
+    shared = known.select(F.explode("prefix").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("value")
+    met = materialise(postings.join(shared, "value").distinct(), "shared")
+    size = met.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = materialise(met.join(size, "value"), "postings")
+    roots = connected_components(links(met, Verifier(docs, classes, share), share, long_posting), "a", "b")
     linked = roots.join(classes.select("node", "digest", "first"), "node")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     moved = linked.join(least, "root").select("node", "component_id")
