@@ -108,3 +108,29 @@ def test_wide_spans():
     assert h.render("<table><tr><td colspan=500>a<td>b<tr>" + "<td>1" * 3 + "</table>") == "a        b\n1  1  1"
     assert h.render("<table><tr><td rowspan=70000>a<td>b" + "<tr><td>c" * 3 + "</table>") == "a  b\n   c\n   c\n   c"
     assert len(h.render("<table><tr>" + "<td colspan=1000>x" * 500 + "</table>")) < 3000
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<!", '<a ">"', "</script ", "<script></script ", "<a <!--", "<a '\"", "<", "<b x='"])
+def test_megabytes_of_unclosed_markup_take_seconds(unit):
+    import time
+
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    h.parse(page)
+    small = time.process_time() - began
+    assert small < 10  # a quadratic scan takes hours
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p title="a>b">x</p>', "x"),
+        ('<p title="a>x</p>', "x"),  # a quote that isn't closed ends at the bracket
+        ("<p title='a\">'>x<b>y", "xy"),
+        ("a <!-- b > c", "a"),
+        ("a <b", "a <b"),
+        ("<title>t</title <p>u", "u"),
+    ],
+)
+def test_brackets_and_quotes(page, text):
+    assert h.render(page) == text

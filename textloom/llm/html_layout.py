@@ -71,7 +71,8 @@ CLOSES = {
 }
 SCOPE = frozenset("table td th caption html body".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
@@ -94,8 +95,76 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+class Markup:
+    """The tags of a page, found in one pass: a closing bracket inside quotes ends no tag, unless quotes aren't closed.
+
+    Where the scan from one mark leads is remembered, so that pages of unclosed
+    tags and quotes cost no more than others; behind the last closing bracket
+    there are no tags.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html, self.last = html, html.rfind(">")
+        self.ends: dict[int, int] = {}
+
+    def end(self, at: int) -> int:
+        """Place of the first closing bracket outside quotes from ``at`` on; -1 without one."""
+        path, found = [], -1
+        while (m := _MARK.search(self.html, at)) is not None:
+            q = m.start()
+            if q in self.ends:
+                found = self.ends[q]
+                break
+            path.append(q)
+            if m[0] == ">":
+                found = q
+                break
+            close = self.html.find(m[0], q + 1)
+            if close < 0:
+                break
+            at = close + 1
+        for q in path:
+            self.ends[q] = found
+        return found
+
+    def next(self, at: int) -> tuple[int, int, str, str | None, str] | None:
+        """(start, end, slash, name, rest) of the next markup; comments and the like have no name."""
+        html = self.html
+        while True:
+            start = html.find("<", at)
+            if start < 0:
+                return None
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), "", None, ""
+            if start > self.last:
+                at = html.find("<!--", start)
+                if at < 0:
+                    return None
+                continue
+            m = _NAME.match(html, start + 1)
+            if m:
+                end = self.end(m.end())
+                if end < 0:
+                    end = html.find(">", m.end())
+                return start, end + 1, m[1], m[2], html[m.end() : end]
+            if html[start + 1 : start + 2] in ("!", "?", "/"):
+                return start, html.find(">", start + 2) + 1, "", None, ""
+            at = start + 1
+
+    def raw_end(self, tag: str, at: int) -> tuple[int, int]:
+        """Where the end tag of a raw element begins and ends; the end of the page without one."""
+        n = len(self.html)
+        if at <= self.last:
+            m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(self.html, at)
+            if m and m.start() < self.last:
+                return m.start(), self.html.find(">", m.end()) + 1
+        return n, n
+
+
 def parse(html: str) -> Node:
     """The tree of a page."""
+    markup = Markup(html)
     root = Node("html", {})
     stack = [root]
     is_open = Counter()  # elements of each name on the stack
@@ -128,23 +197,22 @@ def parse(html: str) -> Node:
 
     at, n = 0, len(html)
     while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
+        found = markup.next(at)
+        if found is None:
             text(at, n)
             break
-        text(at, m.start())
-        at = m.end()
-        name = m[2] or m[5]
+        start, end, slash, name, raw = found
+        text(at, start)
+        at = end
         if name is None:
             continue  # comment, doctype or stray markup
         tag = name.lower()
-        if m[1] or m[4]:
+        if slash:
             if tag == "p" and not is_open["p"]:
                 stack[-1].children.append(Node("p", {}))
             elif tag not in VOID and tag not in ("html", "body"):
                 close({tag}, SCOPE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else {"table"} - {tag})
             continue
-        raw = m[3] if m[3] is not None else m[6] or ""
         if tag in ("html", "body") and tag == "html":
             root.attributes.update(_attributes(raw))
             continue
@@ -164,12 +232,12 @@ def parse(html: str) -> Node:
         node = Node(tag, _attributes(raw))
         stack[-1].children.append(node)
         if tag in RAW or tag in TEXT_ONLY:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
+            stop, after = markup.raw_end(tag, at)
             if tag in TEXT_ONLY:
-                node.children.append(unescape(html[at : end.start()]))
+                node.children.append(unescape(html[at:stop]))
             elif tag == "xmp":
-                node.children.append(html[at : end.start()])
-            at = end.end()
+                node.children.append(html[at:stop])
+            at = after
         elif tag not in VOID:
             push(node)
     return root
