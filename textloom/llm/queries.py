@@ -61,9 +61,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``pages`` written to an archive and put together again, with size and digest of the record."""
     path = scratch_path(spark, "warc")
     warc_archive.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc_archive.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = warc_archive.read_archive(spark, path, with_payload=True)
+    whole = warc_archive.warc_bytes(records, ("payload_bytes", "payload_digest", "record_type", "refers_to"))
+    return whole.withColumn("record_bytes", F.octet_length("record").cast("long")).withColumn("record_sha256", F.sha2("record", 256)).drop("record")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,14 +128,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_whitening": op13_whitening,
 }
 
-OP6_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
-k AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS d FROM p),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM k)
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
+k AS (SELECT page_id, url, b, octet_length(b) AS n, sha256(b) AS d FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM k),
+r AS (SELECT *, n >= 100 AND page_id <> first AS again FROM f),
+w AS (SELECT *, encode(concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END,
+    'WARC-Record-ID: <{warc_archive.NAME}' || page_id || '>', 'WARC-Date: {warc_archive.DATE}',
+    'WARC-Target-URI: ' || regexp_replace(coalesce(url, ''), '[\r\n]', ' ', 'g'), 'WARC-Payload-Digest: sha256:' || d,
+    CASE WHEN again THEN 'WARC-Refers-To: <{warc_archive.NAME}' || first || '>' || chr(13) || chr(10) || 'WARC-Profile: {warc_archive.PROFILE}' END,
+    'Content-Type: text/html; charset=utf-8', 'Content-Length: ' || CASE WHEN again THEN 0 ELSE n END, '', ''))
+    || CASE WHEN again THEN ''::BLOB ELSE b END || encode(chr(13) || chr(10) || chr(13) || chr(10)) AS record FROM r)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
-       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
-FROM f"""
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to,
+       CAST(octet_length(record) AS BIGINT) AS record_bytes, sha256(record) AS record_sha256
+FROM w"""
 
 OP11_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

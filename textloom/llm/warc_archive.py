@@ -103,7 +103,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
     return records.join(stored, F.col("payload_digest") == F.col("d")).drop("d")
 
 
-def warc_bytes(records: DataFrame) -> DataFrame:
-    """page_id and the record as it stands in a WARC file, of records read with their payloads."""
+def warc_bytes(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, the columns ``keep`` and the record as it stands in a WARC file, of records read with their payloads."""
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return records.select("page_id", F.concat(F.encode("header", "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"))
+    return records.select("page_id", *keep, F.concat(F.encode("header", "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"))
