@@ -64,7 +64,8 @@ def parse_records(lines: DataFrame, mode: str = "dataset", bank: dict[str, list[
     out = base.withColumn("structure", F.when(F.col("v").isNull(), F.array(F.lit("invalid_json"))).otherwise(structure))
     out = out.withColumn("rec", F.from_json("raw", rules.CONVERSATION)).select(*lines.columns, "v", "__id", "structure", "rec.*")
     has_id = (_kind("id") == "STRING") & F.col("v").isNotNull()
-    order = rules.Window.partitionBy("__id").orderBy("source_file", "line_no")
+    # records without id are no copies of each other: each is a partition of its own
+    order = rules.Window.partitionBy("__id", F.when(~has_id, F.xxhash64("source_file", "line_no"))).orderBy("source_file", "line_no")
     again = F.when(has_id, F.row_number().over(order)) > 1
     stopped = F.exists("structure", lambda x: x.startswith("missing_field") | x.isin("not_object", "invalid_json"))
     legacy = rules.parse_rows(lines.select("source_file", "line_no", F.col("raw"))).select("source_file", "line_no", F.array_except("issues", F.array(F.lit("duplicate_id"))).alias("__legacy"))

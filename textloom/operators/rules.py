@@ -69,7 +69,8 @@ def parse_rows(lines: DataFrame) -> DataFrame:
     for f in ("id", "category", "instruction", "input", "output", "source", "difficulty"):
         out = out.withColumn(f, F.when(F.col("stop").isNull(), text(f)))
     has_id = F.col("id").isNotNull() & ~T.blank("id")
-    order = Window.partitionBy("id").orderBy("source_file", "line_no")
+    # rows without id are no copies of each other: each is a partition of its own
+    order = Window.partitionBy("id", F.when(~has_id, F.xxhash64("source_file", "line_no"))).orderBy("source_file", "line_no")
     out = out.withColumn("again", has_id & (F.row_number().over(order) > 1))
     missing = lambda f: F.col(f).isNull() | T.blank(F.col(f))
     rules = [

@@ -328,7 +328,12 @@ def sample_findings(samples: DataFrame, inclusive: bool = False) -> DataFrame:
     weak = weak.where("ia < ib").join(l, "ia").join(r, "ib").where("oa <> ob")
     weak = weak.withColumn("ra", ratio_column(F.col("u"), F.col("v"))).where("ra < 0.9")
     columns = ["ia", "ib", "x", "y", "u", "v", "ca", "cb", "rq", "ra"]
-    met = strong.select(columns).union(weak.select(columns)).withColumn("rc", aligned_contexts(F.col("ca"), F.col("cb")))
+    return exact.union(_judged(strong.select(columns).union(weak.select(columns)), inclusive))
+
+
+def _judged(met: DataFrame, inclusive: bool) -> DataFrame:
+    """(a, b, type, status, score) of pairs (ia, ib) with their questions x and y, answers u and v, contexts and the first two ratios."""
+    met = met.withColumn("rc", aligned_contexts(F.col("ca"), F.col("cb")))
     score = F.least("rq", "ra", "rc")
     short = F.least(F.length("x") + F.length("u"), F.length("y") + F.length("v")) < 60
     close = (F.col("rc") >= 0.90) & (F.col("ra") >= 0.90)
@@ -343,8 +348,51 @@ def sample_findings(samples: DataFrame, inclusive: bool = False) -> DataFrame:
         .when(long, "same_question_context_different_answer")
     )
     status = F.when(kind == "sample_near", decide(score, inclusive)).when(kind == "sample_near_short", "review").otherwise("info")
-    found = met.select(F.col("ia").alias("a"), F.col("ib").alias("b"), kind.alias("type"), status.alias("status"), F.when(close, score).otherwise(F.col("rq")).alias("score")).where("type IS NOT NULL")
-    return exact.union(found)
+    return met.select(F.col("ia").alias("a"), F.col("ib").alias("b"), kind.alias("type"), status.alias("status"), F.when(close, score).otherwise(F.col("rq")).alias("score")).where("type IS NOT NULL")
+
+
+def _near_between(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(x, y, ratio) of texts of two tables of (id, text), equal ones included; x is of the first table."""
+    near = materialise(close_pairs(left, right, threshold, same=False).select(F.col("a_text").alias("x"), F.col("b_text").alias("y")), "near")
+    return materialise(near.withColumn("ratio", ratio_column(F.col("x"), F.col("y"))).where(F.col("ratio") >= threshold), "ratios")
+
+
+def export_findings(samples: DataFrame, export: DataFrame, inclusive: bool = False) -> DataFrame:
+    """(record, row, type, status, score): training samples that repeat rows of an export, as ``sample_findings`` judges them.
+
+    Both tables have id, question, answer and context; ``samples`` also has owner,
+    the record that is returned. Equal samples of either table are one class:
+    every member is linked to the other table's first, so that copies on both
+    sides make no squares. Classes of near questions and answers are compared;
+    classes of near questions alone meet through the first class of the other
+    table's question.
+    """
+    n = lambda c: T.normalise(F.col(c))
+    side = lambda df: df.select("id", n("question").alias("q"), n("answer").alias("a"), context_messages(F.col("context")).alias("c"))
+    mine, theirs = side(samples), side(export)
+    folded = lambda df: materialise(df.where("q <> ''").groupBy("q", "a", "c").agg(F.min("id").alias("id")), "classes")
+    s, e = folded(mine), folded(theirs)
+    texts = lambda df, c: df.groupBy(F.col(c).alias("text")).agg(F.min("id").alias("id")).where("text <> ''")
+    questions = _near_between(texts(s, "q"), texts(e, "q"), 0.90).toDF("x", "y", "rq")
+    answers = _near_between(texts(s, "a"), texts(e, "a"), 0.90).toDF("u", "v", "ra")
+    l = s.select(F.col("id").alias("ia"), F.col("q").alias("x"), F.col("a").alias("u"), F.col("c").alias("ca"))  # noqa: E741
+    r = e.select(F.col("id").alias("ib"), F.col("q").alias("y"), F.col("a").alias("v"), F.col("c").alias("cb"))
+    columns = ["ia", "ib", "x", "y", "u", "v", "ca", "cb", "rq", "ra"]
+    strong = l.join(questions, "x").join(answers, "u").join(r, ["y", "v"]).select(columns)
+    first_l, first_r = l.groupBy("x").agg(F.min("ia").alias("ia")).join(l, ["x", "ia"]), r.groupBy("y").agg(F.min("ib").alias("ib")).join(r, ["y", "ib"])
+    weak = l.join(questions, "x").join(first_r, "y").select(columns[:-1]).union(first_l.join(questions, "x").join(r, "y").select(columns[:-1])).distinct()
+    weak = weak.withColumn("ra", ratio_column(F.col("u"), F.col("v"))).where("ra < 0.9").select(columns)
+    same = (F.col("x") == F.col("y")) & (F.col("u") == F.col("v")) & (F.col("ca") == F.col("cb"))
+    both = strong.union(weak)
+    judged = _judged(both.where(~same), inclusive)
+    exact = both.where(same).select(F.col("ia").alias("a"), F.col("ib").alias("b"), F.lit("sample_exact").alias("type"), F.lit("reject").alias("status"), F.lit(1.0).alias("score"))
+    found = materialise(judged.union(exact), "found")
+    # members of a class: each side's with the other side's first
+    members = lambda df, classes, name: df.join(classes.withColumnRenamed("id", "first"), ["q", "a", "c"]).select(F.col("first").alias(name), F.col("id").alias(f"{name}_member"))
+    wide = found.join(members(mine, s, "a"), "a").select("a_member", F.col("b").alias("b_member"), "type", "status", "score")
+    long = found.join(members(theirs, e, "b"), "b").select(F.col("a").alias("a_member"), "b_member", "type", "status", "score")
+    owner = samples.select(F.col("id").alias("a_member"), F.col("owner").alias("record"))
+    return wide.union(long).distinct().join(owner, "a_member").groupBy("record", F.col("b_member").alias("row"), "type", "status").agg(F.max("score").alias("score"))
 
 
 def shared_answers(samples: DataFrame) -> DataFrame:

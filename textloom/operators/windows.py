@@ -49,13 +49,13 @@ def stratified_split(df: DataFrame, id_col: str, stratum: str, ratio: float, see
     Counts are those of a seeded shuffle of each stratum; the members are the
     first in the order of a digest of seed and id.
     """
-    key = df.select(F.col(id_col).alias("__id"), F.col(stratum).alias("__s"), order_key(seed, F.col(id_col)).alias("__key"))
-    # numbered over range partitions: no task ranks a whole stratum
-    ranked = numbered(key, ["__s", "__key", "__id"], "__number")
+    # rows themselves are numbered, over range partitions: no task ranks a whole stratum, and rows that share an id stay one each
+    keyed = df.withColumns({"__id": F.col(id_col), "__s": F.col(stratum), "__key": order_key(seed, F.col(id_col))})
+    ranked = numbered(keyed, ["__s", "__key", "__id"], "__number")
     strata = ranked.groupBy(F.col("__s").alias("__t")).agg(F.count(F.lit(1)).alias("__n"), (F.min("__number") - 1).alias("__before"))
     wanted = F.when(F.col("__n") < 2, 0).otherwise(F.least(F.greatest(F.lit(1), F.bround(F.col("__n") * ratio)), F.col("__n") - 1))
     chosen = ranked.join(strata, F.col("__s").eqNullSafe(F.col("__t"))).withColumn("split", F.when(F.col("__number") - F.col("__before") <= wanted, "eval").otherwise("train"))
-    return df.join(chosen.select("__id", "split"), df[id_col] == F.col("__id")).drop("__id")
+    return chosen.select(*df.columns, "split")
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
