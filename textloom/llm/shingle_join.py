@@ -165,19 +165,6 @@ def marked(docs: DataFrame, counts: np.ndarray, share: int = SHARE, levels: int
     return docs.select("id", "key", "text").mapInArrow(run, f"id {kind}, key string, n bigint, digest binary, level int, prefix array<bigint>")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """(node, values) of (node, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                values = pa.array([shingles(t.as_py()) for t in part.column(1)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), values], names=["node", "values"])
-
-    return texts.select("node", "text").mapInArrow(run, "node bigint, values array<bigint>")
-
-
 def _alike(both: Column, na: Column, nb: Column, share: int) -> Column:
     return 100 * both >= share * (na + nb - both)
 
@@ -189,17 +176,34 @@ class Verifier:
         self.docs, self.share = docs.where("id IS NOT NULL").select("id", "key", "text"), share
         self.rows = classes.select("node", F.col("first").alias("id"), "key")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar; ``pairs`` is a written table."""
-        sides = pairs.select(F.col("a").alias("node"), F.lit(True).alias("is_a")).union(pairs.select("b", F.lit(False)))
-        nodes = sides.groupBy("node").agg(F.bool_or("is_a").alias("as_a"), F.bool_or(~F.col("is_a")).alias("as_b"))
+    def texts(self, pairs: DataFrame) -> DataFrame:
+        """(node, text) of all classes in ``pairs``, a written table."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         # written, so that Spark knows its size: few classes are broadcast to the documents, many are joined by shuffles
         wanted = materialise(self.rows.join(nodes, "node"), "wanted")
-        texts = self.docs.join(wanted, ["id", "key"]).groupBy("node", "as_a", "as_b").agg(F.first("text").alias("text"))
-        texts = materialise(texts, "texts", "zstd")
-        va, vb = _sets(texts.where("as_a")).toDF("a", "va"), _sets(texts.where("as_b")).toDF("b", "vb")
-        both = F.size(F.array_intersect("va", "vb"))
-        return pairs.join(vb, "b").join(va, "a").where(_alike(both, F.size("va"), F.size("vb"), self.share)).select("a", "b")
+        return materialise(self.docs.join(wanted, ["id", "key"]).groupBy("node").agg(F.first("text").alias("text")), "texts", "zstd")
+
+    def verified(self, pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b) that are similar; ``pairs`` is a written table. Texts travel, which are smaller than their shingles."""
+        texts = self.texts(pairs) if texts is None else texts
+        ta, tb = texts.toDF("a", "ta"), texts.toDF("b", "tb")
+        share = self.share
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, mine = None, None
+            for batch in batches:
+                a, b, keep = batch.column(0).to_pylist(), batch.column(1), []
+                for at, (node, x, y) in enumerate(zip(a, batch.column(2), batch.column(3), strict=True)):
+                    if node != last:
+                        last, mine = node, shingles(x.as_py())
+                    other = shingles(y.as_py())
+                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    if 100 * both >= share * (len(mine) + len(other) - both):
+                        keep.append(at)
+                some = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), b.take(some)], names=["a", "b"])
+
+        return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
 def _labelled(postings: DataFrame, edges: DataFrame | None) -> DataFrame:
@@ -256,8 +260,15 @@ def links(met: DataFrame, verifier: Verifier, share: int = SHARE, long_posting:
     upto = lambda p: F.transform(F.filter(f"v{p}", lambda v: v["at"] < first(p) + F.col("l") - 1), lambda v: v["value"])
     enough = F.size(F.array_intersect(upto("a"), upto("b"))) >= F.col("l")
     pairs = materialise(tally.where(enough).select("a", "b"), "pairs")
-    found = verifier.verified(pairs)
-    return found if edges is None else edges.union(found)
+    # one pair of each class first: most others then lie within a component
+    texts = verifier.texts(pairs)
+    first = materialise(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    found = materialise(verifier.verified(first, texts), "edges")
+    edges = found if edges is None else edges.union(found)
+    roots = materialise(connected_components(edges, "a", "b"), "roots")
+    of = lambda p: roots.toDF(p, f"r{p}")
+    apart = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)))
+    return edges.union(verifier.verified(materialise(apart.select("a", "b"), "apart"), texts))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE, levels: int = LEVELS, long_posting: int = LONG_POSTING) -> DataFrame:
@@ -270,12 +281,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("f.id").alias("first"), F.col("f.key").alias("key")), "classes")
     stands = classes.select("node", F.col("digest").alias("d"), F.col("first").alias("i"), F.col("key").alias("k"))
     heads = known.join(stands, (F.col("digest") == F.col("d")) & (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")))
-    postings = heads.select("node", "n", "level", F.posexplode("prefix").alias("at", "value"))
+    postings = heads.select("node", F.posexplode("prefix").alias("at", "value"))
     # copies count here too, which costs less than dealing prefixes out twice; then only what classes share stays
     shared = known.select(F.explode("prefix").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("value")
     met = materialise(postings.join(shared, "value").distinct(), "shared")
     size = met.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = materialise(met.join(size, "value"), "postings")
+    sizes = materialise(heads.select("node", "n", "level").distinct(), "sizes")
+    met = materialise(met.join(size, "value").join(sizes, "node"), "postings")
     roots = connected_components(links(met, Verifier(docs, classes, share), share, long_posting), "a", "b")
     linked = roots.join(classes.select("node", "digest", "first"), "node")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
