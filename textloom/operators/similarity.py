@@ -326,7 +326,8 @@ def sample_findings(samples: DataFrame, inclusive: bool = False) -> DataFrame:
     hx, hy = heads.toDF("x", "ia"), heads.toDF("y", "ib")
     weak = hx.join(questions.where("x <> y"), "x").join(hy, "y").select("ia", "ib", "rq").union(classes.join(heads, "q").where("id <> head AND q <> ''").select("head", "id", F.lit(1.0)))
     weak = weak.where("ia < ib").join(l, "ia").join(r, "ib").where("oa <> ob")
-    weak = weak.withColumn("ra", ratio_column(F.col("u"), F.col("v"))).where("ra < 0.9")
+    # all near answers are known: what isn't among them is below 0.90
+    weak = weak.join(answers.select("u", "v"), ["u", "v"], "left_anti").withColumn("ra", F.lit(0.0))
     columns = ["ia", "ib", "x", "y", "u", "v", "ca", "cb", "rq", "ra"]
     return exact.union(_judged(strong.select(columns).union(weak.select(columns)), inclusive))
 
@@ -381,7 +382,8 @@ def export_findings(samples: DataFrame, export: DataFrame, inclusive: bool = Fal
     strong = l.join(questions, "x").join(answers, "u").join(r, ["y", "v"]).select(columns)
     first_l, first_r = l.groupBy("x").agg(F.min("ia").alias("ia")).join(l, ["x", "ia"]), r.groupBy("y").agg(F.min("ib").alias("ib")).join(r, ["y", "ib"])
     weak = l.join(questions, "x").join(first_r, "y").select(columns[:-1]).union(first_l.join(questions, "x").join(r, "y").select(columns[:-1])).distinct()
-    weak = weak.withColumn("ra", ratio_column(F.col("u"), F.col("v"))).where("ra < 0.9").select(columns)
+    # all near answers are known: what isn't among them is below 0.90
+    weak = weak.join(answers.select("u", "v"), ["u", "v"], "left_anti").withColumn("ra", F.lit(0.0)).select(columns)
     same = (F.col("x") == F.col("y")) & (F.col("u") == F.col("v")) & (F.col("ca") == F.col("cb"))
     both = strong.union(weak)
     judged = _judged(both.where(~same), inclusive)
