@@ -187,8 +187,13 @@ def conversation_classes(messages: DataFrame) -> DataFrame:
 
     A class is named by its first conversation. Copies are folded before pairs are made.
     """
-    line = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), T.normalise(F.col("text")).alias("norm"))
-    whole = messages.groupBy("conv_id").agg(F.sha2(F.to_json(F.transform(F.sort_array(F.collect_list(line)), lambda m: F.struct(m["role"], m["norm"]))), 256).alias("h"))
+    return _classes(messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), T.normalise(F.col("text")).alias("norm")))
+
+
+def _classes(m: DataFrame) -> DataFrame:
+    """``conversation_classes`` of messages in normal form."""
+    line = F.struct("turn", "role", "norm")
+    whole = m.groupBy("conv_id").agg(F.sha2(F.to_json(F.transform(F.sort_array(F.collect_list(line)), lambda m: F.struct(m["role"], m["norm"]))), 256).alias("h"))
     size = whole.groupBy("h").agg(F.min("conv_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return whole.join(size, "h").select("conv_id", "class_id", "class_size")
 
@@ -204,7 +209,8 @@ def message_overlap(messages: DataFrame, min_chars: int = 20) -> DataFrame:
     must be shared, so a greeting that all share makes no pairs.
     """
     m = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), T.normalise(F.col("text")).alias("norm"))
-    first = conversation_classes(messages).where("conv_id = class_id").select("conv_id")
+    m = materialise(m, "normal")  # normal forms are dear and read more than once
+    first = _classes(m).where("conv_id = class_id").select("conv_id")
     m = m.join(first, "conv_id", "left_semi")
     total = m.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     m = materialise(m.where(F.length("norm") >= min_chars).join(total, "conv_id").select("conv_id", "n", "turn", "role", F.sha2("norm", 256).alias("h")), "messages")

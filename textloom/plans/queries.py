@@ -651,8 +651,8 @@ def held_back_records(spark, d):
 
 
 def _all_groups(spark, d):
-    """Groups of documents over the forest of all links of whole texts: exact, near and overlap."""
-    return grouping.groups(docs(spark, d).select("doc_id"), _forest(spark, d), "doc_id")
+    """Groups of documents over all links of whole texts: exact, near and overlap. Their forest gives the same groups."""
+    return grouping.groups(docs(spark, d).select("doc_id"), typed_links.text_links(_whole(spark, d)), "doc_id")
 
 
 def _forest(spark, d):
