@@ -116,3 +116,14 @@ def test_documents(spark):
     assert one(spark, ".a{color: red} @media x{}", D.analyse_css)["has_media"]
     assert one(spark, "# T\n## U", D.analyse_markdown)["headings"] == ["T", "U"]
     assert one(spark, "function f(){} const g = (x) => 1; fetch('u')", D.analyse_js)["functions"] == ["f", "g"]
+
+
+def test_composition(spark):
+    import unicodedata
+
+    odd = ["Cafe\u0301 u\u0308t", "\u212b \u2126 \u1112\u1161\u11ab \uac00", "q\u0307\u0323", "\u2000a", "plain", "árvíz – „x”…", "", None, "a" * 70000 + "e\u0301", "😀\u0915\u093c"]
+    df = spark.createDataFrame(list(enumerate(odd)), "k long, t string")
+    got = {r["k"]: r["c"] for r in df.select("k", T.composed(F.col("t")).alias("c")).collect()}
+    assert got == {k: None if t is None else unicodedata.normalize("NFC", t) for k, t in enumerate(odd)}
+    same = spark.createDataFrame([("1. Cafe\u0301!", "Café")], "a string, b string")
+    assert same.where(T.normalise(F.col("a")) == T.normalise(F.col("b"))).count() == 1

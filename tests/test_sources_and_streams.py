@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import joins
-from textloom.sources import readers, writers
+from textloom.sources import readers, stores, writers
 from textloom.streaming import state
 
 
@@ -73,6 +73,43 @@ def test_export_and_store(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 4
 
 
+def test_publication_of_odd_tables(spark, tmp_path):
+    empty = spark.createDataFrame([], "`a.b` long, c string")
+    assert writers.publish(spark, empty, str(tmp_path), "none")["rows"] == 0
+    odd = spark.createDataFrame([(1, None), (1, None), (None, "x")], "`a.b` long, c string")
+    assert writers.publish(spark, odd, str(tmp_path), "odd")["rows"] == 3
+    evaluated = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            evaluated.add(b.num_rows)
+            yield b
+
+    plain = odd.toDF("a", "c")
+    writers.publish(spark, plain.mapInArrow(seen, plain.schema), str(tmp_path), "once")
+    assert evaluated.value == 3
+
+
+def test_store_deletions(spark, tmp_path):
+    schema, path = "id long, active boolean, updated_at string, note string", str(tmp_path / "s")
+    ids = lambda *k: spark.createDataFrame([(x,) for x in k], "id long")
+    state = lambda: sorted(((r["id"], r["active"], r["updated_at"]) for r in stores.read_current(spark, path, schema).collect()), key=repr)
+    assert state() == [] and not stores.delete(spark, path, schema, ids(1), "id", F.lit("t2"))
+    rows = spark.createDataFrame([(1, True, "t1", None), (2, True, "t1", "é"), (2, True, "t1", "é"), (None, True, "t1", "x")], schema)
+    first = writers.replace_store(spark, rows, path, 1)
+    assert not stores.delete(spark, path, schema, ids(7, None), "id", F.lit("t2")) and stores.current_version(spark, path) == (1, first)
+    assert stores.delete(spark, path, schema, ids(2, 2), "id", F.lit("t2"))
+    assert state() == [(1, True, "t1"), (2, False, "t2"), (2, False, "t2"), (None, True, "t1")]
+    assert stores.delete(spark, path, schema, ids(1, 2), "id", F.lit("t3"), hard=True)
+    assert state() == [(None, True, "t1")] and stores.current_version(spark, path)[0] == 3
+    assert spark.read.schema(schema).json(first).count() == 4
+    (tmp_path / "s/v00000009").write_text("{broken\n")
+    (tmp_path / "s/CURRENT").write_text(str(tmp_path / "s/v00000009"))
+    (tmp_path / "s/.CURRENT.crc").unlink(missing_ok=True)
+    assert state() == []
+    assert not stores.delete(spark, path, schema, ids(1), "id", F.lit("t4"))
+
+
 def test_joins(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "k string, v long")
     assert joins.multiset_difference(a, a.union(a.limit(1))) == 1

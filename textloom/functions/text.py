@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,8 +67,28 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(found, strip), lambda s: s != "")
 
 
-def normalise(c: Column) -> Column:
-    """The form in which texts are compared: plain quotes and dashes, no list marks, no punctuation, lower case."""
+def composed(c: Column) -> Column:
+    """Canonical composition (NFC).
+
+    No built-in function composes. Only texts that hold a character which
+    composition could change go to Python, in batches; all others stay where
+    they are. Characters below U+0300 and most of general punctuation never change.
+    """
+
+    @F.pandas_udf("string")
+    def nfc(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+    return F.coalesce(nfc(F.when(c.rlike(r"[^\x{0}-\x{2FF}\x{2010}-\x{205E}]"), c)), c)
+
+
+def normalise(c: Column, compose: bool = True) -> Column:
+    """The form in which texts are compared: composed, plain quotes and dashes, no list marks, no punctuation, lower case.
+
+    ``compose`` is false where ``c`` is composed already, as it must be within
+    functions of arrays.
+    """
+    c = composed(c) if compose else c
     t = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "„”“‘’–—", "\"\"\"''--"), "…", "...")
     t = F.lower(F.regexp_replace(t, r"(?U)(?:(?<=\s)|^)(?:[0-9]{1,2}[.)]|[-•*])(?=\s+\S)", " "))
     return strip(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}\s]", " "), r"(?U)\s+", " "))

@@ -51,3 +51,8 @@ def deactivate(records: DataFrame, ids: DataFrame, key: str, now: Column) -> Dat
     """Soft deletion: listed records become inactive, with the time of the change."""
     hit = records.join(ids.select(key).distinct(), key, "left_semi").withColumns({"active": F.lit(False), "updated_at": now})
     return hit.unionByName(records.join(ids.select(key).distinct(), key, "left_anti"))
+
+
+def remove(records: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Hard deletion: listed records go; records without key can't be listed."""
+    return records.join(ids.select(key).distinct(), key, "left_anti")

@@ -297,8 +297,8 @@ def aligned_contexts(a: Column, b: Column) -> Column:
 
 def context_messages(rendered: Column) -> Column:
     """(role, text) of the messages of a rendered context (lines that begin with User: or AI:), texts in normal form."""
-    parts = F.filter(F.split(F.coalesce(rendered, F.lit("")), r"(?m)^(?=User: |AI: )"), lambda m: m != "")
-    return F.transform(parts, lambda m: F.struct(F.when(m.startswith("AI: "), "assistant").otherwise("user").alias("role"), T.normalise(F.regexp_replace(m, "^(User|AI): ", "")).alias("text")))
+    parts = F.filter(F.split(T.composed(F.coalesce(rendered, F.lit(""))), r"(?m)^(?=User: |AI: )"), lambda m: m != "")
+    return F.transform(parts, lambda m: F.struct(F.when(m.startswith("AI: "), "assistant").otherwise("user").alias("role"), T.normalise(F.regexp_replace(m, "^(User|AI): ", ""), compose=False).alias("text")))
 
 
 def sample_findings(samples: DataFrame, inclusive: bool = False) -> DataFrame:

@@ -39,7 +39,7 @@ def sentences(x: str) -> str:
 
 def normalise(x: str) -> str:
     # list marks need a look-behind; runs of them are taken one after another
-    t = f"replace(translate(coalesce({x}, ''), '„”“‘’–—', '\"\"\"''''--'), '…', '...')"
+    t = f"replace(translate(nfc_normalize(coalesce({x}, '')), '„”“‘’–—', '\"\"\"''''--'), '…', '...')"
     for _ in range(2):
         t = f"regexp_replace({t}, '(^|[{WS}])(?:[0-9]{{1,2}}[.)]|[-•*])([{WS}]+[^{WS}])', '\\1 \\2', 'g')"
     return strip(f"regexp_replace(regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}{WS}]', ' ', 'g'), '[{WS}]+', ' ', 'g')")

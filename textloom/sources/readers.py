@@ -75,10 +75,10 @@ def read_exclusions(spark: SparkSession, path: str, allow_empty: bool = False, i
     return out
 
 
-def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of a JSON array; a missing or broken file is an empty store."""
+def read_store(spark: SparkSession, path: str, schema: str, array: bool = True) -> DataFrame:
+    """Records of a JSON array, or of JSON lines; a missing or broken file is an empty store."""
     try:
-        out = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        out = spark.read.schema(schema).option("multiLine", array).option("mode", "FAILFAST").json(path)
         out.agg(F.bit_xor(F.xxhash64(*out.columns))).first()
         return out
     except Exception as e:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 RUN_NAME = re.compile(r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,63}$")
@@ -117,7 +117,8 @@ class _Files:
 def publish(spark: SparkSession, df: DataFrame, folder: str, run: str, protected: tuple[str, ...] = ()) -> dict:
     """Write, read back, compare, then rename; the manifest comes last.
 
-    A run's folder is never overwritten. Whatever fails before the rename leaves
+    Rows and digest of what is written are taken while it is written, so that
+    ``df`` is evaluated once. A run's folder is never overwritten. Whatever fails before the rename leaves
     the partial folder with FAILED.txt in it and no folder of that run.
     """
     if not RUN_NAME.match(run):
@@ -128,10 +129,12 @@ def publish(spark: SparkSession, df: DataFrame, folder: str, run: str, protected
     files = _Files(spark, folder)
     if files.exists(final) or files.exists(partial):
         raise FileExistsError(final)
-    digest = lambda d: d.agg(F.count(F.lit(1)).alias("rows"), F.expr("coalesce(bit_xor(xxhash64(*)), 0)").alias("digest")).first().asDict()
+    hashed = F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+    sums = F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(hashed), F.lit(0)).alias("digest")
+    seen = Observation()
     try:
-        df.write.mode("errorifexists").parquet(f"{partial}/data")
-        wrote, kept = digest(df), digest(spark.read.parquet(f"{partial}/data"))
+        df.observe(seen, *sums).write.mode("errorifexists").parquet(f"{partial}/data")
+        wrote, kept = seen.get, spark.read.parquet(f"{partial}/data").agg(*sums).first().asDict()
         if wrote != kept:
             raise RuntimeError(f"read back {kept}, wrote {wrote}")
     except Exception as e:
