@@ -49,6 +49,18 @@ def test_copies_and_ties(spark):
     assert all(abs(s - 1) < 1e-12 for _, s in got[50])
 
 
+def test_id_with_different_vectors_comes_once(spark):
+    rows = [(0, [1.0, 0.0]), (3, [0.9, 0.1]), (3, [0.1, 0.9]), (3, [0.9, 0.1]), (4, [0.8, 0.3]), (5, [0.0, 1.0]), (50, [0.0, 1.0]), (50, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cosine = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    for parts in (1, 8):
+        got = found(aq.search(df.repartition(parts)))
+        assert {q: [v for v, _ in near] for q, near in got.items()} == {0: [3, 4, 5, 50], 50: [5, 3, 4, 0]}
+        assert abs(got[0][0][1] - cosine([1, 0], [0.9, 0.1])) < 1e-12
+        # the query 50 is its least vector
+        assert abs(dict(got[50])[3] - cosine([-1, 0], [0.1, 0.9])) < 1e-12
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (50, [1.0]), (7, []), (100, [0.0, -2.0])]

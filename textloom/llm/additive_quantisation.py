@@ -17,7 +17,8 @@ result is written to the shared folder.
 
 Defined results: vectors that are null, zero, of another dimension than most,
 or hold null or non-finite components take no part; rows without id take none
-either; rows that repeat an id count once as a query and once as a neighbour;
+either; rows that repeat an id count once as a query (with the least of its vectors) and
+once as a neighbour (with the nearest of them);
 ties go to the smaller id; with fewer candidates than asked for all are
 returned; an empty table gives an empty table. Only the named columns are read,
 so extra columns never clash.
@@ -224,6 +225,6 @@ def search(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", v
             found = _search_block(index, books, rows["id"].to_numpy(), np.array(rows["x"].to_pylist()), k, shortlist)
             job = found if job is None else job.union(found)
         job.write.mode("append").parquet(path)
-    near = spark.read.schema(schema).parquet(path).distinct()
+    near = spark.read.schema(schema).parquet(path).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
