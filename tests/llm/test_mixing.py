@@ -33,13 +33,16 @@ def test_rates_equal_plain_projected_gradient(spark):
     assert np.allclose((got * t) @ p, (want * t) @ p, rtol=1e-4)
     assert np.allclose((got * t) @ p, np.array([0.5, 0.3, 0.2]) * 60_000.0, rtol=1e-3)
     assert got.min() >= 0 and got.max() <= 8
+    assert rates.miss < 1e-3
 
 
-def test_infeasible_targets_stay_in_bounds(spark):
+def test_infeasible_targets_stay_in_bounds(spark, caplog):
     t, p, df = members(spark)
     rates = sm.fit_rates(df, 3, [1.0, 0.0, 0.0], 1e9, max_rate=2.0)
     got = np.array([r[0] for r in df.select(rates.column()).collect()])
     assert got.min() >= 0 and got.max() <= 2
+    assert abs(rates.miss - abs(((got * t) @ p)[0] - 1e9) / 1e9) < 1e-6 and rates.miss > 0.5
+    assert "miss their targets" in caplog.text
 
 
 DOCS = [(k, ("the ship of light " if k % 3 else "der Fluss und das Haus ") * (1 + k % 5), "en" if k % 3 else "de", "s", 1) for k in range(60)]

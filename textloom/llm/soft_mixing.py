@@ -29,6 +29,7 @@ was given.
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass, field
 
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 
 from textloom.session import materialise
 
+log = logging.getLogger(__name__)
+
 SPACES = r"[\x20\x09-\x0D]+"
 MAX_ROWS = 4000
 MAX_WORDS = 256
@@ -115,6 +118,11 @@ class Rates:
     targets: list[float]
     totals: list[float]
 
+    @property
+    def miss(self) -> float:
+        """The largest distance of a total from its target, in targets (of at least one token)."""
+        return max((abs(a - t) / max(1.0, t) for a, t in zip(self.totals, self.targets, strict=True)), default=0.0)
+
     def column(self) -> Column:
         return _walk(_standing(F.lit(self.start)), self.steps, self.low, self.high)["rate"]
 
@@ -155,7 +163,8 @@ def fit_rates(members: DataFrame, n_domains: int, shares: list[float] | None = N
     every domain can fill by repeating documents alone, so that no document
     need be dropped. The fit ends when every total is within ``tolerance`` of its
     target, when ``patience`` rounds lower the loss by less than ``gain`` (bounds
-    keep targets from being met), or after ``max_rounds``.
+    keep targets from being met), or after ``max_rounds``; what the totals still
+    miss is ``Rates.miss``, and a warning where it is more than ``tolerance``.
     """
     ks = range(n_domains)
     start = min(max(start, min_rate), max_rate)
@@ -200,7 +209,10 @@ def fit_rates(members: DataFrame, n_domains: int, shares: list[float] | None = N
         if len(steps) - since == 8:  # what the steps so far have come to is written, so that later rounds don't repeat them
             state = materialise(state.withColumn("__rate", _walk(standing, steps[since:], min_rate, max_rate)), "rates")
             standing, since = F.col("__rate"), len(steps)
-    return Rates(start, min_rate, max_rate, steps, targets, totals)
+    rates = Rates(start, min_rate, max_rate, steps, targets, totals)
+    if rates.miss > tolerance:
+        log.warning("totals miss their targets by up to %.2g of them after %d steps", rates.miss, len(steps))
+    return rates
 
 
 def rate_documents(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", shares: dict[str, float] | None = None, **bounds: float) -> DataFrame:
