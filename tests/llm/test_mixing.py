@@ -41,7 +41,9 @@ def test_infeasible_targets_stay_in_bounds(spark, caplog):
     rates = sm.fit_rates(df, 3, [1.0, 0.0, 0.0], 1e9, max_rate=2.0)
     got = np.array([r[0] for r in df.select(rates.column()).collect()])
     assert got.min() >= 0 and got.max() <= 2
-    assert abs(rates.miss - abs(((got * t) @ p)[0] - 1e9) / 1e9) < 1e-6 and rates.miss > 0.5
+    want = np.array([1e9, 0.0, 0.0])
+    assert abs(rates.miss / (np.abs((got * t) @ p - want) / np.maximum(1.0, want)).max() - 1) < 1e-6
+    assert rates.miss > 0.5
     assert "miss their targets" in caplog.text
 
 
