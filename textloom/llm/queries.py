@@ -38,25 +38,39 @@ def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of ``embeddings``, by cosine, of every row whose id is divisible by 50.
+
+    Vectors that are null, zero, of an odd length or hold null or non-finite
+    components take no part; ties go to the smaller id; an id that repeats comes
+    once; an empty table gives an empty one.
+    """
     return additive_quantisation.search(table(spark, sf_dir, "embeddings"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of ``documents``, learned from labelled rows outside the held-out fold.
+
+    Null and empty texts get the score of no words; repeated rows are scored
+    alike; rows without id aren't held out and can't be labelled.
+    """
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return _scored(docs, toxicity.score_column(model, F.col("text")), toxicity.THRESHOLD)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every whole text of ``documents``; a null text has no words and fails."""
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``; null and empty texts share the fingerprint zero."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every whole text of ``documents``; null and empty texts have no tokens."""
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
@@ -82,16 +96,23 @@ def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and unigram log10 probabilities of every whole text of ``documents``; null and empty texts are one end."""
     return ctw.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every row of ``pages`` with its characters and lines; null and empty pages have neither."""
     out = html_layout.extract(table(spark, sf_dir, "pages"))
     lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
     return out.select("page_id", F.length("text").cast("long").alias("n_chars"), lines.cast("long").alias("n_lines"), "text")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of ``documents``, learned from labelled rows outside the held-out fold.
+
+    Null and empty texts get the score of a text without words; repeated rows are
+    scored alike; rows without id aren't held out and can't be labelled.
+    """
     docs = table(spark, sf_dir, "documents")
     machine = quality_fm.train(docs, table(spark, sf_dir, "labels"))
     return _scored(docs, quality_fm.score_column(machine, F.col("text")), quality_fm.THRESHOLD)
