@@ -127,3 +127,20 @@ def test_composition(spark):
     assert got == {k: None if t is None else unicodedata.normalize("NFC", t) for k, t in enumerate(odd)}
     same = spark.createDataFrame([("1. Cafe\u0301!", "Café")], "a string, b string")
     assert same.where(T.normalise(F.col("a")) == T.normalise(F.col("b"))).count() == 1
+
+
+def test_masks_of_runs(spark):
+    """Masks from runs are those place by place, whatever the limits; long ones are made and checked in no time."""
+    import time
+
+
+    cases = [(n, a, b) for n in range(6) for a in range(-1, 7) for b in range(-1, 8)]
+    df = spark.createDataFrame(cases, "n int, a int, b int").withColumn("m", SM.target_mask(F.col("n"), F.col("a"), F.col("b")))
+    for r in df.withColumn("s", SM.mask_sum(F.col("m"))).collect():
+        assert r["m"] == [int(r["a"] <= i + 1 < r["b"]) for i in range(r["n"] - 1)] and r["s"] == sum(r["m"])
+    assert spark.range(1).select(SM.mask_sum(F.array(F.lit(3), F.lit(-1), F.lit(1)))).first()[0] == 3
+    n = F.lit(2000) + F.col("id").cast("int") % 2
+    mask = SM.target_mask(n, n - 900, n)
+    start = time.time()
+    assert spark.range(4000).select(SM.mask_is_right(mask, n - 900, n, n).alias("r")).where("r").count() == 4000
+    assert time.time() - start < 60
