@@ -172,3 +172,18 @@ def test_search_counts_repeated_query_words(spark):
     q = spark.createDataFrame([(1, "Almák almák körte az"), (2, "xx")], "query_id long, text string")
     r = spark.createDataFrame([(10, "alma fa"), (11, "körték"), (12, "semmi")], "record_id long, text string")
     assert [tuple(x) for x in sorted(retrieval.search(q, r).collect())] == [(1, 1, 10, 2), (1, 2, 11, 1)]
+
+
+def test_stem_pairs_are_counted_block_by_block(spark, monkeypatch):
+    """Blocks of few sets give the pairs of one block, and no pair is joined to its sets."""
+    from textloom.operators import text_pairs
+
+    r = random.Random(9)
+    words = [f"{a}{b}szó" for a in "abcdef" for b in "ijklmnop"]
+    df = spark.createDataFrame([(k, " ".join(r.sample(words, r.choice([16, 22, 40])))) for k in range(40)], "id long, text string")
+    whole = sorted(tuple(x) for x in sim.stem_jaccard(df).collect())
+    monkeypatch.setattr(text_pairs, "LEAST_TEXTS", 5)
+    monkeypatch.setattr(text_pairs, "ROUND_CHARS", 1)
+    found = sim.stem_jaccard(df)
+    assert whole and sorted(tuple(x) for x in found.collect()) == whole
+    assert "array_intersect" not in sim.stem_jaccard(df)._jdf.queryExecution().toString()
