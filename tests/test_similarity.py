@@ -187,3 +187,23 @@ def test_stem_pairs_are_counted_block_by_block(spark, monkeypatch):
     found = sim.stem_jaccard(df)
     assert whole and sorted(tuple(x) for x in found.collect()) == whole
     assert "array_intersect" not in sim.stem_jaccard(df)._jdf.queryExecution().toString()
+
+
+def test_letters_meet_within_blocks_and_by_parts(spark, monkeypatch):
+    """Pairs leave blocks by number alone; lengths of parts leave out what whole texts would allow."""
+    from textloom.operators import text_pairs
+
+    rows = [(k, t, ps) for k, (t, ps) in enumerate([("abcdefghij", [("0|u", 8), ("1|a", 2)]), ("abcdefghji", [("0|u", 8), ("1|a", 2)]), ("abcdefgihj", [("0|u", 2), ("1|a", 8)]), ("abcdefjihg", None)])]
+    df = spark.createDataFrame(rows, "id long, text string, parts array<struct<k: string, l: int>>")
+    monkeypatch.setattr(text_pairs, "LEAST_TEXTS", 1)
+    assert {tuple(x) for x in sim.bounded_pairs(df, df, 0.8).collect()} == {(a, b) for a in range(4) for b in range(a + 1, 4)}
+    assert {tuple(x) for x in sim.bounded_pairs(df, df, 0.8, places="parts").collect()} == {(0, 1), (0, 3), (1, 3), (2, 3)}
+    two = df.withColumn("g", F.when(F.col("id") < 3, "x"))
+    assert {tuple(x) for x in sim.bounded_pairs(two, two, 0.8, ["g"]).collect()} == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_near_conversations_with_two_messages_of_one_place(spark):
+    text = "ein längerer Satz mit vielen Wörtern darin"
+    rows = [(1, 0, "user", text), (1, 1, "assistant", text + " ja"), (2, 0, "user", text + "x"), (2, 1, "assistant", text + " ja"), (3, 0, "user", text), (3, 0, "user", text + " ja"), (4, 0, None, text), (4, 1, "user", text + " ja")]
+    got = {(r["a"], r["b"]): r["status"] for r in sim.near_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[(1, 2)] == "reject" and (1, 3) in got and not any(4 in pair for pair in got)
