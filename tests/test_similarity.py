@@ -207,3 +207,14 @@ def test_near_conversations_with_two_messages_of_one_place(spark):
     rows = [(1, 0, "user", text), (1, 1, "assistant", text + " ja"), (2, 0, "user", text + "x"), (2, 1, "assistant", text + " ja"), (3, 0, "user", text), (3, 0, "user", text + " ja"), (4, 0, None, text), (4, 1, "user", text + " ja")]
     got = {(r["a"], r["b"]): r["status"] for r in sim.near_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got[(1, 2)] == "reject" and (1, 3) in got and not any(4 in pair for pair in got)
+
+
+def test_texts_meet_in_rounds(spark, monkeypatch):
+    """Meetings dealt into several rounds give the pairs of one."""
+    from textloom.operators import text_pairs
+
+    df = spark.createDataFrame(corpus(0.05, 30), "id long, text string")
+    whole = sorted(tuple(x) for x in text_pairs.close_pairs(df, df, 0.8).collect())
+    monkeypatch.setattr(text_pairs, "LEAST_TEXTS", 12)
+    monkeypatch.setattr(text_pairs, "ROUND_CHARS", 1)
+    assert whole and sorted(tuple(x) for x in text_pairs.close_pairs(df, df, 0.8).collect()) == whole
