@@ -188,3 +188,18 @@ def test_query_beats_its_unigram_base_on_held_out_texts(spark):
     got = [r for r in op8_ctw(spark, "/root/testdata/sf0.1").collect() if r["held_out"]]
     assert len(got) > 1000
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
+def test_sums_leave_no_shuffle_files(spark):
+    """What was dealt for the sums of counts and nodes takes no disk while answers are dealt."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = files.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7}") for i in range(200)], "doc_id long, text string")
+    before = shuffles()
+    scored = ctw.score_documents(docs)
+    assert not shuffles() - before
+    assert scored.count() == 200

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.labelled import remainder
-from textloom.session import materialise
+from textloom.session import materialise, shuffles_removed
 
 DEPTH = 6
 #: Groups of (three nearest bytes), and of words.
@@ -443,9 +443,11 @@ def score_documents(docs: DataFrame, held_out: int = 1, fold: int = 5, id_col: s
         return pa.table({"n": [int(n.sum())], "v": [int((n > 0).sum())]})
 
     is_word = F.col("g") >= GROUPS
-    n, v = asked.where(is_word).groupBy("g").applyInArrow(count, "n bigint, v bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    nodes = asked.where(~is_word).groupBy("g").applyInArrow(weigh, "pair bigint, node bigint, zeros bigint, ones bigint, below double")
-    sums = nodes.groupBy("pair", "node").agg(*[F.sum(k).alias(k) for k in ("zeros", "ones", "below")]).toArrow()
+    # the questions of the codes are dealt again for the answers: what was dealt for the sums takes no disk then
+    with shuffles_removed(docs.sparkSession):
+        n, v = asked.where(is_word).groupBy("g").applyInArrow(count, "n bigint, v bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+        nodes = asked.where(~is_word).groupBy("g").applyInArrow(weigh, "pair bigint, node bigint, zeros bigint, ones bigint, below double")
+        sums = nodes.groupBy("pair", "node").agg(*[F.sum(k).alias(k) for k in ("zeros", "ones", "below")]).toArrow()
     top = Top({k: sums[k].to_numpy() for k in sums.column_names})
 
     def answer(table: pa.Table) -> pa.Table:
