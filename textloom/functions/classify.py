@@ -123,15 +123,18 @@ def follow_up(c: Column, groups: tuple[tuple[str, ...], ...] = BACK_REFERENCES,
 
 
 def response_type(c: Column) -> Column:
-    f = T.fold(c)
-    plain = T.strip(F.regexp_replace(F.regexp_replace(f, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
-    return F.when(f == "", "casual_chat").otherwise(
-        F.coalesce(
-            first_group(plain, RESPONSE_TYPES),
-            F.when(T.contains_any(plain, CASUAL_HINTS), "casual_chat"),
-            F.when(F.size(T.words(plain)) <= 4, "short_answer").otherwise("casual_chat"),
+    """Kind of answer that a message asks for; its folded and plain forms are made once for all phrases."""
+
+    def of(f: Column) -> Column:
+        plain = T.strip(F.regexp_replace(F.regexp_replace(f, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+        kind = lambda p: F.coalesce(
+            first_group(p, RESPONSE_TYPES),
+            F.when(T.contains_any(p, CASUAL_HINTS), "casual_chat"),
+            F.when(F.size(T.words(p)) <= 4, "short_answer").otherwise("casual_chat"),
         )
-    )
+        return F.when(f == "", "casual_chat").otherwise(T.once(plain, kind))
+
+    return T.once(T.fold(c), of)
 
 
 def response_plan(kind: Column) -> Column:
@@ -143,7 +146,7 @@ def response_plan(kind: Column) -> Column:
 
 
 def guard_category(c: Column) -> Column:
-    return first_group(T.fold(c), GUARD_CATEGORIES)
+    return T.once(T.fold(c), lambda f: first_group(f, GUARD_CATEGORIES))
 
 
 def on_topic(category: Column, reply: Column) -> Column:
@@ -163,7 +166,7 @@ def failure_reason(topic: Column, bleed: Column, names: Column) -> Column:
 
 
 def memory_candidate(c: Column) -> Column:
-    return first_group(T.fold(c), MEMORY_CANDIDATES)
+    return T.once(T.fold(c), lambda f: first_group(f, MEMORY_CANDIDATES))
 
 
 def after_trigger(c: Column, triggers: tuple[str, ...], ending: str) -> Column:
