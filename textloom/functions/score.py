@@ -11,6 +11,8 @@ from textloom.functions import text as T
 
 MIN_WORDS = 3
 MAX_CHARS = 1500
+#: Words of an answer are counted up to here: no rule asks for more.
+MOST_WORDS = 8
 
 # Penalties of the three scorers.
 ROW_PENALTIES = {
@@ -101,12 +103,34 @@ def english_word(c: Column) -> Column:
 
 
 def overclaims(c: Column) -> Column:
-    return F.lower(c).rlike("|".join(OVERCLAIMS))  # phrases of letters and commas: no signs of a pattern
+    return T.once(F.lower(c), lambda low: T.contains_any(low, OVERCLAIMS))
+
+
+_INNER = r"\p{L}\p{N}_"
+# What is asked before a pattern, in less time: what no match lacks (in small letters), then a form that holds wherever the
+# pattern does. What stands before a match is looked at behind its first letter, and ends of any length are one letter.
+QUICK = {
+    "email": (("@",), rf"[{_INNER}.+-]@[{_INNER}-]+\.[{_INNER}.-]"),
+    "phone": ((), rf"(?=[+\p{{Nd}}])(?<![{_INNER}])(\+?\p{{Nd}}{{1,3}}[\s-]?)?(\p{{Nd}}{{2,4}}[\s-]?){{3,4}}(?![{_INNER}])"),
+    "birth_date": (("szület", "birth"), rf"(?i)(?=\p{{Nd}})(?<![{_INNER}])\p{{Nd}}{{4}}-\p{{Nd}}{{2}}-\p{{Nd}}{{2}}([^{_INNER}][^\n]{{0,19}})?(szület|birth)"),
+    "credential": (("key", "jelsz", "password", "token"), rf"(?i)(?=[asjp])(?<![{_INNER}])(api[_-]?key|secret[_-]?key|jelszó|password|access[_-]?token)\s*[:=]\s*\S"),
+    "aws_key": (("akia",), rf"(?i)(?=a)(?<![{_INNER}])AKIA[0-9A-Z]{{16}}(?![{_INNER}])"),
+    "private_key": (("-----begin",), DANGER_PATTERNS[2][1]),
+}
+
+
+def held(c: Column, label: str, pattern: str) -> Column:
+    """Whether a text holds a pattern; only texts that pass its ``QUICK`` form, if it has one, are searched for it."""
+    if label not in QUICK or (label, pattern) not in PERSONAL_PATTERNS + DANGER_PATTERNS:
+        return c.rlike(pattern)
+    needed, quick = QUICK[label]
+    found = c.rlike(quick) & c.rlike(pattern)
+    return T.contains_any(F.lower(c), needed) & found if needed else found
 
 
 def first_label(c: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
     """Label of the first pattern that a text holds; null if none."""
-    return F.coalesce(*[F.when(c.rlike(p), F.lit(label)) for label, p in patterns])
+    return F.coalesce(*[F.when(held(c, label, p), F.lit(label)) for label, p in patterns])
 
 
 def penalised(names: Column, penalties: dict[str, int]) -> Column:
@@ -121,7 +145,7 @@ MEASURES = ("answer", "n_words", "too_long", "garbled", "repeated", "english", "
 def measures(output: Column) -> dict[str, Column]:
     """The measures of an answer by name; as columns of one projection they are evaluated once for all rules on them."""
     o = T.strip(F.coalesce(output, F.lit("")))
-    found = (o, F.size(T.words(o)), F.length(o) > MAX_CHARS, garbled(o), repeated_run(o), english(o), overclaims(o))
+    found = (o, T.few_words(o, MOST_WORDS), F.length(o) > MAX_CHARS, garbled(o), repeated_run(o), english(o), overclaims(o))
     return dict(zip(MEASURES, found, strict=True))
 
 

@@ -71,18 +71,18 @@ def parse_rows(lines: DataFrame) -> DataFrame:
     has_id = F.col("id").isNotNull() & ~T.blank("id")
     # rows without id are no copies of each other: each is a partition of its own
     order = Window.partitionBy("id", F.when(~has_id, F.xxhash64("source_file", "line_no"))).orderBy("source_file", "line_no")
-    out = out.withColumn("again", has_id & (F.row_number().over(order) > 1))
     missing = lambda f: F.col(f).isNull() | T.blank(F.col(f))
     rules = [
-        ("empty_id", ~has_id),
-        ("duplicate_id", F.col("again")),
         *((f"empty_{f}", missing(f)) for f in ("category", "instruction", "output", "source")),
         ("tags_not_list", ~kind("tags").startswith("ARRAY")),
         ("invalid_difficulty", ~F.coalesce(F.col("difficulty").isin(*DIFFICULTIES), F.lit(False))),
         *content_rules(F.col("output"), [F.col(f) for f in ("instruction", "input", "output")]),
     ]
-    issues = F.when(F.col("stop").isNotNull(), F.array("stop")).otherwise(T.flags(rules))
-    return out.withColumn("issues", issues).drop("v", "stop", "again", "row")
+    # rules of single rows come before rows of one id meet, so that no parsed text is shuffled for them
+    out = out.withColumn("__rest", F.when(F.col("stop").isNull(), T.flags(rules))).drop("v", "row")
+    out = out.withColumn("__again", has_id & (F.row_number().over(order) > 1))
+    issues = F.when(F.col("stop").isNotNull(), F.array("stop")).otherwise(F.concat(T.flags([("empty_id", ~has_id), ("duplicate_id", F.col("__again"))]), "__rest"))
+    return out.withColumn("issues", issues).drop("stop", "__again", "__rest")
 
 
 def content_rules(output: Column, scanned: list[Column], known: dict[str, Column] | None = None) -> list[tuple[str, Column]]:
@@ -107,7 +107,10 @@ def content_rules(output: Column, scanned: list[Column], known: dict[str, Column
 
 def text_issues(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with ``issues``: the content rules over one text column."""
-    return df.withColumn("issues", T.flags(content_rules(F.col(text_col), [F.col(text_col)])))
+    text = F.col(text_col)
+    measured = df.withColumns({f"__{name}": c for name, c in S.measures(text).items()})
+    known = {name: F.col(f"__{name}") for name in S.MEASURES}
+    return measured.withColumn("issues", T.flags(content_rules(text, [text], known))).select(*df.columns, "issues")
 
 
 def text_issues_and_flags(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
