@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from textloom import registry
@@ -84,3 +85,15 @@ def test_sentences_of_documents_are_not_exchanged(spark, tmp_path):
         spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/{t}.parquet")
     got = {(r["row"], r["record"]): r["type"] for r in registry.QUERIES["export_links"](spark, str(tmp_path)).collect()}
     assert got == {(7, 1): "same_sentence", (7, 2): "sample_near"}
+
+
+def test_paraphrases_of_odd_texts_equal_sql(spark, tmp_path):
+    r = random.Random(3)
+    words = [*(f"{a}{b}word" for a in "abcdef" for b in "klmn"), "ΟΔΟΣ", "οδοσ", "İstanbul", "istanbul", "1. 2. 3. 4. word", "4)", "– 2.", "12."]
+    rows = [(k if k % 9 else None, 0, None, " ".join(r.sample(words, 20))) for k in range(60)] + [(3, 1, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(con.execute(registry.ORACLE_SQL["paraphrase_pairs"]).fetchall())
+    assert len(want) > 100
+    assert sorted(tuple(x) for x in registry.QUERIES["paraphrase_pairs"](spark, str(tmp_path)).collect()) == want
