@@ -32,3 +32,22 @@ def test_summary_finds_overlaps_once(spark, tmp_path, monkeypatch):
     r = queries.QUERIES["dedupe_summary"](spark, str(tmp_path)).first()
     assert (r["records"], r["findings_total"], r["groups"], r["largest_group"]) == (4, 2, 2, 2)
     assert len(calls) == 1
+
+
+def test_overlaps_keep_digests_of_first_copies_alone_and_no_longer_than_needed(spark, monkeypatch):
+    written, gone = [], []
+    write, remove = similarity.materialise, similarity.discard
+
+    def counted(df, name, *a):
+        out = write(df, name, *a)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(similarity, "materialise", counted)
+    monkeypatch.setattr(similarity, "discard", lambda df: gone.append(len(df.inputFiles())) or remove(df))
+    lines = [f"This is the sentence with number {i} of all." for i in range(6)]
+    texts = [" ".join(lines), " ".join(reversed(lines)), *[" ".join(lines)] * 5]
+    found = similarity.sentence_overlap(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()
+    assert [(r["a"], r["b"]) for r in found] == [(0, 1)]
+    assert dict(written)["digests"] == 2
+    assert gone and gone[0] > 0
